@@ -169,3 +169,7 @@ SOLD_OUT_PATTERN = r"(?i)품절(?!\s*아님)|매진|완판|sold\s*out|재고\s*
 # Price marks at the end of an option text: bracketed, or plain.
 OPTION_PRICE_BRACKETED = r"\s*[\(\[]\s*([+-])\s*([0-9,]+)\s*원?\s*[\)\]]\s*$"
 OPTION_PRICE_TRAILING = r"\s*(?:[/|:]\s*)?([+-])\s*([0-9,]+)\s*원?\s*$"
+
+# Every whitespace character that trimming removes.
+WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")

@@ -6,15 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
-from wareloom.functions.text import clean_text, strip
+from wareloom.functions.text import clean_text, let, strip
 
 
 def int_price(c: Column) -> Column:
     """Whole-won price; null for "a / b" forms, unreadable numbers and values beyond 32 bits."""
-    text = clean_text(c)
-    value = F.floor(F.regexp_replace(text, "[^0-9.]", "").try_cast("double"))
-    several = text.rlike("[0-9][^/]*/[^/]*[0-9]")
-    return F.when(~several & (value <= K.INT_MAX), value.try_cast("int"))
+    def parsed(text):
+        value = F.floor(F.regexp_replace(text, "[^0-9.]", "").try_cast("double"))
+        several = text.rlike("[0-9][^/]*/[^/]*[0-9]")
+        return F.when(~several, let(value, lambda v: F.when(v <= K.INT_MAX, v.try_cast("int"))))
+
+    return let(strip(c.cast("string")), parsed)
 
 
 def signed_int(c: Column) -> Column:

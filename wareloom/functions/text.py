@@ -22,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing whitespace of any kind, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(K.WHITESPACE))
 
 
 def squash(c: Column) -> Column:
@@ -31,7 +31,7 @@ def squash(c: Column) -> Column:
 
 
 def null_if_empty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda s: F.when(s != "", s))
 
 
 def clean_text(c: Column) -> Column:

@@ -176,10 +176,12 @@ def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame) -> D
     empty = F.lit(None).cast(RULE_TYPE)
 
     def field(name):
-        rule = F.coalesce(F.try_element_at("rules", F.lit(name)), empty)
-        return let(rule, lambda r: apply_rule(F.try_element_at("raw", r["source"]), r)).alias(name)
+        rule = F.coalesce(F.try_element_at("rules", name), empty)
+        return let(rule, lambda r: apply_rule(F.try_element_at("raw", r["source"]), r))
 
-    return joined.select("site", "row_no", "raw", *[field(f) for f in K.TARGET_FIELDS])
+    values = F.transform(F.array(*[F.lit(f) for f in K.TARGET_FIELDS]), field)
+    df = joined.select("site", "row_no", "raw", values.alias("_values"))
+    return df.select("site", "row_no", "raw", *[F.get("_values", F.lit(i)).alias(f) for i, f in enumerate(K.TARGET_FIELDS)])
 
 
 def overlay(site_mapping: Column, request_mapping: Column) -> Column:

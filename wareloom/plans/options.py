@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wareloom.functions.rows import explode_built
 from wareloom.operators import options as op
 from wareloom.plans.registry import query
 
@@ -47,7 +48,7 @@ FROM k""")
 def o2(t):
     df = op.pair_variants(t.sql(PAIRS), "names", "prices", "deltas")
     df = op.standard_options(df, code="code", status="status", names="names", prices="prices", images="images", deltas="deltas")
-    o = df.select("p_partkey", F.explode("standard_options").alias("o"))
+    o = explode_built(df, F.col("standard_options"), "p_partkey")
     return o.select("p_partkey", F.col("o.option_position").alias("position"), F.col("o.option_sku").alias("sku"), F.col("o.option_display_name").alias("name"),
                     F.col("o.option_supply_price").alias("supply"), F.col("o.option_price_delta").alias("delta"), F.col("o.option_status").alias("status"),
                     F.col("o.option_usable").alias("usable"), F.col("o.option_main_image_url").alias("image"))
@@ -87,7 +88,7 @@ def o5(t):
     levels = F.array(level(F.lit("- 옵션 선택 -")), level(F.col("p_name")), level(F.lit("White")))
     code = F.concat(F.lit("X"), F.col("p_partkey").cast("string"))
     made = op.combined_options(levels, code, F.floor("p_retailprice").cast("bigint"), "색상", "사이즈")
-    return _shown(t.part.select("p_partkey", F.explode(made).alias("o")))
+    return _shown(explode_built(t.part, made, "p_partkey"))
 
 
 def _shown(df):
@@ -107,7 +108,7 @@ def o6(t):
     prices = F.when(F.col("p_size") % 2 == 0, F.array(*[F.lit(x).cast("bigint") for x in (0, 1000, 2000, 3000)])).otherwise(F.array().cast("array<bigint>"))
     made = op.flat_options(texts, F.concat(F.lit("X"), F.col("p_partkey").cast("string")), F.floor("p_retailprice").cast("bigint"), "사이즈", prices=prices,
                            disabled=F.array(F.lit(False), F.lit(False), F.lit(True), F.lit(False)))
-    return _shown(t.part.select("p_partkey", F.explode(made).alias("o")))
+    return _shown(explode_built(t.part, made, "p_partkey"))
 
 
 def sample_options(levels_from="p_size"):
@@ -134,7 +135,7 @@ SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Color|Size' ELSE 'Color' END AS
 FROM k""")
 def o7(t):
     info = t.part.select("p_partkey", op.market_a_options(op.usable_options(sample_options())).alias("i"))
-    rows = info.select("p_partkey", F.array_join("i.optionCombinationGroupNames", "|").alias("groups"), F.posexplode("i.optionCombinations").alias("pos", "c"))
+    rows = explode_built(info, F.col("i.optionCombinations"), "p_partkey", F.array_join("i.optionCombinationGroupNames", "|").alias("groups"), name="c", position="pos")
     return rows.select("p_partkey", "groups", (F.col("pos") + 1).alias("position"), F.col("c.optionName1").alias("name1"), F.col("c.optionName2").alias("name2"),
                        F.col("c.stockQuantity").alias("stock"), F.col("c.price").alias("price"), F.col("c.usable").alias("usable"), F.col("c.sellerManagerCode").alias("sku"))
 
@@ -152,7 +153,7 @@ FROM k""")
 def o8(t):
     options = F.when(F.col("p_size") % 6 == 0, F.array().cast(f"array<{op.STANDARD_OPTION}>")).otherwise(sample_options())
     items = op.market_b_items(op.usable_options(options), F.lit("title"), F.lit(9900), F.array(F.lit("a.jpg"), F.lit("b.jpg")), F.lit("<p>"), F.lit("KR"))
-    rows = t.part.select("p_partkey", F.posexplode(items).alias("pos", "i"))
+    rows = explode_built(t.part, items, "p_partkey", name="i", position="pos")
     pair = lambda c, a, b, sep: F.array_join(F.transform(c, lambda x: F.concat_ws(sep, x[a], x[b])), "|")
     return rows.select("p_partkey", (F.col("pos") + 1).alias("position"), F.col("i.itemName").alias("name"), F.col("i.salePrice").alias("price"),
                        pair("i.images", "imageType", "vendorPath", ":").alias("images"), pair("i.attributes", "attributeTypeName", "attributeValueName", "=").alias("attributes"),
