@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wareloom import constants as K
 from wareloom.functions import urls as ur
+from wareloom.functions.rows import explode_built
+from wareloom.functions.text import lookup
 
 CHANGE = "struct<change_type:string,previous_value:string,new_value:string,option_sku:string>"
 
@@ -76,7 +78,7 @@ def detect_changes(pairs: DataFrame, stock: str | None = None) -> DataFrame:
     if stock:
         found = F.concat(found, stock_changes(old(stock), F.col(stock)))
     with_old = pairs.filter(F.col("previous._present"))
-    rows = with_old.select("snapshot_id", "product_id", "captured_at", F.explode(found).alias("c"))
+    rows = explode_built(with_old, found, "snapshot_id", "product_id", "captured_at", name="c")
     return rows.select("snapshot_id", "product_id", "captured_at", "c.*")
 
 
@@ -118,7 +120,6 @@ def event_feed(changes: DataFrame, products: DataFrame, suppliers: DataFrame, su
     if supplier_id is not None:
         suppliers = suppliers.filter(F.col("supplier_id") == supplier_id)
     joined = changes.join(products, "product_id").join(suppliers, "supplier_id")
-    from wareloom.functions.text import lookup
     return joined.select(
         "change_id", "detected_at", "supplier_id", "supplier_name", "product_id", "supplier_product_code", "raw_product_name", "change_type",
         lookup(F.col("change_type"), K.CHANGE_LABELS, F.col("change_type")).alias("change_label"),
