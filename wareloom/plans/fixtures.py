@@ -207,3 +207,20 @@ SELECT p_brand AS site, CAST(substr(p_brand, 7) AS INT) % 3 AS layout, p_partkey
        concat('https://img.example/', {KEY}, '.jpg') AS c_img1, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE 'two.jpg' END AS c_img2,
        concat('<p>', p_name, '</p>') AS c_detail, '2026-05-20' AS c_date
 FROM part"""
+
+# Catalogue rows as the product list shows them.
+FIXTURES["catalogue"] = f"""
+SELECT p_partkey AS product_id, concat('P-', {KEY}) AS product_code, p_name AS original_name, p_size % 8 AS user_id,
+       CASE WHEN p_size % 6 = 5 THEN NULL ELSE p_size % 5 END AS site_id, p_partkey % 40 AS import_id,
+       CASE p_size % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' WHEN 2 THEN 'completed' ELSE 'failed' END AS status,
+       CASE p_size % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'not_started' END AS image_status,
+       CASE WHEN p_size % 9 = 0 THEN NULL ELSE {PRICE} END AS price_wholesale,
+       CASE p_size % 5 WHEN 0 THEN NULL ELSE p_size % 5 END AS option_count,
+       CAST('2024-01-01' AS DATE) + p_size AS created_at,
+       CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_type, ' ', p_name) END AS refined_name,
+       CASE WHEN p_size % 11 = 0 THEN NULL ELSE concat(p_name, ',', lower(p_type)) END AS keyword_list,
+       CASE WHEN p_size % 13 = 0 THEN '' ELSE concat('https://img.example/', {KEY}, '.jpg') END AS image_1,
+       CASE WHEN p_size % 4 = 1 THEN NULL ELSE 'https://img.example/second.jpg' END AS image_2,
+       CASE WHEN p_size % 12 = 0 THEN concat('processed/', {KEY}, '.jpg') ELSE NULL END AS processed_image_path,
+       p_brand AS brand_name, CASE WHEN p_size % 10 = 3 THEN NULL ELSE 'Korea' END AS origin
+FROM part"""
