@@ -224,3 +224,17 @@ SELECT p_partkey AS product_id, concat('P-', {KEY}) AS product_code, p_name AS o
        CASE WHEN p_size % 12 = 0 THEN concat('processed/', {KEY}, '.jpg') ELSE NULL END AS processed_image_path,
        p_brand AS brand_name, CASE WHEN p_size % 10 = 3 THEN NULL ELSE 'Korea' END AS origin
 FROM part"""
+
+# Shop pages composed from the products: metadata in several layouts, images, choices, an order limit.
+FIXTURES["product_pages"] = f"""
+SELECT p_partkey AS page_id, concat('https://shop.example/goods/view?goodsno=', {KEY}) AS url, p_size, p_name, p_brand, {PRICE} AS price,
+  concat('<html><head>', CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('<meta property="og:title" content="', p_name, ' &amp; co">') END,
+    '<meta content=''https://img.example/', {KEY}, '.jpg'' property="og:image"><meta property="product:price:amount" content="', {PRICE_TEXT}, '">',
+    CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN concat('<script type="application/ld+json">', chr(123), '"@type":"Product","name":"', p_name, '","image":["a', {KEY}, '.jpg","b.jpg"],"offers":', chr(123), '"price":"', {PRICE_TEXT}, '"', chr(125), chr(125), '</script>')
+      WHEN 2 THEN concat('<script type="application/ld+json">[', chr(123), '"@type":"Thing"', chr(125), ',', chr(123), '"@type":["Product","X"],"name":"', p_name, '","image":', chr(123), '"url":"u', {KEY}, '.jpg"', chr(125), ',"offers":[', chr(123), '"price":', {PRICE_TEXT}, chr(125), ']', chr(125), ']</script>')
+      ELSE concat('<script type="application/ld+json">', chr(123), '"@graph":[', chr(123), '"@type":"Product","name":"', p_name, '"', chr(125), ']', chr(125), '</script>') END,
+    '</head><body><div id="main" class="goods view"><h2 class="name">상품명 : ', p_name, '</h2><p class="price">판매가 <b>', {PRICE_TEXT}, '</b>원</p><div class="gallery"><img src="/blank.gif" data-src="/img/',
+    {KEY}, '_1.jpg">', CASE WHEN p_size % 2 = 0 THEN concat('<img src="/img/', {KEY}, '_2.jpg" width="100" height="80">') ELSE '' END, CASE WHEN p_size % 3 = 0 THEN concat('<a href="#"><img src="/img/icon-x.png"><img src="/img/', {KEY}, '_3.jpg" width="800"></a>') ELSE '' END,
+    '</div><select name="', CASE WHEN p_size % 6 = 0 THEN 'qty' ELSE 'color' END, '"><option>옵션을 선택하세요</option><option value="1">Red</option>', CASE WHEN p_size % 2 = 1 THEN '<option value="2">Blue</option>' ELSE '' END,
+    '</select><input type="hidden" name="maxq" value="', CAST(p_size % 3 AS VARCHAR(20)), '"></div><!-- <img src="no.jpg"> --></body></html>') AS html
+FROM part"""
