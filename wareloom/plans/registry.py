@@ -13,7 +13,7 @@ from wareloom.plans.fixtures import FIXTURES, TABLES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-FAMILIES = ("scalars", "mapping", "options", "ledger", "snapshots", "quality", "pricing", "reads", "keywords", "drafts", "pages",)
+FAMILIES = ("scalars", "mapping", "options", "ledger", "snapshots", "quality", "pricing", "reads", "keywords", "drafts", "pages", "io",)
 
 
 class Tables:
