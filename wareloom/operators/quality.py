@@ -30,9 +30,7 @@ def export_summary(products: DataFrame, options: DataFrame, supplier_id=None) ->
     scoped = options if supplier_id is None else options.join(products.select("product_id"), "product_id", "left_semi")
     option_count = scoped.agg(F.count(F.lit(1)).alias("option_count"))
     total = lambda fields: sum((F.col(f"missing_{f}") for f in fields), F.lit(0)).cast("bigint")
-    one = F.lit(1).alias("_one")
-    joined = facts.select("*", one).join(option_count.select("*", one), "_one").drop("_one")
-    return joined.withColumns({"blocking_count": total(BLOCKING), "warning_count": total(ADVISORY)})
+    return facts.withColumns({"option_count": option_count.scalar(), "blocking_count": total(BLOCKING), "warning_count": total(ADVISORY)})
 
 
 def all_issues(products: DataFrame, supplier_id=None) -> DataFrame:
@@ -69,8 +67,7 @@ def scope_fingerprint(products: DataFrame, options: DataFrame, supplier_id=None)
     identity = F.concat_ws("~", "severity", "code", F.col("product_id").cast("string"), "product_code")
     per_issue = F.conv(F.substring(F.md5(identity), 1, 15), 16, 10).cast("decimal(38,0)")
     digest = all_issues(products, supplier_id).agg(F.coalesce(F.sum(per_issue), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
-    one = F.lit(1).alias("_one")
-    joined = export_summary(products, options, supplier_id).select("*", one).join(digest.select("*", one), "_one")
+    joined = export_summary(products, options, supplier_id).withColumn("digest", digest.scalar())
     parts = ["product_count", "option_count", *[f"missing_{f}" for f in BLOCKING + ADVISORY], "last_seen", "digest"]
     scope = F.lit("all" if supplier_id is None else str(supplier_id))
     text = F.concat_ws("~", scope, *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])

@@ -58,8 +58,7 @@ def product_stats(products: DataFrame, mappings: DataFrame, site_id=None) -> Dat
         n("image_status", "completed").alias("image_completed"), n("image_status", "failed").alias("image_failed"))
     named = mappings.filter((F.col("platform_name") == "naver") & F.col("product_name").isNotNull())
     named = named.join(products.select("product_id"), "product_id").agg(F.count(F.lit(1)).alias("named"))
-    one = F.lit(1).alias("_one")
-    return counts.select("*", one).join(named.select("*", one), "_one").drop("_one")
+    return counts.withColumn("named", named.scalar())
 
 
 def market_categories(mappings: DataFrame) -> DataFrame:
@@ -135,14 +134,11 @@ def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame,
     hit = products.join(targets.select("product_id").distinct().withColumn("_target", F.lit(True)), "product_id", "left")
     hit = hit.withColumn("_target", F.coalesce("_target", F.lit(False)))
     synced = mappings.filter(F.col("sync_status") == "synced").join(hit.filter("_target").select("product_id"), "product_id", "left_semi")
-    one = F.lit(1).alias("_one")
-    facts = hit.agg(F.count_if("_target").alias("targets")).select("*", one).join(
-        synced.agg(F.count(F.lit(1)).alias("synced")).select("*", one), "_one")
+    facts = hit.agg(F.count_if("_target").alias("targets")).withColumn("synced", synced.agg(F.count(F.lit(1))).scalar())
     allowed = F.lit(force) | (F.col("synced") == 0)
     report = facts.select(allowed.alias("success"), F.when(allowed, F.col("targets")).otherwise(F.lit(0)).alias("deleted_count"),
                           F.when(allowed, F.lit(0)).otherwise(F.col("synced")).alias("warning_synced_count"))
-    remaining = hit.select("*", one).join(facts.select("_one", allowed.alias("_allowed")), "_one").filter(
-        ~F.col("_target") | ~F.col("_allowed")).drop("_one", "_target", "_allowed")
+    remaining = hit.filter(~F.col("_target") | ~facts.select(allowed).scalar()).drop("_target")
     return report, remaining
 
 

@@ -185,14 +185,11 @@ def q10(t):
 
 
 @query("Q11", f"""
-WITH r AS (SELECT source, field, url, row_number() OVER (PARTITION BY source, field ORDER BY ord) AS k FROM ({RESULTS_SQL}) z)
-SELECT DISTINCT source, url FROM r WHERE (field = 'origin' AND k = 1 + source % 3) OR (field = 'supply_price' AND k = 40)""")
+SELECT DISTINCT source, url FROM ({RESULTS_SQL}) z WHERE (field = 'origin' AND ord = source + 60) OR (field = 'supply_price' AND ord = source + 240)""")
 def q11(t):
-    from pyspark.sql import Window
-    numbered = results(t).withColumn("ord", F.row_number().over(Window.partitionBy("source", "field").orderBy("ord")))
     pairs = results(t).select("source", "field").distinct().filter("field IN ('origin', 'supply_price')")
-    bad = F.when(F.col("field") == "origin", F.array((F.col("source") % 3 + 1).cast("int"), F.lit(0), F.lit(100000))).otherwise(F.array(F.lit(40)))
-    return qa.bad_sample_urls(pairs.withColumn("bad_samples", bad), numbered)
+    bad = F.when(F.col("field") == "origin", F.array(F.col("source") + 60, F.lit(-1).cast("bigint"), F.lit(10**9).cast("bigint"))).otherwise(F.array(F.col("source") + 240))
+    return qa.bad_sample_urls(pairs.withColumn("bad_samples", bad), results(t))
 
 
 @query("Q12", """

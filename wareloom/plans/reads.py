@@ -21,8 +21,7 @@ SELECT (SELECT count(*) FROM f) AS total, product_id, original_name, price_whole
 def r1(t):
     rows = rd.filter_products(catalogue(t), search="RING", status="completed")
     page = rd.page_of(rows, rd.product_order(), 2, 20)
-    one = F.lit(1).alias("_one")
-    return page.select("product_id", "original_name", "price_wholesale", one).join(rd.total(rows).select("total", one), "_one").drop("_one")
+    return page.select("product_id", "original_name", "price_wholesale", rd.total(rows).scalar().alias("total"))
 
 
 @query("R2", " UNION ALL ".join(
@@ -81,8 +80,7 @@ SELECT (SELECT count(*) FROM g) AS total, code AS product_code, kind AS change_t
 def r7(t):
     from wareloom.operators import ledger as lg
     count, page = rd.run_changes(lg.change_log(lp.changes(t), "run-1"), "run-1", "updated", 1, 500)
-    one = F.lit(1).alias("_one")
-    return page.select("product_code", "change_type", "original_name", one).join(count.select("total", one), "_one").drop("_one")
+    return page.select("product_code", "change_type", "original_name", count.scalar().alias("total"))
 
 
 @query("R8", "SELECT draft_id, d.account_id, user_id, market_code, status, updated_at FROM stored_drafts d JOIN accounts USING (account_id) WHERE market_code = 'smartstore' AND status = 'ready'")
@@ -114,8 +112,7 @@ def r11(t):
     out = None
     for call, targets, force in (("refused", site, False), ("forced", site, True), ("free", free, False)):
         report, left = rd.guarded_delete(t.catalogue, t.platform_mappings, targets, force)
-        one = F.lit(1).alias("_one")
-        row = report.select(F.lit(call).alias("call"), "*", one).join(left.agg(F.count(F.lit(1)).alias("remaining")).select("*", one), "_one").drop("_one")
+        row = report.select(F.lit(call).alias("call"), "*", left.agg(F.count(F.lit(1))).scalar().alias("remaining"))
         row = row.withColumns({c: F.col(c).cast("bigint") for c in ("deleted_count", "warning_synced_count")})
         out = row if out is None else out.unionByName(row)
     return out
