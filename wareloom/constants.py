@@ -173,3 +173,7 @@ OPTION_PRICE_TRAILING = r"\s*(?:[/|:]\s*)?([+-])\s*([0-9,]+)\s*원?\s*$"
 # Every whitespace character that trimming removes.
 WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Back-quotes and control characters that sanitising blanks out.
+UNPRINTABLE = r"[`\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+# Every credential pattern needs one of these words.
+SECRET_WORDS = ("authorization", "bearer", "api", "token", "password", "passwd", "secret")

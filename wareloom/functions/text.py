@@ -27,7 +27,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse whitespace runs to one blank and strip."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def null_if_empty(c: Column) -> Column:
@@ -75,9 +75,14 @@ def option_display_name(*values: Column) -> Column:
     return F.concat_ws(" / ", *[clean_text(v) for v in values])
 
 
+def quoted(value) -> str:
+    """A string as a SQL literal."""
+    return "NULL" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(c: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
     """Translate through a small fixed dictionary."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    table = F.expr(f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in mapping.items())})")
     found = F.try_element_at(table, c)
     return found if default is None else F.coalesce(found, default)
 
@@ -111,16 +116,21 @@ def normalize_category_path(c: Column) -> Column:
 
 
 def redact_credentials(c: Column) -> Column:
-    """Replace credential-shaped values by a marker, keeping their quotes."""
-    c = F.regexp_replace(c, K.SECRET_PATTERNS[0], "$1$2$3[REDACTED]$2$3")
-    c = F.regexp_replace(c, K.SECRET_PATTERNS[1], "$1[REDACTED]")
-    return F.regexp_replace(c, K.SECRET_PATTERNS[2], "$1$2$3[REDACTED]$2$3")
+    """Replace credential-shaped values by a marker, keeping their quotes.
+
+    The patterns run only over texts in which one of their words occurs at all.
+    """
+    quoted_marker = "$1$2$3[REDACTED]$2$3"
+    redacted = F.regexp_replace(c, K.SECRET_PATTERNS[0], quoted_marker)
+    redacted = F.regexp_replace(redacted, K.SECRET_PATTERNS[1], "$1[REDACTED]")
+    redacted = F.regexp_replace(redacted, K.SECRET_PATTERNS[2], quoted_marker)
+    suspicious = let(F.lower(c), lambda low: contains_any(low, K.SECRET_WORDS))
+    return F.when(suspicious, redacted).otherwise(c)
 
 
 def sanitize_text(c: Column, limit: int | None = None, drop_tags: bool = False) -> Column:
     """Remove back-quotes, control characters and (optionally) tags; collapse whitespace; cut to a length."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), "`", " ")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), K.UNPRINTABLE, " ")
     if drop_tags:
         c = F.regexp_replace(c, r"<[^>]{0,200}>", " ")
     c = squash(c)

@@ -42,9 +42,9 @@ def _fallback_hits(headers: DataFrame) -> DataFrame:
     for field, names in K.HEADER_FALLBACKS.items():
         for rank, header in enumerate(names):
             known.setdefault(header, []).append((field, rank + 2))
-    pairs = [x for header, hits in known.items() for x in (
-        F.lit(header), F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("rank")) for f, r in hits]))]
-    hits = F.explode(F.try_element_at(F.create_map(*pairs), F.col("header")))
+    entry = lambda hits: "array(" + ", ".join(f"named_struct('field', {tx.quoted(f)}, 'rank', {r})" for f, r in hits) + ")"
+    table = F.expr(f"map({', '.join(f'{tx.quoted(header)}, {entry(hits)}' for header, hits in known.items())})")
+    hits = F.explode(F.try_element_at(table, F.col("header")))
     return headers.select("site", "header", hits.alias("hit")).select("site", "header", "hit.field", "hit.rank")
 
 

@@ -106,13 +106,14 @@ def with_tokens(df: DataFrame) -> DataFrame:
         "_keywords", keyword_tokens(F.col("_kw"), F.col("_brand"))).drop("_b", "_r", "_o")
 
 
-def generate_names(df: DataFrame) -> DataFrame:
-    """Add ``generated_name`` to rows with ``keywords, refined_name, brand_name, original_name``."""
-    df = with_tokens(df).withColumn("_chain", chain_keywords(F.col("_keywords")))
+def generate_names(df: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Add ``generated_name`` to rows with ``keywords, refined_name, brand_name, original_name``; only where ``wanted``."""
+    wanted = F.lit(True) if wanted is None else wanted
+    df = with_tokens(df).withColumn("_chain", F.when(wanted, chain_keywords(F.col("_keywords"))))
     head = lambda c: fitting_head(without_brand(F.col(c), F.col("_brand")))
     name = F.when(F.size("_chain") > 0, F.col("_chain")).otherwise(
         let(head("_refined"), lambda r: F.when(F.size(r) > 0, r).otherwise(head("_original"))))
-    df = df.withColumn("generated_name", F.array_join(name, " "))
+    df = df.withColumn("generated_name", F.when(F.col("_chain").isNotNull(), F.array_join(name, " ")))
     return df.drop("_chain", "_keywords", "_refined", "_original", "_brand", "_kw")
 
 
@@ -158,5 +159,5 @@ def select_names(df: DataFrame) -> DataFrame:
     """
     score = F.struct("coverage", "front", "length_score", (-F.col("index")).alias("earlier"))
     best = candidate_scores(df).groupBy("product_id").agg(F.max_by("name", score).alias("_best"))
-    joined = generate_names(df).join(best, "product_id", "left")
+    joined = generate_names(df.join(best, "product_id", "left"), wanted=F.col("_best").isNull())
     return joined.withColumns({"product_name": F.coalesce("_best", "generated_name"), "from_candidate": F.col("_best").isNotNull()}).drop("_best", "generated_name")

@@ -119,7 +119,7 @@ def price_listings(df: DataFrame, cost: str = "cost_price") -> DataFrame:
 
     The price is the cost basis over the share left by all rates, rounded up to the unit, then raised by whole units
     until the margin survives the rounding of the fees. Rounding can cost at most 1.5 won, which bounds the number of
-    steps; nearly all rows stop within the first ones, the rest go through all remaining steps in blocks.
+    steps; nearly all rows stop within the first ones, the rest go on over ever larger ranges.
     """
     top = K.INT_MAX
     df = df.withColumn("cost", F.col(cost).cast("bigint")).withColumn("_cost_error", F.expr(
@@ -136,11 +136,19 @@ def price_listings(df: DataFrame, cost: str = "cost_price") -> DataFrame:
         f"CASE WHEN _base <= {top} THEN least(CAST((15 * {SCALE}) div (10 * _left * policy.unit) AS BIGINT) + 2, ({top} - _base) div policy.unit) END"))
     block = lambda first, last: (f"get(filter(transform(sequence({first}, {last}), i -> _base + i * policy.unit), p -> {_margin_met('p')}), 0)")
     size = FIRST_STEPS + 1
-    later = (f"CASE WHEN _steps > {FIRST_STEPS} THEN array_min(transform(sequence(1L, _steps div {size}), b -> "
-             f"{block(f'b * {size}', f'least(b * {size} + {FIRST_STEPS}, _steps)')})) END")
+
+    def steps(first: int, last: int) -> str:
+        return f"CASE WHEN _steps >= {first} THEN {block(f'{first}L', f'least(_steps, {last}L)')} END"
+
+    def blocks(first: int, last: int | None) -> str:
+        """Lowest price met in a range of blocks; null when the steps end before it or none is met."""
+        end = f"_steps div {size}" if last is None else f"least({last}L, _steps div {size})"
+        one = block(f"b * {size}", f"least(b * {size} + {FIRST_STEPS}, _steps)")
+        return f"CASE WHEN _steps >= {first * size} THEN array_min(transform(sequence({first}L, {end}), b -> {one})) END"
+
+    tiers = [steps(*r) for r in ((1, 8), (9, 63), (64, FIRST_STEPS))] + [blocks(*r) for r in ((1, 3), (4, 31), (32, 511), (512, None))]
     df = df.withColumn("sale_price", F.expr(
-        f"CASE WHEN _base > {top} THEN NULL WHEN {_margin_met('_base')} THEN _base "
-        f"ELSE coalesce({block('0L', f'least(_steps, {FIRST_STEPS}L)')}, {later}) END"))
+        f"CASE WHEN _base > {top} THEN NULL WHEN {_margin_met('_base')} THEN _base ELSE coalesce({', '.join(tiers)}) END"))
     df = df.withColumn("price_error", F.coalesce("_early", F.expr(
         "CASE WHEN sale_price IS NULL THEN 'calculated amount exceeds persistable range' END")))
     amount = lambda sql: F.expr(f"CAST(CASE WHEN sale_price IS NOT NULL THEN {sql} END AS INT)")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
-from wareloom.functions.text import clean_text, no_texts
+from wareloom.functions.text import clean_text, lookup, no_texts
 from wareloom.operators import names as nm
 
 
@@ -63,7 +63,7 @@ def product_stats(products: DataFrame, mappings: DataFrame, site_id=None) -> Dat
 
 def market_categories(mappings: DataFrame) -> DataFrame:
     """One row per (product, market): platforms renamed to markets, an explicit market row hiding the older alias row."""
-    market = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in K.MARKET_ALIASES.items() for x in kv]), F.col("platform_name")), F.col("platform_name"))
+    market = lookup(F.col("platform_name"), K.MARKET_ALIASES, F.col("platform_name"))
     alias = F.col("platform_name").isin(*K.MARKET_ALIASES)
     picked = mappings.groupBy("product_id", market.alias("market")).agg(
         F.min_by(F.struct("category_id", "category_path", "product_name"), alias).alias("c"))

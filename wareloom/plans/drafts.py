@@ -11,11 +11,19 @@ from wareloom.plans.pricing import POLICIES, PRICES_SQL, choose
 from wareloom.plans.registry import query
 
 
-def market_rows(t):
-    """Products as one market sees them, priced under five policies; every fourth account has none or an unusable one."""
-    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+def account_policies(t):
+    """Accounts by number with their rules resolved and parsed once each: five policies, none, and an unusable one."""
+    numbers = t.part.select("p_size").distinct()
+    size = F.col("p_size")
     rules = F.when(size % 17 == 0, F.lit("{}")).when(size % 19 == 0, F.lit('{"pricingPolicy":"x"}')).otherwise(
         F.concat(F.lit('{"pricingPolicy":'), choose([p[0] for p in POLICIES]), F.lit("}")))
+    resolved = numbers.withColumn("_policy", pr.resolve_policy(rules))
+    return pr.parse_policies(resolved.withColumns({"policy_json": F.col("_policy.policy_json"), "policy_invalid": F.col("_policy.invalid")}).drop("_policy"))
+
+
+def market_rows(t):
+    """Products as one market sees them, priced under the policy of their account."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     rows = t.part.select(
         "p_partkey", "p_size", "p_name", F.col("p_partkey").alias("product_id"), F.lit("v1").alias("version"),
         F.when(size % 4 != 0, F.col("p_brand")).alias("brand_name"), F.when(size % 23 != 0, F.col("p_name")).alias("refined_name"),
@@ -25,9 +33,8 @@ def market_rows(t):
         F.when(size % 21 != 0, F.lit("<p>detail</p>")).alias("detail_content"), sample_options().alias("standard_options"),
         F.when(size % 6 != 5, F.concat(F.lit("5000"), size.cast("string"))).alias("category_id"), F.when(size % 9 == 0, F.lit(" Stored name ")).alias("market_name"),
         F.when(size % 2 == 0, F.lit('{"product_attributes":[],"item_attributes":[{"attributeTypeName":"Mat","attributeValueName":"W"}]}')).alias("attributes"),
-        F.lit('{"delivery":"std"}').alias("listing_defaults"), pr.resolve_policy(rules).alias("_policy"))
-    rows = rows.withColumns({"policy_json": F.col("_policy.policy_json"), "policy_invalid": F.col("_policy.invalid")}).drop("_policy")
-    return pr.price_listings(pr.parse_policies(rows))
+        F.lit('{"delivery":"std"}').alias("listing_defaults"))
+    return pr.price_listings(rows.join(account_policies(t), "p_size"))
 
 
 def _draft_sql(market: str, stored: bool) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
+from wareloom.functions.text import quoted
 from wareloom.operators import mapping as mp
 from wareloom.plans.registry import query
 from wareloom.plans.scalars import INT_PRICE_SQL, case_map
@@ -57,10 +58,11 @@ def _text(v):
 
 def _rule(r):
     field, source, default, pattern, group, every, join, values, plain = r
-    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv]) if values else F.lit(None).cast("map<string,string>")
-    return F.struct(_text(field).alias("field"), _text(source).alias("source"), _text(default).alias("default"), _text(pattern).alias("pattern"),
-                    _text(group).alias("regex_group"), F.lit(every).cast("boolean").alias("regex_all"), _text(join).alias("join_with"),
-                    table.alias("value_map"), F.lit(plain).alias("plain"))
+    table = f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in values.items())})" if values else "CAST(NULL AS map<string,string>)"
+    texts = {"field": field, "source": source, "default": default, "pattern": pattern, "regex_group": group, "join_with": join}
+    cells = [f"'{n}', CAST({quoted(v)} AS STRING)" for n, v in texts.items()]
+    cells += [f"'regex_all', CAST({'NULL' if every is None else every} AS BOOLEAN)", f"'value_map', {table}", f"'plain', {plain}"]
+    return f"named_struct({', '.join(cells)})"
 
 
 def sheets(t):
@@ -70,7 +72,7 @@ def sheets(t):
     ledger = rows.select("site", "row_no", by_layout(raw).alias("raw"))
     sites = rows.select("site", "layout").distinct()
     heads = {n: F.array(*[F.lit(h) for h in hs if h]) for n, hs in LAYOUTS.items()}
-    rules = {n: F.array(*[_rule(r) for r in rs]) for n, rs in RULES.items()}
+    rules = {n: F.expr(f"array({', '.join(_rule(r) for r in rs)})") for n, rs in RULES.items()}
     headers = sites.select("site", F.explode(by_layout(heads)).alias("header"))
     return ledger, sites.select("site", F.explode(by_layout(rules)).alias("r")).select("site", "r.*"), headers
 
