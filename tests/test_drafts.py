@@ -73,9 +73,9 @@ def test_partial_category_match_equals_brute_force(spark):
 def test_brand_screen_keeps_unlisted_and_unjudged_keywords(spark):
     scored = spark.createDataFrame([(1, "good one", 13), (1, "brandish", 10), (1, "나이키 신발", 13), (2, "alone", 10)], "product_id int, keyword string, score int")
     verdicts = spark.createDataFrame([(1, "brandish", "brand_suspected")], "product_id int, keyword string, verdict string")
-    safe, suspects = kw.screen_brands(scored, verdicts)
-    assert sorted((r.product_id, r.keyword) for r in safe.collect()) == [(1, "good one"), (2, "alone")]
-    assert [tuple(r) for r in suspects.collect()] == [(1, "brandish")]
+    got = sorted((r.kind, r.product_id, r.keyword, r.rank) for r in kw.screen_brands(scored, verdicts).collect() if r.kind == "kept")
+    assert got == [("kept", 1, "good one", 1), ("kept", 2, "alone", 1)]
+    assert [(r.product_id, r.keyword) for r in kw.screen_brands(scored, verdicts).filter("kind = 'warning'").collect()] == [(1, "brandish")]
 
 
 def test_empty_export_is_an_error(spark, tmp_path):

@@ -34,8 +34,9 @@ def _best(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def screen_brands(scored: DataFrame, verdicts: DataFrame, examined: int = 20, kept: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(kept keywords, suspected keywords): trademarks and brand-suspected keywords out, at most ten stay, in score order.
+def screen_brands(scored: DataFrame, verdicts: DataFrame, examined: int = 20, kept: int = 10) -> DataFrame:
+    """Kept and suspected keywords per product, ``kind`` telling which: of the best twenty, trademarks drop out,
+    brand-suspected ones become warnings, and at most ten others stay, in score order.
 
     ``verdicts``: ``product_id, keyword, verdict``; a product without verdicts keeps all, an unlisted keyword counts as
     generic.
@@ -43,8 +44,12 @@ def screen_brands(scored: DataFrame, verdicts: DataFrame, examined: int = 20, ke
     top = _best(scored, examined).drop("rank").filter(~tx.contains_any(F.col("keyword"), K.TRADEMARKS))
     suspected = verdicts.filter(F.col("verdict") == "brand_suspected").select("product_id", "keyword").dropDuplicates()
     marked = top.join(suspected.withColumn("suspect", F.lit(True)), ["product_id", "keyword"], "left")
-    safe = _best(marked.filter(F.col("suspect").isNull()).drop("suspect"), kept)
-    return safe, marked.filter("suspect").select("product_id", "keyword")
+    marked = marked.withColumn("suspect", F.coalesce("suspect", F.lit(False)))
+    # At most twenty rows per product are left here; the others come first, so that their ranks are final.
+    order = Window.partitionBy("product_id").orderBy("suspect", F.desc("score"), "keyword")
+    ranked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("suspect") | (F.col("rank") <= kept))
+    kind = F.when(F.col("suspect"), F.lit("warning")).otherwise(F.lit("kept"))
+    return ranked.select(kind.alias("kind"), "product_id", "keyword", "score", F.when(~F.col("suspect"), F.col("rank")).alias("rank"))
 
 
 def read_dictionary(rows: DataFrame) -> DataFrame:
@@ -83,8 +88,12 @@ def match_categories(searches: DataFrame, dictionary: DataFrame) -> DataFrame:
     exact = dictionary.select("path", F.col("category_id").alias("exact_id"))
     rows = rows.join(exact, "path", "left")
     open_terms = rows.filter((F.col("outcome") == "hit") & F.col("exact_id").isNull())
-    partial = first_paths_containing(open_terms, dictionary).select("term", F.col("path").alias("near_path"), F.col("category_id").alias("near_id"))
-    rows = rows.join(partial, "term", "left")
+    partial = first_paths_containing(open_terms, dictionary).select(
+        F.col("term").alias("_key"), F.col("path").alias("near_path"), F.col("category_id").alias("near_id"))
+    # Rows that need no partial match get a key of their own, so that they do not meet in one partition.
+    needs = (F.col("outcome") == "hit") & F.col("exact_id").isNull() & (F.col("term") != "")
+    apart = F.concat(F.lit("\x00"), F.col("product_id").cast("string"))
+    rows = rows.withColumn("_key", F.when(needs, F.col("term")).otherwise(apart)).join(partial, "_key", "left")
     by = F.col("outcome")
     shown = F.when(by == "failed", F.lit("Error")).when(by == "empty", F.lit("")).when(F.col("exact_id").isNotNull(), F.col("path")).otherwise(
         F.coalesce("near_path", "path"))

@@ -10,6 +10,7 @@ from wareloom.functions import numbers as num
 from wareloom.functions import text as tx
 from wareloom.functions import urls as ur
 from wareloom.functions.rows import explode_built
+from wareloom.functions.skew import join_per_key, salted
 from wareloom.functions.text import clean_text
 
 BLOCKING = ("raw_product_name", "supplier_product_code", "supplier_status")
@@ -192,13 +193,14 @@ def candidate_links(links: DataFrame, references: DataFrame, limit: int = 15) ->
 
     ``links``: ``source, ord, url, image_url, name`` (addresses absolute); ``references``: ``source, reference_url``.
     With a reference, links of its path count (at least two), else those sharing a code parameter too; without one, the
-    largest path group if it holds half of the links. Group sizes come from aggregates joined back per source.
+    largest path group if it holds half of the links. Group sizes come from aggregates joined back per source; the
+    links of one source are spread by salt, as one source may hold many of them.
     """
     path_query = lambda u: F.lower(F.concat(ur.url_path(u), F.lit("?"), ur.url_query(u)))
     norm = lambda u: F.lower(F.regexp_replace(ur.url_path(u), "/+$", ""))
     ref = F.col("reference_url")
     words = F.array(*[F.lit(w) for w in K.NON_PRODUCT_FRAGMENTS])
-    rows = links.join(references, "source", "left").withColumns({
+    rows = join_per_key(salted(links, ["url", "ord"]), references, ["source"], "left").withColumns({
         "_pq": path_query(F.col("url")), "_ref": F.coalesce(path_query(ref), F.lit("")), "_path": norm(F.col("url"))})
     rows = rows.filter(~F.exists(words, lambda w: F.col("_pq").contains(w) & ~F.col("_ref").contains(w)))
     shares = F.arrays_overlap(_code_names(F.col("url")), _code_names(ref))
@@ -208,7 +210,7 @@ def candidate_links(links: DataFrame, references: DataFrame, limit: int = 15) ->
     facts = paths.groupBy("source").agg(
         F.sum("k").alias("_n"), F.sum("same").alias("_n_same"), F.sum("near").alias("_n_near"),
         F.max(F.struct("k", (-F.col("o")).alias("o"), F.col("_path").alias("path"))).alias("_top"))
-    rows = rows.join(facts, "source")
+    rows = join_per_key(rows, facts, ["source"])
     with_ref = (F.when(F.col("_n_same") >= 2, F.col("_same")).when(F.col("_n_near") > 0, F.col("_same") | F.col("_shared")).otherwise(F.lit(True)))
     without = (F.col("_top.k") * 2 < F.col("_n")) | (F.col("_path") == F.col("_top.path"))
     name = tx.strip(F.coalesce("name", F.lit("")))

@@ -45,9 +45,7 @@ m AS (SELECT r.*, EXISTS (SELECT 1 FROM v WHERE v.product_id = r.product_id AND
 k AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, keyword) AS rank FROM m WHERE NOT bad)
 SELECT 'kept' AS kind, product_id, keyword, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10 UNION ALL SELECT 'warning', product_id, keyword, NULL FROM m WHERE bad""")
 def k3(t):
-    safe, suspects = kw.screen_brands(kw.score_keywords(seeds(t)), t.sql(VERDICTS_SQL))
-    kept = safe.select(F.lit("kept").alias("kind"), "product_id", "keyword", "rank")
-    return kept.unionByName(suspects.select(F.lit("warning").alias("kind"), "product_id", "keyword", F.lit(None).cast("int").alias("rank")))
+    return kw.screen_brands(kw.score_keywords(seeds(t)), t.sql(VERDICTS_SQL)).drop("score")
 
 
 def named(t):
