@@ -81,3 +81,26 @@ def test_brand_screen_keeps_unlisted_and_unjudged_keywords(spark):
 def test_empty_export_is_an_error(spark, tmp_path):
     with pytest.raises(wr.NothingToExport):
         wr.write_processed_export(spark.range(0), str(tmp_path / "out"))
+
+
+def test_missing_key_fields_block_saving(spark):
+    results = spark.createDataFrame([("a", "raw_product_name", "Ring", "u1", None), ("a", "supply_price", "1,000", "u1", None), ("a", "origin", "상품명 : x", "u1", None),
+                                     ("a", "supplier_product_code", "https://x", "u1", None)], "source string, field string, value string, url string, images int")
+    got = {r.field: (r.ok, r.role) for r in qa.field_summary(results).collect()}
+    assert got == {"raw_product_name": (True, None), "supply_price": (True, None), "main_image_url": (False, "blocks"), "supplier_product_code": (False, "blocks"), "origin": (False, "warns")}
+    sources = spark.createDataFrame([("a", False), ("b", False), ("a2", True)], "source string, stale boolean")
+    assert {r.source: r.reason for r in qa.save_gate(sources, results).collect()} == {"a": "failed", "b": "missing", "a2": "missing"}
+
+
+def test_candidate_links_with_a_hot_source_equal_brute_force(spark):
+    links = [("hot", i, f"http://s/{'view' if i % 3 else 'other'}?pid={i % 700}", "img" if i % 2 else "", f"n{i}" if i % 5 else None) for i in range(2000)] + [("cold", 1, "http://s/cart/x", "", "n")]
+    df = spark.createDataFrame(links, "source string, ord int, url string, image_url string, name string")
+    refs = spark.createDataFrame([("cold", "http://s/nothing")], "source string, reference_url string")
+    got = [(r.url, r.score) for r in qa.candidate_links(df, refs).orderBy("rank").collect()]
+    ranked = sorted(((-(2 * bool(im) + bool(nm)), o, u) for _, o, u, im, nm in links[:2000] if "/view" in u))
+    want, seen = [], set()
+    for score, _, url in ranked:
+        if url not in seen and len(want) < 15:
+            seen.add(url)
+            want.append((url, -score))
+    assert got == want

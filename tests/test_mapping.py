@@ -94,3 +94,10 @@ def test_export_and_reimport_keep_alignment(spark):
                                     "product_id int, option_position int, option_display_name string, option_value_1 string, option_supply_price int, option_main_image_url string")
     r = op.inline_options(options).first()
     assert (r.names, r.prices, r.images) == ("블랙,화이트", "12000,13000", "b.jpg,")
+
+
+def test_pattern_input_is_bounded_for_ledger_cells(spark):
+    rule = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("default"), F.lit("end$").alias("pattern"), F.lit(0).alias("regex_group"),
+                    F.lit(False).alias("regex_all"), F.lit(",").alias("join_with"), F.lit(None).cast("map<string,string>").alias("value_map"))
+    df = spark.createDataFrame([("x" * 6000 + "end",)], "s string")
+    assert df.select(mp.apply_rule(F.col("s"), rule), mp.apply_rule(F.col("s"), rule, input_limit=None)).first()[:] == (None, "end")

@@ -138,10 +138,13 @@ def sanitize_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
         F.when(~oversized, short).alias("value_map"), stays.alias("kept"), said.alias("warnings"))
 
 
-def apply_rule(value: Column, rule: Column) -> Column:
-    """Default for a blank, then the pattern (first match, or all matches joined), then the value map."""
+def apply_rule(value: Column, rule: Column, input_limit: int | None = K.RULE_LIMITS["regex_input"]) -> Column:
+    """Default for a blank, then the pattern (first match, or all matches joined), then the value map.
+
+    Supplier patterns see at most ``input_limit`` characters of a ledger cell; None lifts that bound.
+    """
     def by_pattern(text):
-        cut = F.substring(text, 1, K.RULE_LIMITS["regex_input"])
+        cut = text if input_limit is None else F.substring(text, 1, input_limit)
         first = F.call_function("regexp_extract", cut, rule["pattern"], rule["regex_group"])
         every = F.call_function("regexp_extract_all", cut, rule["pattern"], rule["regex_group"])
         kept = F.filter(F.transform(every, lambda m: tx.strip(m)), lambda m: m != "")

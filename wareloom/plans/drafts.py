@@ -104,7 +104,7 @@ UNIQUE_DRAFTS_SQL = """SELECT CAST(draft_id AS BIGINT) AS draft_id, product_id,
   SELECT draft_id, product_id, account_id, draft_kind, CASE WHEN draft_id % 17 = 0 THEN 'submitted' ELSE status END AS status, updated_at AS version, sale_price,
     CASE WHEN draft_id % 3 = 0 THEN '{"note":1}' ELSE NULL END AS override_patch, row_number() OVER (PARTITION BY product_id, account_id ORDER BY draft_id DESC) AS q FROM stored_drafts) z WHERE q = 1"""
 NEW_RESULTS_SQL = """SELECT DISTINCT product_id + CASE WHEN draft_id % 5 = 0 THEN 100000 ELSE 0 END AS product_id, account_id, CAST('1998-01-01 00:00:00' AS TIMESTAMP) AS version, 777 AS sale_price
-  FROM stored_drafts WHERE account_id % 2 = 0"""
+  FROM stored_drafts JOIN accounts USING (account_id) WHERE connection_status = 'connected'"""
 
 
 @query("D8", f"""
@@ -130,7 +130,7 @@ def d9(t):
     return dr.job_outcomes(jobs, outcomes).select("job_id", "status", "generated_version", "error")
 
 
-EDITS_SQL = """SELECT draft_id, CASE account_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'published' WHEN 2 THEN 'failed' ELSE 'ready' END AS status FROM stored_drafts WHERE product_id % 3 <> 0"""
+EDITS_SQL = """SELECT draft_id, CASE account_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'published' WHEN 2 THEN 'failed' ELSE 'ready' END AS status FROM stored_drafts WHERE sale_price > 100000"""
 
 
 @query("D10", f"""

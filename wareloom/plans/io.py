@@ -61,11 +61,11 @@ def src4(t):
 
 
 @query("SRC5", """
-SELECT p_partkey AS product_id, CASE WHEN p_size % 4 = 0 THEN p_name ELSE concat(p_name, ' fine') END AS refined_name, CASE WHEN p_size % 4 = 0 THEN '' ELSE concat(p_type, '|', p_brand) END AS related,
-  p_size % 4 = 0 AS call_failed FROM part""")
+SELECT p_partkey AS product_id, CASE WHEN p_size > 40 THEN p_name ELSE concat(p_name, ' fine') END AS refined_name, CASE WHEN p_size > 40 THEN '' ELSE concat(p_type, '|', p_brand) END AS related,
+  p_size > 40 AS call_failed FROM part""")
 def src5(t):
     path = fresh_folder(t, "enrichment-json")
-    t.part.filter("p_size % 4 <> 0").select(F.col("p_partkey").alias("product_id"), F.concat("p_name", F.lit(" fine")).alias("refined_name"),
+    t.part.filter("p_size <= 40").select(F.col("p_partkey").alias("product_id"), F.concat("p_name", F.lit(" fine")).alias("refined_name"),
                                             F.array("p_type", "p_brand").alias("related")).write.json(path)
     products = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("original_name"))
     return rd.with_enrichment(products, rd.read_enrichment(t.spark, path)).select("product_id", "refined_name", F.array_join("related", "|").alias("related"), "call_failed")

@@ -34,7 +34,7 @@ def k2(t):
     return kw.score_keywords(seeds(t))
 
 
-VERDICTS_SQL = """SELECT p_partkey AS product_id, p_name AS keyword, 'brand_suspected' AS verdict FROM part WHERE p_size % 6 = 0
+VERDICTS_SQL = """SELECT p_partkey AS product_id, p_name AS keyword, 'brand_suspected' AS verdict FROM part WHERE p_size > 40
 UNION ALL SELECT p_partkey, concat(p_type, ' ', p_name), 'generic' FROM part"""
 MARK_SQL = " OR ".join(f"contains(keyword, '{w}')" for w in K.TRADEMARKS)
 

@@ -140,8 +140,8 @@ def map3(t):
 
 
 @query("MAP4", """
-SELECT doc_id, nullif(trim(regexp_extract(substr(text, 1, 5000), '([A-Za-z]+)ing')), '') AS first_match,
-  nullif(array_to_string(list_filter(list_transform(regexp_extract_all(substr(text, 1, 5000), '([A-Za-z]+)ing', 1), lambda m: trim(m)), lambda m: m <> ''), '/'), '') AS all_matches,
+SELECT doc_id, nullif(trim(regexp_extract(text, '([A-Za-z]+)ing')), '') AS first_match,
+  nullif(array_to_string(list_filter(list_transform(regexp_extract_all(text, '([A-Za-z]+)ing', 1), lambda m: trim(m)), lambda m: m <> ''), '/'), '') AS all_matches,
   CASE lang WHEN 'en' THEN 'English' ELSE lang END AS mapped, coalesce(CASE WHEN lang = 'en' THEN NULL ELSE source END, 'none') AS filled
 FROM documents""")
 def map4(t):
@@ -151,8 +151,8 @@ def map4(t):
                         F.lit(group).cast("int").alias("regex_group"), F.lit(every).cast("boolean").alias("regex_all"), _text(join).alias("join_with"), table.alias("value_map"))
     blanked = F.when(F.col("lang") == "en", F.lit("  ")).otherwise(F.col("source"))
     return t.documents.select(
-        "doc_id", mp.apply_rule(F.col("text"), rule(pattern="([A-Za-z]+)ing", group=0)).alias("first_match"),
-        mp.apply_rule(F.col("text"), rule(pattern="([A-Za-z]+)ing", group=1, every=True, join="/")).alias("all_matches"),
+        "doc_id", mp.apply_rule(F.col("text"), rule(pattern="([A-Za-z]+)ing", group=0), input_limit=None).alias("first_match"),
+        mp.apply_rule(F.col("text"), rule(pattern="([A-Za-z]+)ing", group=1, every=True, join="/"), input_limit=None).alias("all_matches"),
         mp.apply_rule(F.col("lang"), rule(values=("en", "English"))).alias("mapped"),
         mp.apply_rule(blanked, rule(default="none")).alias("filled"))
 

@@ -46,7 +46,7 @@ RESULTS_SQL = """SELECT supplier_id AS source, product_id AS ord, concat('https:
   CASE WHEN field = 'detail_content' THEN images END AS images FROM (
 SELECT product_id, supplier_id, 'raw_product_name' AS field, CASE WHEN supplier_id % 9 = 4 THEN 'same name' WHEN supplier_id % 7 = 2 THEN '이름 없음' ELSE raw_product_name END AS value, 0 AS images FROM crawled_products
 UNION ALL SELECT product_id, supplier_id, 'supply_price', CASE WHEN product_id % 5 = 0 THEN '문의' ELSE concat(CAST(supply_price AS VARCHAR(20)), '원') END, 0 FROM crawled_products
-UNION ALL SELECT product_id, supplier_id, 'main_image_url', main_image_url, 0 FROM crawled_products WHERE supplier_id % 10 <> 3
+UNION ALL SELECT product_id, supplier_id, 'main_image_url', main_image_url, 0 FROM crawled_products WHERE supplier_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)
 UNION ALL SELECT product_id, supplier_id, 'supplier_product_code', CASE WHEN supplier_id % 8 = 1 THEN raw_product_name WHEN supplier_id % 8 = 2 THEN concat('https://shop.example/p?id=', CAST(product_id AS VARCHAR(20))) ELSE supplier_product_code END, 0 FROM crawled_products
 UNION ALL SELECT product_id, supplier_id, 'origin', CASE WHEN product_id % 3 = 0 THEN '상품명 : x' WHEN product_id % 3 = 1 THEN concat(origin, '  a very long text that is no origin') ELSE origin END, 0 FROM crawled_products
 UNION ALL SELECT product_id, supplier_id, 'detail_content', detail_content, CAST(product_id % 2 AS INT) FROM crawled_products

@@ -136,13 +136,13 @@ def r12(t):
 
 
 @query("R13", """
-SELECT product_id, original_name, CASE WHEN product_id % 3 = 0 THEN refined_name || '|bad!' ELSE '' END AS candidates,
-  CASE WHEN product_id % 3 = 0 THEN refined_name WHEN contains(concat(' ', original_name, ' '), concat(' ', split_part(keyword_list, ',', 2), ' ')) THEN original_name
+SELECT product_id, original_name, CASE WHEN user_id < 3 THEN refined_name || '|bad!' ELSE '' END AS candidates,
+  CASE WHEN user_id < 3 THEN refined_name WHEN contains(concat(' ', original_name, ' '), concat(' ', split_part(keyword_list, ',', 2), ' ')) THEN original_name
     ELSE concat(original_name, ' ', split_part(keyword_list, ',', 2)) END AS product_name,
-  CASE WHEN product_id % 3 = 0 THEN 'llm' ELSE 'fallback' END AS generation_method
+  CASE WHEN user_id < 3 THEN 'llm' ELSE 'fallback' END AS generation_method
 FROM catalogue WHERE status = 'completed' AND refined_name IS NOT NULL AND keyword_list IS NOT NULL""")
 def r13(t):
     products = catalogue(t)
-    candidates = products.filter("product_id % 3 = 0 AND refined_name IS NOT NULL").select("product_id", F.array("refined_name", F.lit("bad!")).alias("candidates"))
+    candidates = products.filter("user_id < 3 AND refined_name IS NOT NULL").select("product_id", F.array("refined_name", F.lit("bad!")).alias("candidates"))
     out = rd.name_results(products, candidates)
     return out.withColumn("candidates", F.array_join("candidates", "|"))

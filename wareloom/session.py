@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages travel to Python whole, so batches are kept short.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

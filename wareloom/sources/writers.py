@@ -57,9 +57,12 @@ def write_processed_export(export: DataFrame, path: str) -> None:
 
 
 def append(rows: DataFrame, path: str, partition: str | None = None) -> None:
-    """Append to a history table, one folder per run where a partition column is named."""
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Add to a history table. With a partition column every run has its own folder, and a run that is written again
+    replaces its own rows only."""
+    if partition:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def write_version(state: DataFrame, root: str, version: str) -> str:

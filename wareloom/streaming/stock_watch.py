@@ -38,9 +38,11 @@ class StockWatch:
         batch = batch.select(*COLUMNS, F.lit(True).alias("fresh"))
         known = self.state(batch_id - 1)
         rows = batch if known is None else batch.unionByName(known.select(*COLUMNS, F.lit(False).alias("fresh")))
+        rows = rows.persist()
         pairs = sn.with_previous(rows, ["supplier_status", "supply_price"]).filter("fresh")
         sn.detect_changes(pairs).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
         sn.latest(rows.drop("fresh")).write.mode("overwrite").parquet(f"{self.folder}/state/version={batch_id}")
+        rows.unpersist()
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/checkpoint")
