@@ -104,3 +104,38 @@ def test_candidate_links_with_a_hot_source_equal_brute_force(spark):
             seen.add(url)
             want.append((url, -score))
     assert got == want
+
+
+@pytest.fixture()
+def market_row(spark):
+    from wareloom.operators import options as op
+    from wareloom.operators import pricing as pr
+    from wareloom.plans.pricing import policy
+    df = spark.createDataFrame([(1, "v1", "Acme", "ladder", ["step"], "KR", 8000, [" a.jpg ", "", "b.jpg"], "<p>", "50", None, None, None, policy(), False)],
+                               "product_id int, version string, brand_name string, refined_name string, keywords array<string>, origin string, cost_price bigint, images_list array<string>, "
+                               "detail_content string, category_id string, market_name string, attributes string, listing_defaults string, policy_json string, policy_invalid boolean")
+    df = df.withColumns({"standard_options": F.array().cast(f"array<{op.STANDARD_OPTION}>"),
+                         "option_variants": F.array(F.struct(F.lit("Red").alias("name"), F.lit(900).alias("price_wholesale"), F.lit(1).alias("position"))).cast(op.VARIANTS)})
+    return pr.price_listings(pr.parse_policies(df))
+
+
+def test_plain_variants_reach_both_markets(market_row):
+    import json
+    a = dr.market_a_drafts(market_row).first()
+    info = json.loads(a.generated_payload)["originProduct"]
+    assert (a.display_title, a.sale_price, a.validation_status) == ("Acme ladder step", 17200, "valid")
+    assert info["detailAttribute"]["optionInfo"] == {"optionCombinations": [{"name": "Red", "price_wholesale": 900, "position": 1}]}
+    assert info["images"] == {"representativeImage": {"url": "a.jpg"}, "optionalImages": [{"url": "b.jpg"}]}
+    b = json.loads(dr.market_b_drafts(market_row).first().generated_payload)
+    assert b["items"][0]["attributes"] == [{"attributeTypeName": "옵션", "attributeValueName": "Red"}]
+    assert [i["imageType"] for i in b["items"][0]["images"]] == ["REPRESENTATION", "DETAIL"]
+    assert b["pricing"]["proposedSalePrice"] == 17200
+
+
+def test_stored_attributes_count_bare_or_under_their_key(market_row):
+    import json
+    bare = F.lit('[{"attributeSeq":"1","attributeRealValue":"x"}]')
+    nested = F.lit('{"naver_attributes":[{"attributeSeq":"1","attributeRealValue":"x"}]}')
+    for stored in (bare, nested):
+        row = dr.market_a_drafts(market_row.withColumn("attributes", stored)).first()
+        assert json.loads(row.generated_payload)["originProduct"]["detailAttribute"]["productAttributes"] == [{"attributeSeq": "1", "attributeRealValue": "x"}]

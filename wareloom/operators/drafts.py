@@ -68,6 +68,11 @@ def _attribute_list(path: str) -> Column:
     return F.when(text.startswith("["), text).otherwise(F.get_json_object(text, path))
 
 
+def _variants(df: DataFrame) -> Column | None:
+    """Plain option variants, where the products carry them."""
+    return F.col("option_variants") if "option_variants" in df.columns else None
+
+
 def _finish(df: DataFrame, market: str, payload: Column, recipe: str) -> DataFrame:
     df = df.withColumns({"generated_payload": payload, "errors": _errors(df, market)})
     df = df.withColumns({"validation_status": verdict(F.col("errors")), "adapter_version": F.lit(f"{market}-adapter:v1"), "recipe_version": F.lit(recipe)})
@@ -84,7 +89,7 @@ def market_a_drafts(df: DataFrame) -> DataFrame:
     df = df.withColumns({"title": F.coalesce(clean_text(F.col("market_name")), composed), "primary_image_url": F.try_element_at("image_urls", F.lit(1))})
     optional = F.transform(F.slice(F.col("image_urls"), F.lit(2), F.greatest(F.size("image_urls"), F.lit(1))), lambda u: F.struct(u.alias("url")))
     attributes = F.from_json(_attribute_list("$.naver_attributes"), "array<map<string,string>>")
-    detail = F.struct(F.struct(F.col("origin").alias("rawOrigin")).alias("originAreaInfo"), op.market_a_options(F.col("options_used")).alias("optionInfo"),
+    detail = F.struct(F.struct(F.col("origin").alias("rawOrigin")).alias("originAreaInfo"), op.market_a_options(F.col("options_used"), _variants(df)).alias("optionInfo"),
                       F.when(F.size(attributes) > 0, attributes).alias("productAttributes"))
     product = F.struct(
         F.col("title").alias("name"), F.col("category_id").alias("leafCategoryId"), F.col("sale_price").alias("salePrice"),
@@ -102,7 +107,7 @@ def market_b_drafts(df: DataFrame) -> DataFrame:
     pair = "array<struct<attributeTypeName:string,attributeValueName:string>>"
     stored = lambda key: F.coalesce(F.from_json(F.coalesce(F.get_json_object("attributes", f"$.{key}"), F.get_json_object("attributes", f"$.coupang_attributes.{key}")), pair), F.array().cast(pair))
     df = df.withColumns({"_product_attributes": stored("product_attributes"), "_item_attributes": stored("item_attributes")})
-    made = op.market_b_items(F.col("options_used"), F.col("title"), F.col("sale_price"), F.col("image_urls"), F.col("detail_content"), F.col("origin"))
+    made = op.market_b_items(F.col("options_used"), F.col("title"), F.col("sale_price"), F.col("image_urls"), F.col("detail_content"), F.col("origin"), _variants(df))
     items = F.transform(made, lambda i: i.withField("attributes", F.concat(i["attributes"], F.col("_item_attributes"))))
     payload = F.to_json(F.struct(
         F.col("category_id").alias("displayCategoryCode"), F.col("title").alias("displayProductName"), F.col("title").alias("sellerProductName"), items.alias("items"),

@@ -203,14 +203,28 @@ def usable_options(options: Column) -> Column:
     return F.filter(F.coalesce(options, F.array().cast(f"array<{STANDARD_OPTION}>")), lambda o: F.coalesce(o["option_usable"], F.lit(True)))
 
 
-def market_a_options(options: Column) -> Column:
-    """``struct<optionCombinationGroupNames, optionCombinations>``: group names in order of first use, one record per option."""
+COMBINATION = ("struct<optionName1:string,optionName2:string,optionName3:string,stockQuantity:int,price:bigint,usable:boolean,"
+               "sellerManagerCode:string,name:string,price_wholesale:bigint,position:int>")
+
+
+def market_a_options(options: Column, variants: Column | None = None) -> Column:
+    """``struct<optionCombinationGroupNames, optionCombinations>``: group names in order of first use, one record per option.
+
+    Without standard options the plain variants (name, price, position) are passed on as they are.
+    """
     groups = F.array_distinct(F.flatten(F.transform(options, lambda o: F.transform(option_levels(o), lambda l: l["group"]))))
+    none = F.lit(None)
     combos = F.transform(options, lambda o: F.struct(
         clean_text(o["option_value_1"]).alias("optionName1"), clean_text(o["option_value_2"]).alias("optionName2"),
         clean_text(o["option_value_3"]).alias("optionName3"), o["option_stock_quantity"].alias("stockQuantity"),
         o["option_price_delta"].alias("price"), F.coalesce(o["option_usable"], F.lit(True)).alias("usable"),
-        clean_text(o["option_sku"]).alias("sellerManagerCode")))
+        clean_text(o["option_sku"]).alias("sellerManagerCode"), none.alias("name"), none.alias("price_wholesale"),
+        none.alias("position"))).cast(f"array<{COMBINATION}>")
+    if variants is not None:
+        plain = F.transform(F.coalesce(variants, F.array().cast(VARIANTS)), lambda v: F.struct(
+            *[none.alias(n) for n in ("optionName1", "optionName2", "optionName3", "stockQuantity", "price", "usable", "sellerManagerCode")],
+            v["name"].alias("name"), v["price_wholesale"].alias("price_wholesale"), v["position"].alias("position"))).cast(f"array<{COMBINATION}>")
+        combos = F.when(F.size(options) > 0, combos).otherwise(plain)
     return F.struct(F.when(F.size(groups) > 0, groups).alias("optionCombinationGroupNames"), combos.alias("optionCombinations"))
 
 
@@ -223,8 +237,9 @@ def market_b_images(urls: Column) -> Column:
     return F.transform(urls, lambda u, i: F.when(i == 0, _image("REPRESENTATION", u, i)).otherwise(_image("DETAIL", u, i)))
 
 
-def market_b_items(options: Column, title: Column, sale_price: Column, images: Column, content: Column, origin: Column) -> Column:
-    """One item per usable option; a product without options gives one item named by its title."""
+def market_b_items(options: Column, title: Column, sale_price: Column, images: Column, content: Column, origin: Column,
+                   variants: Column | None = None) -> Column:
+    """One item per usable option, else one per plain variant; a product without either gives one item named by its title."""
     contents = F.array(F.struct(F.lit("HTML").alias("contentsType"), F.array(F.struct(
         F.lit("TEXT").alias("detailType"), content.alias("content"))).alias("contentDetails")))
     attribute = "array<struct<attributeTypeName:string,attributeValueName:string>>"
@@ -245,10 +260,18 @@ def market_b_items(options: Column, title: Column, sale_price: Column, images: C
             l["group"].alias("attributeTypeName"), l["value"].alias("attributeValueName"))).cast(attribute)
         return _item(name, price, pictures, attributes, contents, origin, clean_text(o["option_sku"]), o["option_stock_quantity"])
 
-    none = F.lit(None)
-    plain = _item(title, sale_price.cast("bigint"), market_b_images(images), F.array().cast(attribute), contents, origin,
-                  none.cast("string"), none.cast("int"))
-    return F.when(F.size(options) > 0, F.transform(options, item)).otherwise(F.array(plain))
+    def bare(name, attributes):
+        none = F.lit(None)
+        return _item(name, sale_price.cast("bigint"), market_b_images(images), attributes.cast(attribute), contents, origin, none.cast("string"), none.cast("int"))
+
+    def variant(v):
+        name = F.coalesce(clean_text(v["name"]), title)
+        return bare(name, F.array(F.struct(F.lit(K.OPTION_GROUP_NAME).alias("attributeTypeName"), name.alias("attributeValueName"))))
+
+    single = F.array(bare(title, F.array()))
+    if variants is not None:
+        single = F.when(F.size(variants) > 0, F.transform(variants, variant)).otherwise(single)
+    return F.when(F.size(options) > 0, F.transform(options, item)).otherwise(single)
 
 
 def _item(name, price, images, attributes, contents, origin, sku, stock) -> Column:
