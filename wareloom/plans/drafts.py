@@ -91,11 +91,11 @@ def d6(t):
 
 
 @query("D7", """
-SELECT product_id, account_id, market_code FROM (SELECT product_id, CAST(user_id AS BIGINT) AS user_id FROM catalogue) c JOIN accounts USING (user_id)
+SELECT product_id, account_id, market_code FROM (SELECT product_id, CAST(floor(product_id / 8) AS BIGINT) AS user_id FROM catalogue) c JOIN accounts USING (user_id)
 WHERE connection_status = 'connected' AND market_code IN ('smartstore', 'coupang')
   AND NOT EXISTS (SELECT 1 FROM stored_drafts d WHERE d.product_id = c.product_id AND d.account_id = accounts.account_id AND d.status = 'submitting')""")
 def d7(t):
-    products = t.catalogue.select("product_id", F.col("user_id").cast("bigint").alias("user_id"))
+    products = t.catalogue.select("product_id", F.floor(F.col("product_id") / 8).cast("bigint").alias("user_id"))
     return dr.draft_targets(products, t.accounts, t.stored_drafts).select("product_id", "account_id", "market_code")
 
 

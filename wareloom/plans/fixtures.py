@@ -143,8 +143,9 @@ FROM orders"""
 FIXTURES["sites"] = """
 SELECT n_nationkey AS site_id, n_name AS site_name FROM nation WHERE n_regionkey <> 3"""
 
+# An owner has four accounts.
 FIXTURES["accounts"] = """
-SELECT c_custkey AS account_id, CAST(c_nationkey AS BIGINT) AS user_id,
+SELECT c_custkey AS account_id, CAST(floor(c_custkey / 4) AS BIGINT) AS user_id,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'smartstore' WHEN 'MACHINERY' THEN 'coupang' WHEN 'FURNITURE' THEN 'smartstore'
             ELSE 'other' END AS market_code,
        CASE WHEN c_acctbal >= 0 THEN 'connected' ELSE 'disconnected' END AS connection_status,
