@@ -56,7 +56,7 @@ PAGE_FIELDS = {
 
 @query("H6", """
 WITH i AS (SELECT page_id, url, html, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hrefs FROM pages)
-SELECT page_id, 'raw_product_name' AS field, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS shown FROM i
+SELECT page_id, 'raw_product_name' AS field, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g')) AS shown FROM i
 UNION ALL SELECT page_id, 'links', array_to_string(hrefs[2:], '|') FROM i
 UNION ALL SELECT page_id, 'supplier_product_code', regexp_extract(url, '/([0-9]+)', 1) FROM i UNION ALL SELECT page_id, 'origin', 'Korea' FROM i
 UNION ALL SELECT page_id, 'ad', trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) FROM i""")
