@@ -14,7 +14,7 @@ classes the fit refuses.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ WIDTH = 6
 FILTERS = 24
 HIDDEN = 16
 CELL = 128
-BLOCK_CELLS = 2048  # cells whose responses are in memory at once
+BLOCK_CELLS = 1024  # cells whose responses are in memory at once
 SAMPLE = 1000
 TRAIN_CHUNKS = 6
 EPOCHS = 18
@@ -71,20 +71,23 @@ class ByteConvNet:
         features = np.tanh(pooled + self.bias)
         return np.maximum(features @ self.hidden + self.hidden_bias, 0) @ self.out + self.out_bias[0]
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """One probability per text. Each text is padded to whole cells plus WIDTH - 1 codes, so no window spans two texts."""
-        cells = np.array([max(1, -(-len(t) // CELL)) for t in texts])
-        sums = np.empty(len(texts))
-        start = 0
-        while start < len(texts):  # groups of texts of bounded size, or one long text
-            stop = start + 1
-            while stop < len(texts) and cells[start : stop + 1].sum() <= BLOCK_CELLS:
-                stop += 1
-            sums[start:stop] = self._mean_logits(texts[start:stop], cells[start:stop])
-            start = stop
-        return 1 / (1 + np.exp(-np.clip(sums, -60, 60)))
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        """One probability per text. Texts are taken in groups of at most BLOCK_CELLS cells, or one long text."""
+        means, group, sizes = [], [], []
+        for text in texts:
+            raw = text.encode()
+            cells = max(1, -(-len(raw) // CELL))
+            if group and sum(sizes) + cells > BLOCK_CELLS:
+                means.append(self._mean_logits(group, np.array(sizes)))
+                group, sizes = [], []
+            group.append(raw)
+            sizes.append(cells)
+        if group:
+            means.append(self._mean_logits(group, np.array(sizes)))
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([*means, np.empty(0)]), -60, 60)))
 
     def _mean_logits(self, texts: list[bytes], cells: np.ndarray) -> np.ndarray:
+        """Each text is padded to whole cells plus WIDTH - 1 codes, so no window spans two texts."""
         maxima = np.concatenate([self.cell_maxima(padded(t, k), k) for t, k in zip(texts, cells)])
         first = np.concatenate([[0], np.cumsum(cells)[:-1]])
         # A chunk is a cell and its successor; a text of one cell is one chunk.
@@ -191,7 +194,7 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
     def probabilities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": shared.value.scores([t.encode() for t in pdf["text"]])})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": shared.value.scores(pdf["text"])})
 
     narrow = docs.select(field("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     return narrow.mapInPandas(probabilities, "doc_id bigint, score double")
@@ -203,6 +206,6 @@ def scored(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
     @F.pandas_udf(DoubleType())
     def probability(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores([t.encode() for t in texts]))
+        return pd.Series(shared.value.scores(texts))
 
     return docs.select(F.struct("*").alias("doc"), probability(whole_text()).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import byte_bpe, mixing, quality_classifier, secret_scan, simhash
+from wareloom.llm import byte_bpe, html_extract, license_scan, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
 from wareloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+@query("op2_top_k")
+def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op3_byte_bpe")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks()
@@ -39,6 +44,18 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
+@query("op4_quality_rules")
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         F.array_join("broken_rules", ",").alias("broken_rules"))
+
+
+@query("op5_html_extraction")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def _mixing_oracle() -> str:
     weights = mixing.WEIGHTS
     total = sum(weights.values())
@@ -64,6 +81,17 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select(F.col("doc")["doc_id"].alias("doc_id"), F.col("doc")["source"].alias("source"), "class", "block", "place", "release", "deadline", "slot")
 
 
+@query("op7_sharding")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_license_scan")
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
