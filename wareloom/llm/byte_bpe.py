@@ -6,7 +6,8 @@ latter has resynchronised: the pattern looks only ahead, so from there on its bo
 at the first such boundary of each overlap (a chunk without one stays with its predecessor), the pieces are encoded in parallel, and
 their ids are joined in order. Decoding joins the tokens' raw bytes.
 
-Boundaries close to a chunk's end may be due to the cut; they are not used (``MARGIN`` exceeds the pattern's longest look ahead).
+Boundaries close to a chunk's end may be due to the cut; they are not used (``MARGIN`` exceeds the pattern's longest look ahead). Nor are
+those after white space, which the pattern groups by what follows.
 
 Defined results: a null text counts as empty and has no ids; each row is encoded by itself, repeated rows and null ids too; special tokens'
 strings are ordinary text; an empty table gives no rows. Bytes that are no valid UTF-8 do not occur in Spark's strings.
@@ -36,6 +37,7 @@ MARGIN = 8
 RUN = 200_000  # characters of a piece from which its pre-tokens are matched here
 #: Unicode's White_Space, which is what the pattern's \s stands for; fixed values.
 WHITE_SPACE = r"\t\n\x0b\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = frozenset("\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -79,10 +81,10 @@ def encode_text(text: str, table: tiktoken.Encoding) -> np.ndarray:
 
 
 def boundaries(text: str, start: int, last: bool) -> list[int]:
-    """Ends of the pre-tokens of a chunk, in characters of the whole text."""
+    """Ends of the pre-tokens of a chunk at which the text can be cut, in characters of the whole text."""
     found = [m.end() for m in pre_tokens().finditer(text)]
     limit = len(text) if last else len(text) - MARGIN
-    return [start + e for e in found if e <= limit]
+    return [start + e for e in found if e <= limit and text[e - 1] not in BLANK]
 
 
 def encoded(rows: DataFrame, shared) -> DataFrame:
