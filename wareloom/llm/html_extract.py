@@ -3,7 +3,7 @@
 Boilerplate elements (by tag, or by a word of their class, id or role) are left out. Every paragraph-like element with text of its own earns
 points for its length and its commas, which count in full for its parent, half for its grandparent and less further up. A
 container's points are discounted by the share of its text that stands in links. The best container is kept, and of its siblings those
-that score well themselves. Text is given block by block, in page order.
+that score well themselves; lists of links within them are left out. Text is given block by block, in page order.
 
 Blocks are joined by two line breaks; white space within a block becomes one space; character references are decoded; a line-break element is
 white space. Unclosed elements end where HTML ends them: a new paragraph closes an open one with whatever inline elements it left open.
@@ -44,13 +44,13 @@ NAMED = frozenset({"body", "html", "main", "article"})  # not dropped for their
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "score", "dropped")
+    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "links", "score", "dropped")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
-        self.length = self.commas = self.linked = 0
+        self.length = self.commas = self.linked = self.links = 0
         self.score = 0.0
 
 
@@ -148,10 +148,12 @@ def measure(order: list[Node]) -> None:
                 at = at.parent
             if at is not None:
                 at.linked += length
+                at.links += 1
     for node in reversed(order):  # children come after their parents
         if node.parent is not None and not node.dropped:
             node.parent.length += node.length
             node.parent.linked += node.linked
+            node.parent.links += node.links
     for node, worth in points:
         at, level = node.parent, 0
         while at is not None and level < 6:
@@ -165,6 +167,11 @@ def density(node: Node) -> float:
     return min(1.0, node.linked / node.length) if node.length else 0.0
 
 
+def is_link_list(node: Node) -> bool:
+    """A part of a kept container that does little but link elsewhere."""
+    return node.tag in CONTAINERS and node.links >= 3 and density(node) > 0.6
+
+
 def main_nodes(tree: Tree) -> list[Node]:
     candidates = [n for n in tree.order if not n.dropped and n.tag in CONTAINERS and n.score > 0]
     if not candidates:
@@ -206,7 +213,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                     flush()
             elif isinstance(child, str):
                 run.append(child)
-            elif child.dropped:
+            elif child.dropped or is_link_list(child):
                 if child.tag in BLOCKS or child.tag in DROPPED:
                     flush()
             else:
