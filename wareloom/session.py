@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,26 +35,28 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "war
     )
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session names no folder that all executors share."""
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder set.
+    A local session (tests, benchmarks) that names none gets a temporary folder, removed when the process ends; on a cluster a folder
+    of one machine would lose data, so a session without the setting is refused.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="wareloom-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="wareloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder so lost executors cost no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def data_folder(spark: SparkSession, name: str) -> str:
     """A named sub-folder of the shared checkpoint folder, for written intermediate tables."""
     return os.path.join(checkpoint_folder(spark), name)
