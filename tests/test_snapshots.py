@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wareloom.operators import snapshots as sn
@@ -100,3 +101,12 @@ def test_rerun_of_a_batch_gives_the_same_rows(spark, tmp_path):
     watch.process(batch, 0)
     watch.process(batch, 0)
     assert found(watch.changes()) == brute_force(rows)
+
+
+def test_tree_of_any_depth_and_cycles(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, str(i)) for i in range(7)]
+    nodes = spark.createDataFrame([*chain, ("orphan", "nowhere", "o")], "id string, parent_id string, name string")
+    assert {r.id: r.depth for r in sn.flatten_tree(nodes).collect()} == {f"n{i}": i for i in range(7)}
+    circle = spark.createDataFrame([*chain, ("a", "b", "a"), ("b", "a", "b")], "id string, parent_id string, name string")
+    with pytest.raises(sn.CategoryCycle):
+        sn.flatten_tree(circle)

@@ -52,9 +52,8 @@ HEADER_FALLBACKS = {
     "wholesale_registered_at": ["등록일", "상품등록일"],
 }
 
-# Bounds on user-supplied mapping rules.
-RULE_LIMITS = {"default": 2000, "join_with": 20, "value_map_entries": 100, "value_map_key": 500,
-               "value_map_value": 2000, "regex": 300, "regex_input": 5000}
+# Bounds on user-supplied mapping rules; what exceeds them is refused with a warning, never shortened.
+RULE_LIMITS = {"value_map_entries": 100, "regex": 300}
 
 # Supplier status spellings and their canonical form.
 STATUS_SPELLINGS = {

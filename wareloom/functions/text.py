@@ -132,7 +132,7 @@ def sanitize_text(c: Column, limit: int | None = None, drop_tags: bool = False)
     """Remove back-quotes, control characters and (optionally) tags; collapse whitespace; cut to a length."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), K.UNPRINTABLE, " ")
     if drop_tags:
-        c = F.regexp_replace(c, r"<[^>]{0,200}>", " ")
+        c = F.regexp_replace(c, r"<[^>]*>", " ")
     c = squash(c)
     return c if limit is None else F.substring(c, 1, limit)
 

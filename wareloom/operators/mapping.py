@@ -104,7 +104,7 @@ def unsafe_pattern(c: Column) -> Column:
 
 
 def sanitize_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
-    """Bounded, readable rules with a verdict: ``warnings`` lists what was ignored, ``kept`` says if the rule stays."""
+    """Readable rules with a verdict: ``warnings`` lists what was ignored, ``kept`` says if the rule stays. Values are never shortened."""
     lim = K.RULE_LIMITS
     known = headers.select("site", F.col("header").alias("source"), F.lit(True).alias("present"))
     df = rules.join(known, ["site", "source"], "left").withColumns({
@@ -127,26 +127,19 @@ def sanitize_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
         F.when(~F.coalesce(unsafe | broken | bad_group, F.lit(False)) & ~F.col("present") & F.col("default").isNull() & ~F.col("plain"),
                F.concat(F.lit("Ignored rule without a valid source or default for "), field, F.lit("."))),
     )))
-    short = F.transform_values(
-        F.transform_keys("value_map", lambda k, v: F.substring(k, 1, lim["value_map_key"])),
-        lambda k, v: F.substring(v, 1, lim["value_map_value"]))
     return df.select(
         "site", "field", F.when(F.col("present"), F.col("source")).alias("source"),
-        F.substring("default", 1, lim["default"]).alias("default"),
+        "default",
         F.regexp_replace("pattern", r"\(\?P<", "(?<").alias("pattern"), group.alias("regex_group"),
-        F.coalesce("regex_all", F.lit(False)).alias("regex_all"), F.substring("join_with", 1, lim["join_with"]).alias("join_with"),
-        F.when(~oversized, short).alias("value_map"), stays.alias("kept"), said.alias("warnings"))
+        F.coalesce("regex_all", F.lit(False)).alias("regex_all"), "join_with",
+        F.when(~oversized, F.col("value_map")).alias("value_map"), stays.alias("kept"), said.alias("warnings"))
 
 
-def apply_rule(value: Column, rule: Column, input_limit: int | None = K.RULE_LIMITS["regex_input"]) -> Column:
-    """Default for a blank, then the pattern (first match, or all matches joined), then the value map.
-
-    Supplier patterns see at most ``input_limit`` characters of a ledger cell; None lifts that bound.
-    """
+def apply_rule(value: Column, rule: Column) -> Column:
+    """Default for a blank, then the pattern (first match, or all matches joined) over the whole cell, then the value map."""
     def by_pattern(text):
-        cut = text if input_limit is None else F.substring(text, 1, input_limit)
-        first = F.call_function("regexp_extract", cut, rule["pattern"], rule["regex_group"])
-        every = F.call_function("regexp_extract_all", cut, rule["pattern"], rule["regex_group"])
+        first = F.call_function("regexp_extract", text, rule["pattern"], rule["regex_group"])
+        every = F.call_function("regexp_extract_all", text, rule["pattern"], rule["regex_group"])
         kept = F.filter(F.transform(every, lambda m: tx.strip(m)), lambda m: m != "")
         found = F.when(F.coalesce(rule["regex_all"], F.lit(False)),
                        F.call_function("array_join", kept, F.coalesce(rule["join_with"], F.lit(",")))).otherwise(first)

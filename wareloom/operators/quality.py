@@ -227,11 +227,11 @@ _SRC = r"""src=["']([^"']+)"""
 
 
 def button_signature(html: Column, text: Column) -> Column:
-    """Identity of a button across pages: image file, else text, else the start of its markup."""
+    """Identity of a button across pages: image file, else text, else a hash of its whole markup."""
     file = F.lower(ur.basename(F.regexp_extract(html, _SRC, 1)))
     low = F.lower(tx.strip(F.coalesce(text, F.lit(""))))
     return (F.when(html.rlike(_SRC), F.concat(F.lit("img:"), file)).when(low != "", F.concat(F.lit("text:"), low))
-            .otherwise(F.concat(F.lit("html:"), F.substring(html, 1, 120))))
+            .otherwise(F.concat(F.lit("html:"), F.sha2(html, 256))))
 
 
 def button_selector(html: Column, text: Column) -> Column:

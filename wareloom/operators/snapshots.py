@@ -9,6 +9,7 @@ from wareloom import constants as K
 from wareloom.functions import urls as ur
 from wareloom.functions.rows import explode_built
 from wareloom.functions.text import lookup
+from wareloom.session import checkpoint_folder
 
 CHANGE = "struct<change_type:string,previous_value:string,new_value:string,option_sku:string>"
 
@@ -164,17 +165,30 @@ def last_runs(suppliers: DataFrame, runs: DataFrame) -> DataFrame:
     return suppliers.join(last, "supplier_id", "left").orderBy("supplier_name")
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
-    """``(id, parent_id, depth, path, ancestors)`` of a category tree, by one join per level."""
-    level = nodes.filter(F.col("parent_id").isNull()).select(
-        "id", "parent_id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array().cast("array<string>").alias("ancestors"))
-    out = level
-    for depth in range(1, max_depth):
-        parents = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"), F.array_append("ancestors", F.col("id")).alias("ancestors"))
+class CategoryCycle(ValueError):
+    """Some categories are their own ancestors."""
+
+
+def flatten_tree(nodes: DataFrame) -> DataFrame:
+    """``(id, parent_id, depth, path, ancestors)`` of a category tree of any depth, by one join per level.
+
+    Each level is written to the shared folder, so that it is computed once. Nodes below a missing parent are left out; a cycle is refused.
+    """
+    checkpoint_folder(nodes.sparkSession)
+    parents = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    tops = nodes.join(parents, "parent_id", "left").filter("_known IS NULL")
+    level = tops.select("id", "parent_id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array().cast("array<string>").alias("ancestors"),
+                        F.col("parent_id").isNull().alias("_rooted")).checkpoint()
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        parents = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"), F.array_append("ancestors", F.col("id")).alias("ancestors"), "_rooted")
         level = nodes.join(parents, "parent_id").select(
-            "id", "parent_id", F.lit(depth).alias("depth"), F.concat_ws(" > ", "_path", "name").alias("path"), "ancestors")
+            "id", "parent_id", F.lit(depth).alias("depth"), F.concat_ws(" > ", "_path", "name").alias("path"), "ancestors", "_rooted").checkpoint()
         out = out.unionByName(level)
-    return out
+    if circular := nodes.join(out.select("id"), "id", "left_anti").select("id").limit(5).collect():
+        raise CategoryCycle(f"categories in or below a cycle: {', '.join(str(r.id) for r in circular)}")
+    return out.filter("_rooted").drop("_rooted")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -171,11 +171,13 @@ UNION ALL SELECT s_suppkey, 'soldout', 1, '<a>', ' home ' FROM supplier
 UNION ALL SELECT s_suppkey, 'available', 2, concat('<img src="/b/x', CAST(s_suppkey AS VARCHAR(20)), '.gif?v=1">'), '' FROM supplier WHERE s_nationkey % 3 <> 0
 UNION ALL SELECT s_suppkey, 'available', 3, '<button>', '장바구니' FROM supplier WHERE s_nationkey % 4 = 0
 UNION ALL SELECT s_suppkey, 'soldout', 2, concat('<img src="/z/X', CAST(s_suppkey AS VARCHAR(20)), '.gif">'), '' FROM supplier WHERE s_nationkey % 5 = 0
-UNION ALL SELECT s_suppkey, 'available', 4, '<i>', '' FROM supplier WHERE s_nationkey % 6 = 0"""
+UNION ALL SELECT s_suppkey, 'available', 4, '<i>', '' FROM supplier WHERE s_nationkey % 6 = 0
+UNION ALL SELECT s_suppkey, 'available', 5, concat('<b data="', repeat('x', 150), '1">'), '' FROM supplier WHERE s_nationkey % 11 = 3
+UNION ALL SELECT s_suppkey, 'soldout', 5, concat('<b data="', repeat('x', 150), '2">'), '' FROM supplier WHERE s_nationkey % 11 = 3"""
 
 
 @query("Q10", """
-WITH p AS (SELECT s_suppkey AS source, s_nationkey % 7 = 0 AS lim, s_nationkey % 3 <> 0 AND s_nationkey % 5 <> 0 AS img, s_nationkey % 4 = 0 AS cart, s_nationkey % 6 = 0 AS bare FROM supplier)
+WITH p AS (SELECT s_suppkey AS source, s_nationkey % 7 = 0 AS lim, s_nationkey % 3 <> 0 AND s_nationkey % 5 <> 0 AS img, s_nationkey % 4 = 0 AS cart, s_nationkey % 6 = 0 OR s_nationkey % 11 = 3 AS bare FROM supplier)
 SELECT source, CASE WHEN lim THEN 'limit' WHEN img OR cart OR bare THEN 'button' END AS rule,
   CASE WHEN lim THEN '' WHEN cart THEN 'button:has-text(''장바구니'')' WHEN img THEN concat('img[src*=''x', CAST(source AS VARCHAR), '.gif'']') WHEN bare THEN '' END AS selector,
   CASE WHEN lim OR cart OR img THEN 'high' WHEN bare THEN 'medium' END AS confidence FROM p""")

@@ -315,12 +315,13 @@ def _re2(pattern: str) -> str:
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(concat('Authorization: "Bearer abc" x ', text, ' token=s3cr;'),
      '{_re2(K.SECRET_PATTERNS[0])}', '\\1\\2\\3[REDACTED]\\2\\3', 'g'), '{_re2(K.SECRET_PATTERNS[1])}', '\\1[REDACTED]', 'g'),
      '{_re2(K.SECRET_PATTERNS[2])}', '\\1\\2\\3[REDACTED]\\2\\3', 'g') AS redacted,
-   trim(regexp_replace(regexp_replace(regexp_replace(text, '`', ' ', 'g'), '<[^>]{{0,200}}>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean
+   trim(regexp_replace(regexp_replace(regexp_replace(concat(text, ' <i title="', repeat('long ', 100), '">end</i>'), '`', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean
 FROM documents""")
 def sc22(t):
+    tagged = F.concat("text", F.lit(f' <i title="{"long " * 100}">end</i>'))
     secret = F.concat(F.lit('Authorization: "Bearer abc" x '), "text", F.lit(" token=s3cr;"))
     return t.documents.select("doc_id", tx.redact_credentials(secret).alias("redacted"),
-                              tx.sanitize_text(F.col("text"), drop_tags=True).alias("clean"))
+                              tx.sanitize_text(tagged, drop_tags=True).alias("clean"))
 
 
 @query("SC23", """

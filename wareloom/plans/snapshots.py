@@ -136,15 +136,20 @@ def t12(t):
 
 TREE_SQL = """SELECT concat('R', CAST(r_regionkey AS VARCHAR(20))) AS id, CAST(NULL AS VARCHAR(20)) AS parent_id, r_name AS name FROM region
 UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR(20))), concat('R', CAST(n_regionkey AS VARCHAR(20))), n_name FROM nation
-UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR(20))), concat('N', CAST(c_nationkey AS VARCHAR(20))), c_name FROM customer"""
-
-
-@query("T13", """
-WITH n AS (SELECT concat('N', CAST(n_nationkey AS VARCHAR)) AS id, concat('R', CAST(n_regionkey AS VARCHAR)) AS parent_id, concat(r_name, ' > ', n_name) AS path, n_nationkey, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT concat('R', CAST(r_regionkey AS VARCHAR)) AS id, NULL AS parent_id, 0 AS depth, r_name AS path,
-  (SELECT count(*) FROM n WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM customer JOIN n ON n_nationkey = c_nationkey WHERE n_regionkey = r_regionkey) AS below FROM region
-UNION ALL SELECT id, parent_id, 1, path, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) FROM n
-UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR)), id, 2, concat(path, ' > ', c_name), 0 FROM customer JOIN n ON n_nationkey = c_nationkey""")
+UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR(20))), concat('N', CAST(c_nationkey AS VARCHAR(20))), c_name FROM customer
+UNION ALL SELECT concat('O', CAST(o_orderkey AS VARCHAR(20))), concat('C', CAST(o_custkey AS VARCHAR(20))), o_orderpriority FROM orders
+UNION ALL SELECT concat('L', CAST(l_orderkey AS VARCHAR(20))), concat('O', CAST(l_orderkey AS VARCHAR(20))), concat('lines ', CAST(count(*) AS VARCHAR(20))) FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT concat('X', CAST(l_orderkey AS VARCHAR(20))), concat('L', CAST(l_orderkey AS VARCHAR(20))), 'shipped' FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey"""
+
+
+@query("T13", f"""
+WITH RECURSIVE nodes AS ({TREE_SQL}),
+t AS (SELECT id, parent_id, 0 AS depth, CAST(name AS VARCHAR) AS path FROM nodes WHERE parent_id IS NULL
+  UNION ALL SELECT n.id, n.parent_id, depth + 1, concat(path, ' > ', name) FROM nodes n JOIN t ON n.parent_id = t.id),
+up AS (SELECT parent_id AS ancestor, id FROM nodes WHERE parent_id IS NOT NULL
+  UNION ALL SELECT n.parent_id, up.id FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent_id IS NOT NULL),
+c AS (SELECT ancestor AS id, count(*) AS below FROM up GROUP BY 1)
+SELECT id, parent_id, depth, path, coalesce(below, 0) AS below FROM t LEFT JOIN c USING (id)""")
 def t13(t):
     tree = sn.flatten_tree(t.sql(TREE_SQL))
     below = sn.descendants(tree).groupBy(F.col("ancestor_id").alias("id")).agg(F.count(F.lit(1)).alias("below"))
