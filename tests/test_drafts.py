@@ -42,10 +42,10 @@ def test_guarded_delete(spark):
     products = spark.createDataFrame([(1,), (2,), (3,)], "product_id int")
     mappings = spark.createDataFrame([(1, "synced"), (2, "draft")], "product_id int, sync_status string")
     targets = spark.createDataFrame([(1,), (2,)], "product_id int")
-    report, left = rd.guarded_delete(products, mappings, targets)
-    assert tuple(report.first()) == (False, 0, 1) and left.count() == 3
-    report, left = rd.guarded_delete(products, mappings, targets, force=True)
-    assert tuple(report.first()) == (True, 2, 0) and [r.product_id for r in left.collect()] == [3]
+    report, left, mapped = rd.guarded_delete(products, mappings, targets)
+    assert tuple(report.first()) == (False, 0, 1) and left.count() == 3 and mapped.count() == 2
+    report, left, mapped = rd.guarded_delete(products, mappings, targets, force=True)
+    assert tuple(report.first()) == (True, 2, 0) and [r.product_id for r in left.collect()] == [3] and mapped.count() == 0
 
 
 def test_issue_report_is_capped_with_a_closing_row(spark):

@@ -2,12 +2,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareloom.operators import ledger as lg
+from wareloom.operators.runs import apply_uploads
 
 STATE = ("product_id int, product_code string, original_name string, price_wholesale int, wholesale_status string, images_list array<string>, status string, "
          "change_type string, image_status string, processed_image_path string")
 UPLOAD = "row_no int, product_code string, original_name string, price_wholesale int, wholesale_status string, images_list array<string>"
 
 
+FIELDS = ("original_name", "price_wholesale", "wholesale_status", "images_list")
+
+
+def diff(upload, state, **options):
+    return lg.diff(upload, state, fields=FIELDS, **options)
+
+
 @pytest.fixture()
 def state(spark):
     return spark.createDataFrame([
@@ -28,7 +36,7 @@ def upload(spark):
 
 
 def test_classes_fields_and_reprocessing(upload, state):
-    got = {(r.product_code or "").strip() + ":" + r.change_type: r for r in lg.diff(upload, state).collect()}
+    got = {(r.product_code or "").strip() + ":" + r.change_type: r for r in diff(upload, state).collect()}
     assert sorted(got) == sorted(["SAME:unchanged", "UPD:updated", "IMG:updated", "NEW:new", ":new", "GONE:removed", "OLD:kept", ":kept", "BACK:updated"])
     assert got["UPD:updated"].changed_fields == ["price_wholesale"] and got["UPD:updated"].reprocess is False
     assert got["UPD:updated"].field_changes["price_wholesale"].asDict() == {"old": "100", "new": "120"}
@@ -38,7 +46,7 @@ def test_classes_fields_and_reprocessing(upload, state):
 
 
 def test_counters_add_up_and_log_follows(upload, state):
-    changes = lg.diff(upload, state)
+    changes = diff(upload, state)
     c = lg.counters(changes).first()
     assert (c.new_count, c.updated_count, c.removed_count, c.unchanged_count, c.reprocess_count, c.status) == (3, 3, 1, 1, 5, "pending")
     assert lg.change_log(changes, "r").count() == 7
@@ -46,17 +54,17 @@ def test_counters_add_up_and_log_follows(upload, state):
 
 
 def test_without_a_site_nothing_is_removed(upload, state):
-    assert lg.diff(upload, state, site_given=False).filter("change_type = 'removed'").count() == 0
+    assert diff(upload, state, site_given=False).filter("change_type = 'removed'").count() == 0
 
 
 def test_same_ledger_again_changes_nothing_but_codeless_rows(upload, state):
-    after = lg.next_state(lg.diff(upload, state), "run-1")
-    again = lg.counters(lg.diff(upload, after)).first()
+    after = lg.next_state(diff(upload, state), "run-1")
+    again = lg.counters(diff(upload, after)).first()
     assert (again.updated_count, again.removed_count, again.new_count) == (0, 0, 2)
 
 
 def test_next_state_resets_images_and_marks_discontinued(upload, state):
-    after = {r.product_code: r for r in lg.next_state(lg.diff(upload, state), "run-1").collect() if r.product_code}
+    after = {r.product_code: r for r in lg.next_state(diff(upload, state), "run-1").collect() if r.product_code}
     assert (after["IMG"].processed_image_path, after["IMG"].image_status, after["IMG"].status) == (None, "not_started", "pending")
     assert (after["GONE"].wholesale_status, after["GONE"].change_type) == ("단종", "removed")
     assert (after["UPD"].price_wholesale, after["UPD"].status, after["UPD"].import_id) == (120, "completed", "run-1")
@@ -66,7 +74,7 @@ def test_next_state_resets_images_and_marks_discontinued(upload, state):
 def test_propagation_only_sets_flags(spark, upload, state):
     mappings = spark.createDataFrame([(2, "naver", "synced", False, True), (4, "naver", "synced", False, False), (1, "naver", "synced", True, False)],
                                      "product_id int, platform_name string, sync_status string, price_changed boolean, stock_changed boolean")
-    got = {r.product_id: (r.sync_status, r.price_changed, r.stock_changed) for r in lg.propagate(mappings, lg.diff(upload, state)).collect()}
+    got = {r.product_id: (r.sync_status, r.price_changed, r.stock_changed) for r in lg.propagate(mappings, diff(upload, state)).collect()}
     assert got == {2: ("pending_update", True, True), 4: ("pending_update", False, True), 1: ("synced", True, False)}
 
 
@@ -93,3 +101,55 @@ def test_crawled_upsert_keeps_unseen_and_takes_last_write(spark):
 def test_run_fails_only_when_everything_failed(spark):
     outcome = lambda *flags: lg.outcome_counters(spark.createDataFrame([(f,) for f in flags], "success boolean")).first().status
     assert (outcome(False, False), outcome(True, False)) == ("failed", "completed")
+
+
+SCOPED = "user_id int, site_id int, product_code string, original_name string, price_wholesale int, wholesale_status string, images_list array<string>"
+
+
+def test_owner_and_site_are_part_of_the_key(spark):
+    row = lambda user, site, code, price=1: (user, site, code, "n", price, "판매중", ["a"])
+    stored = spark.createDataFrame([(i, *r, "completed", None, "completed", None) for i, r in enumerate(
+        [row(1, 10, "A"), row(1, None, "A"), row(2, 10, "A"), row(2, 20, "A"), row(1, 10, "B"), row(1, None, "B"), row(3, 10, "A")])],
+        f"product_id int, {SCOPED}, status string, change_type string, image_status string, processed_image_path string")
+    upload = spark.createDataFrame([row(1, 10, "A", 2), row(1, None, "A"), row(2, 10, "N")], SCOPED)
+    kinds = {(r.user_id, r.site_id, r.product_code): r.change_type for r in diff(upload, stored).collect()}
+    assert kinds == {(1, 10, "A"): "updated", (1, None, "A"): "unchanged", (2, 10, "A"): "removed", (2, 20, "A"): "kept", (1, 10, "B"): "removed", (1, None, "B"): "kept",
+                     (2, 10, "N"): "new", (3, 10, "A"): "kept"}
+    empty = spark.createDataFrame([("r", 3, 10)], "import_id string, user_id int, site_id int")
+    gone = diff(upload.limit(0), stored, runs=empty).filter("change_type = 'removed'").collect()
+    assert [(r.user_id, r.site_id, r.product_code, r.import_id) for r in gone] == [(3, 10, "A", "r")]
+    twice = spark.createDataFrame([row(1, 10, "A"), row(2, 10, "A"), row(1, None, "A"), row(1, None, "A")], SCOPED)
+    assert [(r.user_id, r.site_id, r.product_code, r.n) for r in lg.duplicate_codes(twice).collect()] == [(1, None, "A", 2)]
+
+
+def test_new_products_get_an_owner_and_a_lasting_id(spark, upload, state):
+    after = lg.next_state(diff(upload, state, import_id="r1"))
+    assert len(set(after.columns)) == len(after.columns)
+    ids = {r.product_code: r.product_id for r in after.collect() if r.change_type == "new"}
+    assert all(ids.values()) and len(set(ids.values())) == 3
+    again = {r.product_code: r.product_id for r in lg.next_state(diff(upload, after, import_id="r2")).filter("product_code = 'NEW'").collect()}
+    assert again == {"NEW": ids["NEW"]}
+    log = lg.change_log(diff(upload, state, import_id="r1")).filter("change_type = 'new'").collect()
+    assert {r.product_id for r in log} == set(ids.values()) and {r.import_id for r in log} == {"r1"}
+
+
+def test_a_field_missing_from_the_upload_is_refused(upload, state):
+    with pytest.raises(ValueError, match="wholesale_product_id"):
+        lg.diff(upload, state)
+
+
+def test_a_refused_batch_writes_nothing(spark, tmp_path, upload):
+    rows = upload.unionByName(upload.filter("product_code = 'NEW'")).withColumns({"user_id": F.lit(1), "site_id": F.lit(1)})
+    runs = spark.createDataFrame([("r", 1, 1)], "import_id string, user_id int, site_id int")
+    with pytest.raises(lg.RunRefused, match="NEW"):
+        apply_uploads(rows, rows, rows, runs, str(tmp_path / "out"), "1")
+    assert not (tmp_path / "out").exists()
+
+
+def test_enrichment_writes_its_results_and_leaves_other_rows(spark):
+    products = spark.createDataFrame([(i, "pending", "old", ["k"], "updated", ["origin"], 5) for i in (1, 2, 3)],
+                                     "product_id int, status string, refined_name string, keywords array<string>, change_type string, changed_fields array<string>, processing_time_ms bigint")
+    outcomes = spark.createDataFrame([(1, True, "new", ["a", "b"], [("x", 3)]), (2, False, None, None, None)],
+                                     "product_id int, success boolean, refined_name string, keywords array<string>, stages array<struct<stage:string,ms:int>>")
+    got = {r.product_id: (r.status, r.refined_name, r.keywords, r.change_type, r.changed_fields, r.processing_time_ms) for r in lg.apply_outcomes(products, outcomes).collect()}
+    assert got == {1: ("completed", "new", ["a", "b"], None, None, 3), 2: ("failed", "old", ["k"], "updated", ["origin"], 5), 3: ("pending", "old", ["k"], "updated", ["origin"], 5)}

@@ -1,5 +1,9 @@
 """Change ledger: what an upload changed against the stored catalogue, and the tables that follow from it.
 
+A product belongs to an owner and a site (``user_id, site_id``; no site is a scope of its own) and is matched by its code within
+them. One batch may hold the uploads of many owners and sites: ``runs(import_id, user_id, site_id)`` has one row per upload, at most one per
+scope. Frames without these columns are taken as one scope.
+
 Rows without a product code never match stored rows and are kept out of the keyed join, so they cannot pile up in
 one partition. Gates (``duplicate_codes``, ``invalid_status_rows``) are tables; a run with a non-empty gate is refused.
 """
@@ -11,17 +15,33 @@ from pyspark.sql import functions as F
 
 from wareloom import constants as K
 from wareloom.functions.rows import explode_built
+from wareloom.functions.skew import join_per_key, salted
 from wareloom.functions.text import is_blank
 
+SCOPE = ("user_id", "site_id")
+
 
 class RunRefused(ValueError):
     """A gate found rows that forbid the whole run."""
 
 
+def scoped(rows: DataFrame, site_given: bool = True) -> DataFrame:
+    """Rows with owner and site; a frame without them is one owner's, of one site or (``site_given`` false) of none."""
+    missing = {"user_id": F.lit(None).cast("bigint"), "site_id": F.lit(0 if site_given else None).cast("bigint")}
+    return rows.withColumns({c: v for c, v in missing.items() if c not in rows.columns})
+
+
+def scope_key(user_id: Column, site_id: Column) -> Column:
+    """One text per scope, never null: no site is a scope of its own."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    return F.concat_ws("/", part(user_id), part(site_id))
+
+
 def duplicate_codes(parsed: DataFrame) -> DataFrame:
-    """Codes that occur more than once in the upload."""
+    """Codes that occur more than once in the upload of an owner and site."""
+    keys = [c for c in SCOPE if c in parsed.columns]
     coded = parsed.filter(~is_blank(F.col("product_code")))
-    return coded.groupBy("product_code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return coded.groupBy("product_code", *keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def invalid_status_rows(parsed: DataFrame) -> DataFrame:
@@ -37,8 +57,13 @@ def refuse_if_any(gate: DataFrame, reason: str, show: int = 10) -> None:
         raise RunRefused(f"{reason}: {', '.join(sample[:show])}{' ...' if len(sample) > show else ''}")
 
 
-def compared_fields(df: DataFrame) -> list[str]:
-    return [f for f in K.IMPORT_FIELDS if f in df.columns]
+def compared_fields(*frames: DataFrame, fields: tuple[str, ...] | None = None) -> list[str]:
+    """The fields to compare: all product fields, or those named. A frame that lacks one is refused."""
+    wanted = [f for f in K.IMPORT_FIELDS if fields is None or f in fields]
+    absent = [f for f in wanted if any(f not in df.columns for df in frames)]
+    if absent:
+        raise ValueError(f"fields missing from upload or catalogue: {', '.join(absent)}")
+    return wanted
 
 
 def changed_fields(fields: list[str], old: str = "old", new: str = "new") -> Column:
@@ -65,54 +90,89 @@ def needs_reprocess(old_status: Column, changed: Column) -> Column:
     return (F.size(changed) > 0) & (~old_status.eqNullSafe(F.lit("completed")) | touched)
 
 
-def diff(upload: DataFrame, state: DataFrame, site_given: bool = True) -> DataFrame:
-    """Classify every uploaded and every stored row in one keyed full outer join.
+def scopes_of(upload: DataFrame, import_id: str | None = None) -> DataFrame:
+    """One run per scope that occurs in the upload."""
+    return upload.select(*SCOPE).distinct().withColumn("import_id", F.lit(import_id).cast("string"))
+
+
+def diff(upload: DataFrame, state: DataFrame, site_given: bool = True, runs: DataFrame | None = None,
+         import_id: str | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Classify every uploaded and every stored row in one full outer join on owner, site and code.
 
-    Result: ``product_code, old, new, change_type, changed_fields, field_changes, reprocess``; ``change_type`` is new,
-    updated, unchanged, removed, or kept (stored, not uploaded, nothing to do). ``old`` and ``new`` are row structs.
+    Result: ``user_id, site_id, product_code, product_id, import_id, old, new, change_type, changed_fields, field_changes, reprocess``;
+    ``change_type`` is new, updated, unchanged, removed, or kept (stored, not uploaded, nothing to do). ``old`` and ``new`` are row
+    structs. Stored products of a scope with a site and a run are removed when the run lacks them; ``runs`` names the runs, also those
+    whose ledger is empty; without it every scope of the upload is one run. New products get an id from their natural key, those without a code
+    from run and row number.
     """
-    fields = compared_fields(upload)
-    new_row = F.struct(*upload.columns).alias("new")
-    old_row = F.struct(*state.columns).alias("old")
+    compared = compared_fields(upload, state, fields=fields)
+    new_row = F.struct(*[F.col(f"`{c}`") for c in upload.columns]).alias("new")
+    old_row = F.struct(*[F.col(f"`{c}`") for c in state.columns]).alias("old")
+    upload, state = scoped(upload, site_given), scoped(state, site_given)
+    runs = (scopes_of(upload, import_id) if runs is None else scoped(runs, site_given)).select(
+        scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"), F.col("import_id").alias("_run"), F.lit(True).alias("_in_run"))
     blank = is_blank(F.col("product_code"))
-    coded = upload.filter(~blank).select(F.col("product_code").alias("new_code"), new_row)
-    stored = state.filter(~blank).select(F.col("product_code").alias("old_code"), old_row)
-    matched = coded.join(stored, F.col("new_code") == F.col("old_code"), "full_outer")
-    unmatched_new = upload.filter(blank).select(new_row)
-    unmatched_old = state.filter(blank).select(old_row)
-    rows = matched.select("old", "new").unionByName(unmatched_new, allowMissingColumns=True).unionByName(
-        unmatched_old, allowMissingColumns=True)
+
+    def keyed(rows: DataFrame, row: Column) -> DataFrame:
+        """Rows with their scope and its run, if it has one; an owner with very many rows is spread by salt."""
+        keys = rows.select(*SCOPE, F.when(~blank, F.col("product_code")).alias("code"), row, scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"))
+        return join_per_key(salted(keys, ["code"]), runs, ["_scope"], "left").drop("_salt")
+
+    fresh, stored = keyed(upload, new_row), keyed(state, old_row)
+    left = fresh.filter("code IS NOT NULL").select(*[F.col(c).alias(f"n_{c}") for c in ("_scope", "code", *SCOPE, "_run", "_in_run")], "new")
+    right = stored.filter("code IS NOT NULL").select(*[F.col(c).alias(f"o_{c}") for c in ("_scope", "code", *SCOPE, "_run", "_in_run")], "old")
+    matched = left.join(right, (F.col("n__scope") == F.col("o__scope")) & (F.col("n_code") == F.col("o_code")), "full_outer")
+    either = lambda c: F.when(F.col("new").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c)
+    matched = matched.select("old", "new", *[either(c) for c in (*SCOPE, "code", "_run", "_in_run")])
+    rest = lambda rows, kind: rows.filter("code IS NULL").select(kind, *SCOPE, "code", "_run", "_in_run")
+    rows = matched.unionByName(rest(fresh, "new"), allowMissingColumns=True).unionByName(rest(stored, "old"), allowMissingColumns=True)
+
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
-    differing = F.when(both, changed_fields(fields))
-    gone = F.col("new").isNull() & ~is_blank(F.col("old.product_code")) & ~F.col("old.change_type").eqNullSafe(F.lit("removed"))
-    rows = rows.withColumn("_diff", differing)
+    rows = rows.withColumn("_diff", F.when(both, changed_fields(compared)))
+    gone = (F.col("new").isNull() & F.col("code").isNotNull() & F.col("site_id").isNotNull() & F.coalesce("_in_run", F.lit(False))
+            & ~F.col("old.change_type").eqNullSafe(F.lit("removed")))
     kind = (F.when(F.col("old").isNull(), F.lit("new"))
             .when(both & (F.size("_diff") > 0), F.lit("updated")).when(both, F.lit("unchanged"))
-            .when(gone & F.lit(site_given), F.lit("removed")).otherwise(F.lit("kept")))
+            .when(gone, F.lit("removed")).otherwise(F.lit("kept")))
     rows = rows.withColumn("change_type", kind)
     removed = F.col("change_type") == "removed"
     removal = F.create_map(F.lit("wholesale_status"), F.struct(
         F.col("old.wholesale_status").alias("old"), F.lit(K.DISCONTINUED_STATUS).alias("new")))
+    row_no = F.col("new.row_no") if "row_no" in upload.columns else F.lit(None)
     return rows.select(
-        F.coalesce("new.product_code", "old.product_code").alias("product_code"), "old", "new", "change_type",
+        *SCOPE, F.coalesce("new.product_code", "old.product_code").alias("product_code"),
+        F.coalesce(F.col("old.product_id").cast("bigint"), new_product_id(F.col("user_id"), F.col("site_id"), F.col("code"), F.col("_run"), row_no)).alias("product_id"),
+        F.col("_run").alias("import_id"), "old", "new", "change_type",
         F.when(removed, F.array(F.lit("wholesale_status"))).otherwise(F.coalesce("_diff", F.array().cast("array<string>"))).alias("changed_fields"),
-        F.when(F.col("change_type") == "updated", field_changes(F.col("_diff"), fields)).when(removed, removal).alias("field_changes"),
+        F.when(F.col("change_type") == "updated", field_changes(F.col("_diff"), compared)).when(removed, removal).alias("field_changes"),
         F.when(F.col("change_type") == "new", F.lit(True)).otherwise(
             (F.col("change_type") == "updated") & needs_reprocess(F.col("old.status"), F.col("_diff"))).alias("reprocess"))
 
 
+def new_product_id(user_id: Column, site_id: Column, code: Column, import_id: Column, row_no: Column) -> Column:
+    """60 bits of the MD5 of owner, site and code; of owner, site, run and row for a product without a code."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    coded = F.concat_ws("/", part(user_id), part(site_id), F.lit("code"), code)
+    bare = F.concat_ws("/", part(user_id), part(site_id), F.lit("row"), part(import_id), part(row_no))
+    return F.conv(F.substring(F.md5(F.when(code.isNull(), bare).otherwise(coded)), 1, 15), 16, 10).cast("bigint")
+
+
 def discontinued(state: DataFrame, upload: DataFrame) -> DataFrame:
-    """Stored, coded, not yet removed products absent from the upload."""
-    codes = upload.filter(~is_blank(F.col("product_code"))).select("product_code")
-    open_rows = state.filter(~is_blank(F.col("product_code")) & ~F.col("change_type").eqNullSafe(F.lit("removed")))
-    return open_rows.join(codes, "product_code", "left_anti")
+    """Stored, coded, not yet removed products of an uploaded site that their scope's upload lacks."""
+    keys = lambda df: scoped(df).withColumn("_scope", scope_key(F.col("user_id"), F.col("site_id")))
+    given = keys(upload)
+    codes = given.filter(~is_blank(F.col("product_code"))).select("_scope", "product_code")
+    stored = keys(state)
+    open_rows = stored.filter(~is_blank(F.col("product_code")) & F.col("site_id").isNotNull() & ~F.col("change_type").eqNullSafe(F.lit("removed")))
+    uploaded = join_per_key(salted(open_rows, ["product_code"]), given.select("_scope").distinct(), ["_scope"]).drop("_salt")
+    return uploaded.join(codes, ["_scope", "product_code"], "left_anti").select(*state.columns)
 
 
 def change_rows(changes: DataFrame) -> DataFrame:
     """One row per changed field."""
     pairs = F.transform("changed_fields", lambda f: F.struct(f.alias("field"), F.try_element_at("field_changes", f).alias("v")))
-    rows = changes.filter(F.col("change_type").isin("updated", "removed")).select("product_code", "change_type", F.posexplode(pairs).alias("pos", "c"))
-    return rows.select("product_code", "change_type", (F.col("pos") + 1).alias("position"), F.col("c.field").alias("field"),
+    rows = changes.filter(F.col("change_type").isin("updated", "removed")).select(*SCOPE, "product_code", "change_type", F.posexplode(pairs).alias("pos", "c"))
+    return rows.select(*SCOPE, "product_code", "change_type", (F.col("pos") + 1).alias("position"), F.col("c.field").alias("field"),
                        F.col("c.v.old").alias("old_value"), F.col("c.v.new").alias("new_value"))
 
 
@@ -121,58 +181,71 @@ def image_reset(changes: DataFrame) -> Column:
     return F.array_contains("changed_fields", "images_list")
 
 
-def propagate(mappings: DataFrame, changes: DataFrame) -> DataFrame:
-    """Next market mappings: those of updated and removed products wait for an update; flags are only ever set."""
+def propagate(mappings: DataFrame, changes: DataFrame, at: Column | None = None) -> DataFrame:
+    """Next market mappings: those of updated and removed products wait for an update; flags are only ever set.
+
+    ``last_changed_at`` of those becomes ``at`` (the run's time).
+    """
     touched = changes.filter(F.col("change_type").isin("updated", "removed"))
     marks = touched.select(
-        F.col("old.product_id").alias("product_id"), F.lit(True).alias("_hit"),
+        "product_id", F.lit(True).alias("_hit"),
         F.arrays_overlap("changed_fields", F.array(*[F.lit(f) for f in K.PRICE_FIELDS])).alias("_price"),
         F.array_contains("changed_fields", "wholesale_status").alias("_stock"))
     joined = mappings.join(marks, "product_id", "left")
+    stamp = F.col("last_changed_at") if "last_changed_at" in mappings.columns else F.lit(None).cast("timestamp")
     return joined.withColumns({
         "sync_status": F.when(F.col("_hit"), F.lit("pending_update")).otherwise(F.col("sync_status")),
         "price_changed": F.col("price_changed") | F.coalesce("_price", F.lit(False)),
         "stock_changed": F.col("stock_changed") | F.coalesce("_stock", F.lit(False)),
+        "last_changed_at": F.when(F.col("_hit"), F.current_timestamp() if at is None else at).otherwise(stamp),
     }).drop("_hit", "_price", "_stock")
 
 
-def change_log(changes: DataFrame, import_id: str) -> DataFrame:
-    """One log row per new, updated or removed product, with the name it had at that time."""
+def change_log(changes: DataFrame, import_id: str | None = None) -> DataFrame:
+    """One log row per new, updated or removed product, with its run and the name it had at that time."""
     logged = changes.filter(F.col("change_type").isin("new", "updated", "removed"))
+    run = F.col("import_id") if import_id is None else F.lit(import_id)
     return logged.select(
-        F.lit(import_id).alias("import_id"), F.col("old.product_id").alias("product_id"), "product_code",
+        run.alias("import_id"), *SCOPE, "product_id", "product_code",
         F.coalesce("new.original_name", "old.original_name").alias("original_name"), "change_type", "changed_fields", "field_changes")
 
 
-def counters(changes: DataFrame, start_processing: bool = True) -> DataFrame:
-    """Run summary: counts per class, rows to reprocess, run status."""
+def counters(changes: DataFrame, start_processing: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Summary of the batch, or (``by`` import_id, owner, site) of each run: counts per class, rows to reprocess, status."""
     n = lambda kind: F.count_if(F.col("change_type") == kind)
-    done = changes.agg(n("new").alias("new_count"), n("updated").alias("updated_count"), n("removed").alias("removed_count"),
-                       n("unchanged").alias("unchanged_count"), F.count_if("reprocess").alias("reprocess_count"))
+    figures = (n("new").alias("new_count"), n("updated").alias("updated_count"), n("removed").alias("removed_count"),
+               n("unchanged").alias("unchanged_count"), F.count_if("reprocess").alias("reprocess_count"))
+    done = changes.filter(F.col("import_id").isNotNull()).groupBy(*by).agg(*figures) if by else changes.agg(*figures)
     status = (F.when(F.col("reprocess_count") == 0, F.lit("completed")).otherwise(F.lit("pending"))
               if start_processing else F.lit("imported"))
     return done.withColumn("status", status)
 
 
-def next_state(changes: DataFrame, import_id: str) -> DataFrame:
-    """The catalogue after the run: stored columns, with uploaded values where rows are new or updated."""
-    old_columns = changes.schema["old"].dataType.names
-    fields = [f for f in compared_fields(changes.select("new.*")) if f in old_columns]
+def next_state(changes: DataFrame, import_id: str | None = None) -> DataFrame:
+    """The catalogue after the run: the stored columns and the run's, with uploaded values where rows are new or updated."""
+    old_columns, new_columns = changes.schema["old"].dataType.names, changes.schema["new"].dataType.names
+    fields = [f for f in (*K.IMPORT_FIELDS, "warnings", "raw_metadata") if f in old_columns and f in new_columns]
     kind = F.col("change_type")
     fresh = kind.isin("new", "updated")
+    changed = kind.isin("new", "updated", "removed")
+    stored = lambda c, as_type: F.col(f"old.{c}") if c in old_columns else F.lit(None).cast(as_type)
     taken = {f: F.when(fresh, F.col(f"new.{f}")).otherwise(F.col(f"old.{f}")) for f in fields}
     taken["wholesale_status"] = F.when(kind == "removed", F.lit(K.DISCONTINUED_STATUS)).otherwise(taken["wholesale_status"])
     reset = (kind == "updated") & image_reset(changes)
+    run = F.col("import_id") if import_id is None else F.lit(import_id)
     flags = {
         "status": F.when(F.col("reprocess"), F.lit("pending")).otherwise(F.col("old.status")),
-        "change_type": F.when(kind.isin("new", "updated", "removed"), kind).otherwise(F.col("old.change_type")),
+        "change_type": F.when(changed, kind).otherwise(F.col("old.change_type")),
         "processed_image_path": F.when(~reset, F.col("old.processed_image_path")),
         "image_status": F.when(reset | (kind == "new"), F.lit("not_started")).otherwise(F.col("old.image_status")),
+        "import_id": F.when(fresh, run).otherwise(stored("import_id", "string").cast("string")),
+        "changed_fields": F.when(changed, F.col("changed_fields")).otherwise(stored("changed_fields", "array<string>")),
+        "field_changes": F.when(changed, F.col("field_changes")).otherwise(stored("field_changes", "map<string,struct<old:string,new:string>>")),
     }
-    others = [F.col(f"old.{c}").alias(c) for c in old_columns if c not in fields and c not in flags and c != "product_code"]
+    own = {*fields, *flags, *SCOPE, "product_code", "product_id"}
+    others = [F.col(f"old.{c}").alias(c) for c in old_columns if c not in own]
     return changes.select(
-        "product_code", *[c.alias(f) for f, c in taken.items()], *[c.alias(f) for f, c in flags.items()], *others,
-        F.when(fresh, F.lit(import_id)).alias("import_id"), "changed_fields", "field_changes")
+        "product_id", *SCOPE, "product_code", *[c.alias(f) for f, c in taken.items()], *[c.alias(f) for f, c in flags.items()], *others)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -201,20 +274,32 @@ def replace_options(options: DataFrame, fresh: DataFrame, touched: DataFrame, ke
 
 
 def apply_outcomes(products: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Enrichment results: success fills fields and clears the change flags, failure leaves them; others are untouched.
+    """Enrichment results: success fills fields and clears the change marks, failure keeps them; products without a result stay as they are.
 
-    ``outcomes``: ``product_id, success, refined_name, keywords, stages array<struct<stage, ms>>``.
+    ``outcomes``: ``product_id, success, refined_name, keywords, stages array<struct<stage, ms>>`` and, optionally, ``warnings array<string>``
+    of the enrichment, which are laid beside the supplier's.
     """
-    o = outcomes.select("product_id", F.struct("success", "refined_name", "keywords", "stages").alias("o"))
+    optional = [c for c in ("warnings",) if c in outcomes.columns]
+    o = outcomes.select("product_id", F.struct("success", "refined_name", "keywords", "stages", *optional).alias("o"))
     won, lost = F.coalesce("o.success", F.lit(False)), ~F.coalesce("o.success", F.lit(True))
     spent = F.aggregate("o.stages", F.lit(0).cast("bigint"), lambda acc, s: acc + F.coalesce(s["ms"], F.lit(0)))
+    stored = lambda c, kind: F.col(c) if c in products.columns else F.lit(None).cast(kind)
     joined = products.join(o, "product_id", "left")
-    return joined.withColumns({
+    values = {
         "status": F.when(won, F.lit("completed")).when(lost, F.lit("failed")).otherwise(F.col("status")),
         "refined_name": F.when(won, F.col("o.refined_name")).otherwise(F.col("refined_name")),
+        "keywords": F.when(won, F.col("o.keywords")).otherwise(stored("keywords", "array<string>")),
         "change_type": F.when(~won, F.col("change_type")),
-        "processing_time_ms": F.when(won, spent),
-    }).drop("o")
+        "changed_fields": F.when(~won, stored("changed_fields", "array<string>")),
+        "field_changes": F.when(~won, stored("field_changes", "map<string,struct<old:string,new:string>>")),
+        "processing_time_ms": F.when(won, spent).otherwise(stored("processing_time_ms", "bigint").cast("bigint")),
+    }
+    if optional:
+        none = F.array().cast("array<string>")
+        values["supplier_warnings"] = stored("supplier_warnings", "array<string>")
+        merged = F.array_distinct(F.concat(F.coalesce(values["supplier_warnings"], none), F.coalesce("o.warnings", none)))
+        values["warnings"] = F.when(won, merged).otherwise(stored("warnings", "array<string>"))
+    return joined.withColumns(values).drop("o")
 
 
 def outcome_counters(outcomes: DataFrame) -> DataFrame:
@@ -224,12 +309,17 @@ def outcome_counters(outcomes: DataFrame) -> DataFrame:
 
 
 def ensure_mappings(mappings: DataFrame, results: DataFrame) -> DataFrame:
-    """Get or create the (product, platform) mapping of every result and write the category found into it."""
-    r = results.select("product_id", "platform_name", F.struct("category_id", "category_path").alias("r"))
+    """Get or create the (product, platform) mapping of every result and write the category found, and its attributes, into it."""
+    values = [c for c in ("category_id", "category_path", "mapped_attributes") if c in results.columns]
+    r = results.select("product_id", "platform_name", F.struct(*values).alias("r"))
     joined = mappings.withColumn("_stored", F.lit(True)).join(r, ["product_id", "platform_name"], "full_outer")
-    pick = lambda c: F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(F.col(c)).alias(c)
-    others = [c for c in mappings.columns if c not in ("product_id", "platform_name", "category_id", "category_path", "sync_status")]
-    return joined.select("product_id", "platform_name", pick("category_id"), pick("category_path"),
+
+    def pick(c):
+        stored = F.col(c) if c in mappings.columns else F.lit(None).cast(results.schema[c].dataType)
+        return F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(stored).alias(c)
+
+    others = [c for c in mappings.columns if c not in ("product_id", "platform_name", "sync_status", *values)]
+    return joined.select("product_id", "platform_name", *[pick(c) for c in values],
                          F.when(F.col("_stored").isNull(), F.lit("draft")).otherwise(F.col("sync_status")).alias("sync_status"), *others)
 
 

@@ -94,12 +94,12 @@ def run_list(runs: DataFrame, sites: DataFrame, changed_only: bool = True) -> Da
 
 
 def run_changes(log: DataFrame, import_id, change_type: str | None = None, page: int = 1, page_size: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(total, one page) of a run's change log, ordered by type and name; page sizes are held between 1 and 200."""
+    """(total, one page) of a run's change log, ordered by type and name."""
     rows = log.filter(F.col("import_id") == import_id)
     if change_type in ("new", "updated", "removed"):
         rows = rows.filter(F.col("change_type") == change_type)
     order = [F.asc("change_type"), F.asc("original_name"), F.asc("product_code")]
-    return total(rows), page_of(rows, order, page, max(1, min(page_size, 200)))
+    return total(rows), page_of(rows, order, page, max(1, page_size))
 
 
 def draft_list(drafts: DataFrame, accounts: DataFrame, user_id=None, market_code: str | None = None, status: str | None = None) -> DataFrame:
@@ -129,8 +129,8 @@ def image_jobs(products: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("product_id", "url", ((F.col("status") == "completed") & F.col("url").isNotNull()).alias("eligible"))
 
 
-def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(report, remaining products). Without ``force`` nothing is deleted while any target has a synced mapping."""
+def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, remaining products, remaining mappings). Without ``force`` nothing is deleted while any target has a synced mapping."""
     hit = products.join(targets.select("product_id").distinct().withColumn("_target", F.lit(True)), "product_id", "left")
     hit = hit.withColumn("_target", F.coalesce("_target", F.lit(False)))
     synced = mappings.filter(F.col("sync_status") == "synced").join(hit.filter("_target").select("product_id"), "product_id", "left_semi")
@@ -139,7 +139,8 @@ def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame,
     report = facts.select(allowed.alias("success"), F.when(allowed, F.col("targets")).otherwise(F.lit(0)).alias("deleted_count"),
                           F.when(allowed, F.lit(0)).otherwise(F.col("synced")).alias("warning_synced_count"))
     remaining = hit.filter(~F.col("_target") | ~facts.select(allowed).scalar()).drop("_target")
-    return report, remaining
+    left = mappings.join(remaining.select("product_id"), "product_id", "left_semi")
+    return report, remaining, left
 
 
 def delete_supplier(tables: dict[str, DataFrame], supplier_id) -> dict[str, DataFrame]:

@@ -14,32 +14,60 @@ KEY = "CAST(p_partkey AS VARCHAR(20))"
 PRICE = "CAST(floor(p_retailprice) AS INT)"
 PRICE_TEXT = f"CAST({PRICE} AS VARCHAR(20))"
 
-# Stored catalogue of one owner.
+# Products of two owners, whose sites share codes; some of the first owner's belong to no site.
+FIXTURES["owned_parts"] = """
+SELECT 1 AS user_id, CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE NULL END AS site_id, p_partkey AS product_id, p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
+UNION ALL
+SELECT 2, CASE p_partkey % 2 WHEN 0 THEN 10 ELSE 20 END, p_partkey + 1000000000, p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"""
+
+# Stored catalogue, with the columns that a run maintains.
 FIXTURES["ledger_v1"] = f"""
-SELECT concat('P-', {KEY}) AS product_code, p_name AS original_name, {PRICE} AS price_wholesale,
-       CASE p_partkey % 7 WHEN 0 THEN '품절' WHEN 1 THEN '판매중지' ELSE '판매중' END AS wholesale_status,
-       p_brand AS origin,
-       concat('https://img.example/', {KEY}, '.jpg') AS image_1,
+SELECT product_id, user_id, site_id, concat('P-', {KEY}) AS product_code, concat('W', {KEY}) AS wholesale_product_id, p_name AS original_name, {PRICE} AS price_wholesale,
+       CASE p_partkey % 4 WHEN 0 THEN '1,000,1,200,1,500' WHEN 1 THEN '740,740' ELSE {PRICE_TEXT} END AS price_wholesale_raw,
+       {PRICE} * 2 AS price_retail, {PRICE} + 10 AS price_min_selling, p_brand AS origin,
        CASE p_partkey % 4 WHEN 0 THEN 'S,M,L' WHEN 1 THEN 'Black, White' ELSE NULL END AS option_values_raw,
-       CASE p_partkey % 4 WHEN 0 THEN '1,000,1,200,1,500' WHEN 1 THEN '740,740' ELSE {PRICE_TEXT} END AS price_wholesale_raw
-FROM part"""
+       concat('variant ', p_type) AS variant_1, concat('standard ', p_type) AS standard_1,
+       concat('https://img.example/', {KEY}, '.jpg') AS image_1, concat('<p>', p_name, '</p>') AS image_detail,
+       CASE p_partkey % 7 WHEN 0 THEN '품절' WHEN 1 THEN '판매중지' ELSE '판매중' END AS wholesale_status, '2024-01-01' AS wholesale_registered_at,
+       CASE p_size % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' ELSE 'failed' END AS status,
+       CASE WHEN p_size % 10 = 9 THEN 'removed' WHEN p_size % 10 = 8 THEN 'updated' ELSE NULL END AS change_type,
+       CASE p_size % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'not_started' END AS image_status,
+       CASE WHEN p_size % 4 = 0 THEN concat('processed/', {KEY}, '.jpg') ELSE NULL END AS processed_image_path,
+       CASE WHEN p_size % 2 = 0 THEN 'run-0' ELSE NULL END AS import_id
+FROM owned_parts"""
 
-# Next upload of the same supplier: the PROMO line is gone, some codes are new, some fields differ.
-FIXTURES["ledger_v2"] = f"""
-SELECT p_partkey AS row_no,
-       CASE WHEN p_partkey % 13 = 0 THEN concat('N-', {KEY}) WHEN p_partkey % 29 = 1 THEN NULL
-            ELSE concat('P-', {KEY}) END AS product_code,
-       CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END AS original_name,
-       {PRICE} + CASE WHEN p_partkey % 5 = 0 THEN 100 ELSE 0 END AS price_wholesale,
-       CASE p_partkey % 7 WHEN 0 THEN '판매중' WHEN 1 THEN '판매중지' ELSE '판매중' END AS wholesale_status,
+
+def _uploaded(scopes: str, price: str, name: str) -> str:
+    """An upload over the stored catalogue: the PROMO line is gone, some codes are new or missing, each of the fields differs somewhere."""
+    return f"""
+SELECT p_partkey AS row_no, user_id, site_id,
+       CASE WHEN p_partkey % 13 = 0 THEN concat('N-', {KEY}) WHEN p_partkey % 29 = 1 THEN NULL ELSE concat('P-', {KEY}) END AS product_code,
+       CASE WHEN p_partkey % 31 = 2 THEN NULL ELSE concat('W', {KEY}) END AS wholesale_product_id, {name} AS original_name, {price} AS price_wholesale,
+       CASE p_partkey % 4 WHEN 0 THEN '1,000,1,200,1,500' WHEN 1 THEN '740,740' ELSE CAST({price} AS VARCHAR(20)) END AS price_wholesale_raw,
+       {PRICE} * 2 + CASE WHEN p_partkey % 37 = 3 THEN 1 ELSE 0 END AS price_retail, {PRICE} + CASE WHEN p_partkey % 41 = 4 THEN 11 ELSE 10 END AS price_min_selling,
        CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_brand END AS origin,
-       concat('https://img.example/', {KEY}, CASE WHEN p_partkey % 19 = 0 THEN '-new.jpg' ELSE '.jpg' END) AS image_1,
        CASE p_partkey % 4 WHEN 0 THEN 'S,M,L' WHEN 1 THEN 'Black, White' ELSE NULL END AS option_values_raw,
-       CASE p_partkey % 4 WHEN 0 THEN '1,000,1,200,1,500' WHEN 1 THEN '740,740'
-            ELSE CAST({PRICE} + CASE WHEN p_partkey % 5 = 0 THEN 100 ELSE 0 END AS VARCHAR(20)) END AS price_wholesale_raw
-FROM part WHERE p_type <> 'PROMO'"""
+       concat('variant ', p_type, CASE WHEN p_partkey % 43 = 5 THEN '!' ELSE '' END) AS variant_1, concat('standard ', CASE WHEN p_partkey % 47 = 6 THEN '' ELSE p_type END) AS standard_1,
+       concat('https://img.example/', {KEY}, CASE WHEN p_partkey % 19 = 0 THEN '-new.jpg' ELSE '.jpg' END) AS image_1,
+       concat('<p>', p_name, CASE WHEN p_partkey % 53 = 7 THEN '<br>' ELSE '' END, '</p>') AS image_detail,
+       CASE p_partkey % 7 WHEN 0 THEN '판매중' WHEN 1 THEN '판매중지' ELSE '판매중' END AS wholesale_status,
+       CASE WHEN p_partkey % 59 = 8 THEN '2024-02-02' ELSE '2024-01-01' END AS wholesale_registered_at
+FROM owned_parts WHERE p_type <> 'PROMO' AND ({scopes})"""
+
+
+# Uploads of three of the five scopes, and a later batch of four, one of whose ledgers is empty.
+FIXTURES["ledger_v2"] = _uploaded("user_id = 1 AND site_id = 10 OR user_id = 1 AND site_id IS NULL OR user_id = 2 AND site_id = 10",
+                                  f"{PRICE} + CASE WHEN p_partkey % 5 = 0 THEN 100 ELSE 0 END", "CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END")
+FIXTURES["ledger_v3"] = _uploaded("user_id = 1 AND site_id = 10 AND p_size % 7 <> 1 OR user_id = 1 AND site_id IS NULL OR user_id = 2 AND site_id = 10",
+                                  f"{PRICE} + CASE WHEN p_partkey % 5 = 0 THEN 100 WHEN p_partkey % 23 = 0 THEN 7 ELSE 0 END", "p_name")
+FIXTURES["runs_v2"] = """
+SELECT CASE r_regionkey WHEN 0 THEN 'run-a' WHEN 1 THEN 'run-b' ELSE 'run-c' END AS import_id, CASE WHEN r_regionkey < 2 THEN 1 ELSE 2 END AS user_id,
+       CASE WHEN r_regionkey = 1 THEN NULL ELSE 10 END AS site_id FROM region WHERE r_regionkey < 3"""
+FIXTURES["runs_v3"] = """
+SELECT CASE r_regionkey WHEN 0 THEN 'run-d' WHEN 1 THEN 'run-e' WHEN 2 THEN 'run-f' ELSE 'run-g' END AS import_id, CASE WHEN r_regionkey IN (0, 1, 3) THEN 1 ELSE 2 END AS user_id,
+       CASE r_regionkey WHEN 1 THEN NULL WHEN 3 THEN 20 ELSE 10 END AS site_id FROM region WHERE r_regionkey < 4"""
 
-# Catalogue state rows that go with ledger_v1.
+# Catalogue state rows, one owner per product.
 FIXTURES["state_flags"] = f"""
 SELECT concat('P-', {KEY}) AS product_code, p_partkey AS product_id,
        CASE p_size % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' ELSE 'failed' END AS status,

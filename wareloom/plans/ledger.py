@@ -2,57 +2,94 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
 from wareloom.operators import ledger as lg
 from wareloom.operators import mapping as mp
+from wareloom.operators.runs import apply_uploads
 from wareloom.plans.mapping import PROJECTED_SQL, STATUS_SQL, sheets
 from wareloom.plans.registry import query
+from wareloom.session import data_folder
 
-FIELDS = ("original_name", "price_wholesale", "price_wholesale_raw", "origin", "option_values_raw", "images_list", "wholesale_status")
+# Product fields and the fixture columns they come from, in reporting order; the nested ones are built from one text each.
+COLUMNS = {f: {"option_variants": "variant_1", "standard_options": "standard_1", "images_list": "image_1"}.get(f, f) for f in K.IMPORT_FIELDS}
+LISTS = ("option_variants", "standard_options", "images_list")
 
 
-def with_images(df):
-    return df.withColumn("images_list", F.array("image_1")).drop("image_1")
+def nested(df):
+    return df.withColumns({f: F.array(COLUMNS[f]) for f in LISTS}).drop(*[COLUMNS[f] for f in LISTS])
 
 
 def upload(t):
-    return with_images(t.ledger_v2)
+    return nested(t.ledger_v2)
 
 
 def state(t):
-    return with_images(t.ledger_v1).join(t.state_flags, "product_code")
+    return nested(t.ledger_v1)
 
 
 def changes(t):
-    return lg.diff(upload(t), state(t))
+    return lg.diff(upload(t), state(t), runs=t.runs_v2)
 
 
 def _differs(f):
-    column = "image_1" if f == "images_list" else f
-    return f"n.{column} IS DISTINCT FROM o.{column}"
+    return f"n.{COLUMNS[f]} IS DISTINCT FROM o.{COLUMNS[f]}"
+
+
+ANY = " OR ".join(_differs(f) for f in K.IMPORT_FIELDS)
+CHANGED_SQL = "concat_ws('|', " + ", ".join(f"CASE WHEN {_differs(f)} THEN '{f}' END" for f in K.IMPORT_FIELDS) + ")"
 
 
-ANY = " OR ".join(_differs(f) for f in FIELDS)
-CHANGED_SQL = "concat_ws('|', " + ", ".join(f"CASE WHEN {_differs(f)} THEN '{f}' END" for f in FIELDS) + ")"
-DIFF_SQL = f"""o AS (SELECT * FROM ledger_v1 JOIN state_flags USING (product_code)), n AS (SELECT * FROM ledger_v2),
-d AS (SELECT coalesce(n.product_code, o.product_code) AS code, n.row_no, o.product_id, o.status AS old_status, o.change_type AS old_change,
-   n.original_name AS new_name, o.original_name AS old_name, o.wholesale_status AS old_sale, n.wholesale_status AS new_sale,
-   o.price_wholesale AS old_price, n.price_wholesale AS new_price, o.processed_image_path, o.image_status,
-   CASE WHEN o.product_code IS NULL THEN 'new' WHEN n.row_no IS NULL THEN CASE WHEN o.change_type IS NOT DISTINCT FROM 'removed' THEN 'kept' ELSE 'removed' END
+def _new_id(u, s, code, run, row):
+    own = f"concat(CAST({u} AS VARCHAR), '/', coalesce(CAST({s} AS VARCHAR), '~'), '/', "
+    key = f"CASE WHEN {code} IS NULL THEN {own} 'row/', {run}, '/', CAST({row} AS VARCHAR)) ELSE {own} 'code/', {code}) END"
+    return f"CAST(concat('0x', substr(md5({key}), 1, 15)) AS BIGINT)"
+
+
+def diff_sql(stored, uploaded, runs, tag=""):
+    """Tables o, n, d and x (suffixed by ``tag``): every stored and uploaded row with its class, written without the package's join."""
+    values = ", ".join(f"n.{c} AS new_{c}, o.{c} AS old_{c}" for c in COLUMNS.values())
+    redo = " OR ".join(f"list_contains(string_split(changed, '|'), '{f}')" for f in K.REPROCESS_FIELDS)
+    return f"""o{tag} AS (SELECT s.*, r.import_id AS run, r.user_id IS NOT NULL AS in_run FROM {stored} s LEFT JOIN {runs} r ON r.user_id = s.user_id AND r.site_id IS NOT DISTINCT FROM s.site_id),
+n{tag} AS (SELECT u.*, r.import_id AS run FROM {uploaded} u LEFT JOIN {runs} r ON r.user_id = u.user_id AND r.site_id IS NOT DISTINCT FROM u.site_id),
+d{tag} AS (SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.row_no IS NULL THEN o.site_id ELSE n.site_id END AS site_id, coalesce(n.product_code, o.product_code) AS code,
+   n.row_no, CASE WHEN n.row_no IS NULL THEN o.run ELSE n.run END AS run, o.product_id AS old_id, o.status AS old_status, o.change_type AS old_change, o.processed_image_path, o.image_status, o.import_id AS old_import, {values},
+   CASE WHEN o.product_id IS NULL THEN 'new'
+     WHEN n.row_no IS NULL THEN CASE WHEN o.product_code IS NULL OR o.site_id IS NULL OR NOT o.in_run OR o.change_type IS NOT DISTINCT FROM 'removed' THEN 'kept' ELSE 'removed' END
      WHEN {ANY} THEN 'updated' ELSE 'unchanged' END AS kind,
-   CASE WHEN o.product_code IS NULL THEN '' WHEN n.row_no IS NULL THEN CASE WHEN o.change_type IS NOT DISTINCT FROM 'removed' THEN '' ELSE 'wholesale_status' END
-     ELSE {CHANGED_SQL} END AS changed,
-   o.origin AS old_origin, n.origin AS new_origin, o.price_wholesale_raw AS old_raw, n.price_wholesale_raw AS new_raw
-  FROM n FULL JOIN o ON n.product_code = o.product_code),
-x AS (SELECT *, kind = 'new' OR (kind = 'updated' AND (old_status <> 'completed' OR contains(changed, 'original_name') OR contains(changed, 'images_list'))) AS redo FROM d)"""
+   CASE WHEN o.product_id IS NULL OR n.row_no IS NULL THEN '' ELSE {CHANGED_SQL} END AS differing
+  FROM n{tag} n FULL JOIN o{tag} o ON n.user_id = o.user_id AND n.site_id IS NOT DISTINCT FROM o.site_id AND n.product_code = o.product_code),
+c{tag} AS (SELECT * EXCLUDE (differing), CASE WHEN kind = 'removed' THEN 'wholesale_status' ELSE differing END AS changed FROM d{tag}),
+x{tag} AS (SELECT *, coalesce(old_id, {_new_id("user_id", "site_id", "code", "run", "row_no")}) AS product_id, new_original_name AS new_name, old_original_name AS old_name,
+   kind = 'new' OR (kind = 'updated' AND (old_status <> 'completed' OR {redo})) AS redo FROM c{tag})"""
+
+
+def state_sql(x):
+    """The catalogue after the run that table ``x`` describes."""
+    fresh = lambda c: f"CASE WHEN kind IN ('new', 'updated') THEN new_{c} {chr(10)}WHEN '{c}' = 'wholesale_status' AND kind = 'removed' THEN '단종' ELSE old_{c} END AS {c}" if c == "wholesale_status" else f"CASE WHEN kind IN ('new', 'updated') THEN new_{c} ELSE old_{c} END AS {c}"
+    image = "kind = 'updated' AND list_contains(string_split(changed, '|'), 'images_list')"
+    return f"""SELECT product_id, user_id, site_id, code AS product_code, {', '.join(fresh(c) for c in COLUMNS.values())},
+  CASE WHEN redo THEN 'pending' ELSE old_status END AS status, CASE WHEN kind IN ('new', 'updated', 'removed') THEN kind ELSE old_change END AS change_type,
+  CASE WHEN {image} OR kind = 'new' THEN 'not_started' ELSE image_status END AS image_status, CASE WHEN NOT ({image}) THEN processed_image_path END AS processed_image_path,
+  CASE WHEN kind IN ('new', 'updated') THEN run ELSE old_import END AS import_id FROM {x}"""
+
+
+DIFF_SQL = diff_sql("ledger_v1", "ledger_v2", "runs_v2")
+SECOND_SQL = DIFF_SQL + f", s1 AS ({state_sql('x')}), " + diff_sql("s1", "ledger_v3", "runs_v3", "2")
 
 
 @query("L1", """
-SELECT concat('P-', CAST(l_partkey AS VARCHAR)) AS product_code, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
+SELECT product_code, user_id, site_id, count(*) AS n FROM
+  (SELECT user_id, site_id, product_code FROM ledger_v2 UNION ALL SELECT user_id, site_id, product_code FROM ledger_v2 WHERE row_no % 10 = 0
+   UNION ALL SELECT 2, 30, product_code FROM ledger_v2 WHERE user_id = 1) u
+WHERE trim(product_code) <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def l1(t):
-    return lg.duplicate_codes(t.lineitem.select(F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("product_code")))
+    rows = t.ledger_v2
+    again = rows.filter("row_no % 10 = 0").unionByName(rows.filter("user_id = 1").withColumns({"user_id": F.lit(2), "site_id": F.lit(30)}))
+    return lg.duplicate_codes(rows.unionByName(again))
 
 
 @query("L2", f"""
@@ -61,87 +98,110 @@ def l2(t):
     return lg.invalid_status_rows(mp.parse_rows(mp.project_fields(*sheets(t))))
 
 
-@query("L3", f"WITH {DIFF_SQL} SELECT code AS product_code, row_no, kind AS change_type FROM x WHERE row_no IS NOT NULL")
+@query("L3", f"WITH {DIFF_SQL} SELECT user_id, site_id, code AS product_code, row_no, kind AS change_type FROM x WHERE row_no IS NOT NULL")
 def l3(t):
-    return changes(t).filter("new is not null").select("product_code", F.col("new.row_no").alias("row_no"), "change_type")
+    return changes(t).filter("new is not null").select(*lg.SCOPE, "product_code", F.col("new.row_no").alias("row_no"), "change_type")
 
 
-FIELD_SQL = {"original_name": ("old_name", "new_name"), "price_wholesale": ("old_price", "new_price"), "price_wholesale_raw": ("old_raw", "new_raw"),
-             "origin": ("old_origin", "new_origin"), "option_values_raw": ("NULL", "NULL"), "images_list": ("NULL", "NULL"), "wholesale_status": ("old_sale", "new_sale")}
-
-
-def _value_case(i):
-    return "CASE field " + " ".join(f"WHEN '{f}' THEN CAST({p[i]} AS VARCHAR)" for f, p in FIELD_SQL.items()) + " END"
+def _value_case(side):
+    shown = {f: f"CAST({side}_{COLUMNS[f]} AS VARCHAR)" if f not in LISTS else "NULL" for f in K.IMPORT_FIELDS}
+    return "CASE field " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in shown.items()) + " END"
 
 
 @query("L4", f"""
 WITH {DIFF_SQL}, e AS (SELECT *, unnest(string_split(changed, '|')) AS field, generate_subscripts(string_split(changed, '|'), 1) AS pos FROM x WHERE kind IN ('updated', 'removed'))
-SELECT code AS product_code, kind AS change_type, CAST(pos AS INT) AS position, field, {_value_case(0)} AS old_value,
-  CASE WHEN kind = 'removed' THEN '단종' ELSE {_value_case(1)} END AS new_value
+SELECT user_id, site_id, code AS product_code, kind AS change_type, CAST(pos AS INT) AS position, field, {_value_case("old")} AS old_value,
+  CASE WHEN kind = 'removed' THEN '단종' ELSE {_value_case("new")} END AS new_value
 FROM e""")
 def l4(t):
     return lg.change_rows(changes(t))
 
 
-@query("L5", f"WITH {DIFF_SQL} SELECT code AS product_code, redo AS reprocess, CASE WHEN redo THEN 'pending' ELSE old_status END AS status FROM x WHERE kind = 'updated'")
+@query("L5", f"WITH {DIFF_SQL} SELECT product_id, code AS product_code, redo AS reprocess, CASE WHEN redo THEN 'pending' ELSE old_status END AS status FROM x WHERE kind = 'updated'")
 def l5(t):
     redo = F.col("reprocess")
     return changes(t).filter("change_type = 'updated'").select(
-        "product_code", redo.alias("reprocess"), F.when(redo, F.lit("pending")).otherwise(F.col("old.status")).alias("status"))
+        "product_id", "product_code", redo.alias("reprocess"), F.when(redo, F.lit("pending")).otherwise(F.col("old.status")).alias("status"))
 
 
 @query("L6", """
-SELECT product_code, product_id, original_name FROM ledger_v1 JOIN state_flags USING (product_code)
-WHERE change_type IS DISTINCT FROM 'removed' AND NOT EXISTS (SELECT 1 FROM ledger_v2 WHERE ledger_v2.product_code = ledger_v1.product_code)""")
+SELECT user_id, site_id, product_code, product_id, original_name FROM ledger_v1 s
+WHERE change_type IS DISTINCT FROM 'removed' AND EXISTS (SELECT 1 FROM runs_v2 r WHERE r.user_id = s.user_id AND r.site_id = s.site_id)
+  AND NOT EXISTS (SELECT 1 FROM ledger_v2 u WHERE u.user_id = s.user_id AND u.site_id = s.site_id AND u.product_code = s.product_code)""")
 def l6(t):
-    return lg.discontinued(state(t), upload(t)).select("product_code", "product_id", "original_name")
+    return lg.discontinued(state(t), upload(t)).select(*lg.SCOPE, "product_code", "product_id", "original_name")
 
 
-@query("L7", f"""
-WITH {DIFF_SQL} SELECT code AS product_code, CASE WHEN NOT contains(changed, 'images_list') THEN processed_image_path END AS processed_image_path,
-  CASE WHEN contains(changed, 'images_list') THEN 'not_started' ELSE image_status END AS image_status FROM x WHERE kind = 'updated'""")
+@query("L7", f"WITH {DIFF_SQL}, s AS ({state_sql('x')}) SELECT product_id, product_code, processed_image_path, image_status FROM s WHERE change_type = 'updated' AND import_id <> 'run-0'")
 def l7(t):
-    done = lg.next_state(changes(t), "run-1").filter("import_id is not null and change_type = 'updated'")
-    return done.select("product_code", "processed_image_path", "image_status")
+    done = lg.next_state(changes(t)).filter("import_id <> 'run-0' and change_type = 'updated'")
+    return done.select("product_id", "product_code", "processed_image_path", "image_status")
 
 
 @query("L8", f"""
-WITH {DIFF_SQL}, m AS (SELECT product_id, changed FROM x WHERE kind IN ('updated', 'removed'))
+WITH {DIFF_SQL}, m AS (SELECT product_id, string_split(changed, '|') AS f FROM x WHERE kind IN ('updated', 'removed'))
 SELECT p.product_id, platform_name, CASE WHEN m.product_id IS NOT NULL THEN 'pending_update' ELSE sync_status END AS sync_status,
-  price_changed OR coalesce(contains(changed, 'price_wholesale'), false) AS price_changed,
-  stock_changed OR coalesce(contains(changed, 'wholesale_status'), false) AS stock_changed
+  price_changed OR coalesce(list_has_any(f, ['price_wholesale', 'price_wholesale_raw', 'option_variants', 'standard_options']), false) AS price_changed,
+  stock_changed OR coalesce(list_contains(f, 'wholesale_status'), false) AS stock_changed, CASE WHEN m.product_id IS NOT NULL THEN TIMESTAMP '2024-05-05 12:00:00' END AS last_changed_at
 FROM platform_mappings p LEFT JOIN m ON m.product_id = p.product_id""")
 def l8(t):
-    return lg.propagate(t.platform_mappings, changes(t)).select("product_id", "platform_name", "sync_status", "price_changed", "stock_changed")
+    at = F.lit("2024-05-05 12:00:00").cast("timestamp_ntz")
+    return lg.propagate(t.platform_mappings.withColumn("last_changed_at", F.lit(None).cast("timestamp_ntz")), changes(t), at).select(
+        "product_id", "platform_name", "sync_status", "price_changed", "stock_changed", "last_changed_at")
 
 
 @query("L9", f"""
-WITH {DIFF_SQL} SELECT 'run-1' AS import_id, product_id, code AS product_code, coalesce(new_name, old_name) AS original_name, kind AS change_type, changed AS changed_fields
+WITH {DIFF_SQL} SELECT run AS import_id, user_id, site_id, product_id, code AS product_code, coalesce(new_name, old_name) AS original_name, kind AS change_type, changed AS changed_fields
 FROM x WHERE kind IN ('new', 'updated', 'removed')""")
 def l9(t):
-    log = lg.change_log(changes(t), "run-1")
-    return log.select("import_id", "product_id", "product_code", "original_name", "change_type", F.array_join("changed_fields", "|").alias("changed_fields"))
+    log = lg.change_log(changes(t))
+    return log.select("import_id", *lg.SCOPE, "product_id", "product_code", "original_name", "change_type", F.array_join("changed_fields", "|").alias("changed_fields"))
+
 
+COUNTS_SQL = """count(*) FILTER (kind = 'new') AS new_count, count(*) FILTER (kind = 'updated') AS updated_count, count(*) FILTER (kind = 'removed') AS removed_count,
+  count(*) FILTER (kind = 'unchanged') AS unchanged_count, count(*) FILTER (redo) AS reprocess_count, CASE WHEN count(*) FILTER (redo) = 0 THEN 'completed' ELSE 'pending' END AS status"""
 
-@query("L10", f"""
-WITH {DIFF_SQL} SELECT count(*) FILTER (kind = 'new') AS new_count, count(*) FILTER (kind = 'updated') AS updated_count, count(*) FILTER (kind = 'removed') AS removed_count,
-  count(*) FILTER (kind = 'unchanged') AS unchanged_count, count(*) FILTER (redo) AS reprocess_count, CASE WHEN count(*) FILTER (redo) = 0 THEN 'completed' ELSE 'pending' END AS status
-FROM x""")
+
+@query("L10", f"WITH {DIFF_SQL} SELECT run AS import_id, user_id, site_id, {COUNTS_SQL} FROM x WHERE run IS NOT NULL GROUP BY 1, 2, 3")
 def l10(t):
-    return lg.counters(changes(t))
+    return lg.counters(changes(t), by=("import_id", *lg.SCOPE))
+
+
+SHOWN = ("product_id", *lg.SCOPE, "product_code", "original_name", "price_wholesale", "price_retail", "origin", "wholesale_status", "status", "change_type", "image_status", "import_id")
 
 
-@query("L11", f"""
-WITH {DIFF_SQL} SELECT code AS product_code, product_id, CASE WHEN kind IN ('new', 'updated') THEN new_name ELSE old_name END AS original_name,
-  CASE WHEN kind IN ('new', 'updated') THEN new_price ELSE old_price END AS price_wholesale,
-  CASE kind WHEN 'removed' THEN '단종' WHEN 'new' THEN new_sale WHEN 'updated' THEN new_sale ELSE old_sale END AS wholesale_status,
-  CASE WHEN redo THEN 'pending' ELSE old_status END AS status,
-  CASE WHEN kind IN ('new', 'updated', 'removed') THEN kind ELSE old_change END AS change_type,
-  CASE WHEN kind IN ('new', 'updated') THEN 'run-1' END AS import_id
-FROM x""")
+@query("L11", f"WITH {DIFF_SQL}, s AS ({state_sql('x')}) SELECT {', '.join(SHOWN)}, image_1, variant_1 FROM s")
 def l11(t):
-    return lg.next_state(changes(t), "run-1").select(
-        "product_code", "product_id", "original_name", "price_wholesale", "wholesale_status", "status", "change_type", "import_id")
+    return lg.next_state(changes(t)).select(*SHOWN, F.col("images_list")[0].alias("image_1"), F.col("option_variants")[0].alias("variant_1"))
+
+
+@query("L11_second", f"WITH {SECOND_SQL}, s AS ({state_sql('x2')}) SELECT {', '.join(SHOWN)}, image_1, variant_1 FROM s")
+def l11_second(t):
+    """The state after a second batch of uploads over the state of the first."""
+    return two_batches(t).state.select(*SHOWN, F.col("images_list")[0].alias("image_1"), F.col("option_variants")[0].alias("variant_1"))
+
+
+def two_batches(t):
+    root = data_folder(t.spark, f"runs-{uuid.uuid4().hex}")
+    at = F.lit("2024-05-05 12:00:00").cast("timestamp_ntz")
+    stamped = t.platform_mappings.withColumn("last_changed_at", F.lit(None).cast("timestamp_ntz"))
+    first = apply_uploads(upload(t), state(t), stamped, t.runs_v2, root, "1", at)
+    return apply_uploads(nested(t.ledger_v3), first.state, first.mappings, t.runs_v3, root, "2", at)
+
+
+@query("L10_second", f"WITH {SECOND_SQL} SELECT run AS import_id, user_id, site_id, {COUNTS_SQL} FROM x2 WHERE run IS NOT NULL GROUP BY 1, 2, 3")
+def l10_second(t):
+    return two_batches(t).counters
+
+
+@query("L9_second", f"""
+WITH {SECOND_SQL}, logged AS (SELECT * FROM x UNION ALL SELECT * FROM x2)
+SELECT run AS import_id, user_id, site_id, product_id, code AS product_code, coalesce(new_name, old_name) AS original_name, kind AS change_type, changed AS changed_fields
+FROM logged WHERE kind IN ('new', 'updated', 'removed')""")
+def l9_second(t):
+    """The log of both batches, read back from the table they were appended to."""
+    log = two_batches(t).log
+    return log.select("import_id", *lg.SCOPE, "product_id", "product_code", "original_name", "change_type", F.array_join("changed_fields", "|").alias("changed_fields"))
 
 
 CRAWL_SQL = """
@@ -173,12 +233,18 @@ def outcomes(t):
 
 @query("L13", f"""
 WITH o AS ({OUTCOMES_SQL})
-SELECT product_id, CASE WHEN success THEN 'completed' WHEN NOT success THEN 'failed' ELSE s.status END AS status, CASE WHEN success THEN o.refined_name END AS refined_name,
-  CASE WHEN success THEN NULL ELSE s.change_type END AS change_type, CASE WHEN success THEN CAST(p_size * 3 AS BIGINT) END AS processing_time_ms
+SELECT product_id, CASE WHEN success THEN 'completed' WHEN NOT success THEN 'failed' ELSE s.status END AS status, CASE WHEN success THEN o.refined_name ELSE s.product_code END AS refined_name,
+  CASE WHEN success THEN o.refined_name ELSE 'kept word' END AS keywords, CASE WHEN success IS TRUE THEN 'supplier|enrichment' ELSE 'supplier' END AS warnings,
+  CASE WHEN success THEN NULL ELSE s.change_type END AS change_type, CASE WHEN success THEN NULL ELSE 'origin' END AS changed_fields,
+  CASE WHEN success THEN CAST(p_size * 3 AS BIGINT) ELSE 77 END AS processing_time_ms
 FROM state_flags s LEFT JOIN o USING (product_id)""")
 def l13(t):
-    products = t.state_flags.withColumn("refined_name", F.lit(None).cast("string"))
-    return lg.apply_outcomes(products, outcomes(t)).select("product_id", "status", "refined_name", "change_type", "processing_time_ms")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    products = t.state_flags.withColumns({"refined_name": F.col("product_code"), "keywords": words("kept word"), "supplier_warnings": words("supplier"), "warnings": words("supplier"),
+                                          "changed_fields": words("origin"), "processing_time_ms": F.lit(77).cast("bigint")})
+    out = lg.apply_outcomes(products, outcomes(t).withColumn("warnings", words("supplier", "enrichment")))
+    flat = [F.array_join(c, "|").alias(c) for c in ("keywords", "warnings", "changed_fields")]
+    return out.select("product_id", "status", "refined_name", *flat, "change_type", "processing_time_ms")
 
 
 @query("L13_run", f"""
@@ -189,16 +255,16 @@ def l13_run(t):
     return lg.outcome_counters(outcomes(t))
 
 
-RESULTS_SQL = """SELECT p_partkey AS product_id, 'coupang' AS platform_name, concat('NEW', CAST(p_size AS VARCHAR(20))) AS category_id, p_type AS category_path FROM part WHERE p_size > 10"""
+RESULTS_SQL = """SELECT p_partkey AS product_id, 'coupang' AS platform_name, concat('NEW', CAST(p_size AS VARCHAR(20))) AS category_id, p_type AS category_path, concat('brand=', p_brand) AS mapped_attributes FROM part WHERE p_size > 10"""
 
 
 @query("L14", f"""
 WITH r AS ({RESULTS_SQL})
 SELECT product_id, platform_name, CASE WHEN r.category_id IS NOT NULL THEN r.category_id ELSE m.category_id END AS category_id,
-  CASE WHEN r.category_id IS NOT NULL THEN r.category_path ELSE m.category_path END AS category_path, coalesce(m.sync_status, 'draft') AS sync_status
+  CASE WHEN r.category_id IS NOT NULL THEN r.category_path ELSE m.category_path END AS category_path, r.mapped_attributes, coalesce(m.sync_status, 'draft') AS sync_status
 FROM platform_mappings m FULL JOIN r USING (product_id, platform_name)""")
 def l14(t):
-    return lg.ensure_mappings(t.platform_mappings, t.sql(RESULTS_SQL)).select("product_id", "platform_name", "category_id", "category_path", "sync_status")
+    return lg.ensure_mappings(t.platform_mappings, t.sql(RESULTS_SQL)).select("product_id", "platform_name", "category_id", "category_path", "mapped_attributes", "sync_status")
 
 
 @query("L15", """

@@ -76,7 +76,7 @@ def r6(t):
 
 @query("R7", f"""
 WITH {lp.DIFF_SQL}, g AS (SELECT * FROM x WHERE kind = 'updated')
-SELECT (SELECT count(*) FROM g) AS total, code AS product_code, kind AS change_type, coalesce(new_name, old_name) AS original_name FROM g ORDER BY kind, original_name, code LIMIT 200""")
+SELECT (SELECT count(*) FROM g) AS total, code AS product_code, kind AS change_type, coalesce(new_name, old_name) AS original_name FROM g ORDER BY kind, original_name, code LIMIT 500""")
 def r7(t):
     from wareloom.operators import ledger as lg
     count, page = rd.run_changes(lg.change_log(lp.changes(t), "run-1"), "run-1", "updated", 1, 500)
@@ -105,14 +105,17 @@ WITH g AS (SELECT 'refused' AS call, product_id FROM catalogue WHERE site_id = 2
    UNION ALL SELECT 'free', product_id FROM catalogue WHERE product_id NOT IN (SELECT product_id FROM platform_mappings WHERE sync_status = 'synced')),
 f AS (SELECT call, count(*) AS targets FROM g GROUP BY 1), s AS (SELECT call, count(*) AS synced FROM g JOIN platform_mappings USING (product_id) WHERE sync_status = 'synced' GROUP BY 1)
 SELECT call, call <> 'refused' AS success, CASE WHEN call = 'refused' THEN 0 ELSE targets END AS deleted_count, CASE WHEN call = 'refused' THEN synced ELSE 0 END AS warning_synced_count,
-  (SELECT count(*) FROM catalogue) - CASE WHEN call = 'refused' THEN 0 ELSE targets END AS remaining FROM f LEFT JOIN s USING (call)""")
+  (SELECT count(*) FROM catalogue) - CASE WHEN call = 'refused' THEN 0 ELSE targets END AS remaining,
+  (SELECT count(*) FROM platform_mappings m WHERE f.call = 'refused' OR NOT EXISTS (SELECT 1 FROM g WHERE g.call = f.call AND g.product_id = m.product_id)) AS remaining_mappings
+FROM f LEFT JOIN s USING (call)""")
 def r11(t):
     site, synced = t.catalogue.filter("site_id = 2"), t.platform_mappings.filter("sync_status = 'synced'")
     free = t.catalogue.join(synced, "product_id", "left_anti")
     out = None
     for call, targets, force in (("refused", site, False), ("forced", site, True), ("free", free, False)):
-        report, left = rd.guarded_delete(t.catalogue, t.platform_mappings, targets, force)
-        row = report.select(F.lit(call).alias("call"), "*", left.agg(F.count(F.lit(1))).scalar().alias("remaining"))
+        report, left, mapped = rd.guarded_delete(t.catalogue, t.platform_mappings, targets, force)
+        size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+        row = report.select(F.lit(call).alias("call"), "*", size(left).alias("remaining"), size(mapped).alias("remaining_mappings"))
         row = row.withColumns({c: F.col(c).cast("bigint") for c in ("deleted_count", "warning_synced_count")})
         out = row if out is None else out.unionByName(row)
     return out
