@@ -34,8 +34,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the digests of the ids and of the bytes they decode to."""
     ranks = byte_bpe.read_ranks()
     ids = byte_bpe.encode(docs, ranks)
-    decoded = F.sha2(byte_bpe.decode(spark, F.col("ids"), ranks), 256)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+    return byte_bpe.decode(ids, ranks).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                                              F.sha2("raw", 256).alias("decoded_sha256"))
 
 
 STAGES = [

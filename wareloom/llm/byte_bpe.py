@@ -23,17 +23,19 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from wareloom.llm.tables import Scratch, field, whole_text
 
 CHUNK = 1 << 15
 OVERLAP = 512
 MARGIN = 8
+SLICE = 256  # rows whose ids or bytes are built at once
 RUN = 200_000  # characters of a piece from which its pre-tokens are matched here
 #: Unicode's White_Space, which is what the pattern's \s stands for; fixed values.
 WHITE_SPACE = r"\t\n\x0b\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,16 +89,29 @@ def boundaries(text: str, start: int, last: bool) -> list[int]:
     return [start + e for e in found if e <= limit and text[e - 1] not in BLANK]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that only few rows' ids and bytes are in memory beside the batch that came in."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def id_lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(r) for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
 def encoded(rows: DataFrame, shared) -> DataFrame:
     """rows(key, text) -> (key, ids)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = encoding_of(shared)
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "ids": [encode_text(t, table) for t in pdf["text"]]})
+        for part in sliced(batches):
+            ids = id_lists([encode_text(text.as_py(), table) for text in part.column("text")])
+            yield pa.RecordBatch.from_arrays([part.column("key"), ids], ["key", "ids"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text").mapInPandas(run, f"key {kind}, ids array<int>")
+    return rows.select("key", "text").mapInArrow(run, f"key {kind}, ids array<int>")
 
 
 def cuts(chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -135,14 +150,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk: int = CHUNK) -> Data
     return short.select(F.col("key").alias("doc_id"), "ids").unionByName(whole.select("doc_id", "ids"))
 
 
-def decode(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The raw bytes of an id array; an unknown id is an error."""
-    shared = spark.sparkContext.broadcast([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
+def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``rows`` with an array column ``ids``, and the raw bytes of the ids as ``raw``; an unknown id is an error."""
+    shared = rows.sparkSession.sparkContext.broadcast([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
-    @F.pandas_udf(BinaryType())
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
-        for series in batches:
-            yield pd.Series([b"".join(map(token, row.tolist())) for row in series])
+        for part in sliced(batches):
+            raw = pa.array([b"".join(map(token, ids.values.to_pylist())) for ids in part.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, raw], [*part.schema.names, "raw"])
 
-    return raw(ids)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("raw", BinaryType())]))

@@ -40,8 +40,8 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks()
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    decoded = F.sha2(byte_bpe.decode(spark, F.col("ids"), ranks), 256)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+    return byte_bpe.decode(ids, ranks).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                                              F.sha2("raw", 256).alias("decoded_sha256"))
 
 
 @query("op4_quality_rules")
