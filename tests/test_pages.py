@@ -1,27 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wareloom.functions.markup import reduce_page
 from wareloom.operators import pages as pg
 
 
-def test_reducer_rules():
-    assert reduce_page("") == ""
-    assert reduce_page('<html><body><script>alert(1)</script><style>.x{}</style><p>hello</p></body></html>') == "<html><body><p>hello</p></body></html>"
-    assert reduce_page('<div style="color:red" data-custom="yes" class="a  b" id="m">text<!-- c --></div>') == '<div class="a b" id="m">text</div>'
-    long = reduce_page(f"<p>{'A' * 200}</p>")
-    assert long == f"<p>{'A' * 80}…</p>"
-    items = reduce_page("<ul>" + "".join(f'<li class="item">item{i}</li>' for i in range(10)) + "</ul>")
-    assert items == '<ul><li class="item">item0</li><li class="item">item1</li>' + "<!-- [8 more li.item omitted] -->" * 8 + "</ul>"
-    assert reduce_page('<input type="hidden" name="maxq" value="0"><button class="buy">구매</button>') == '<input type="hidden" name="maxq" value="0"/><button class="buy">구매</button>'
-    secret = reduce_page('<input type="hidden" name="csrf_token" value="secret"><input type="password" name="pw" value="1234">')
-    assert "csrf_token" in secret and "secret" not in secret and "1234" not in secret
-    assert reduce_page('<select name="opt"></select><textarea name="memo"></textarea><div><span> </span></div>') == '<select name="opt"></select><textarea name="memo"></textarea>'
-    chrome = '<header><nav class="gnb">메뉴</nav></header><main><div class="product">상품</div></main><footer>푸터</footer>'
-    assert reduce_page(chrome, drop_chrome=True) == '<main><div class="product">상품</div></main>'
-    assert reduce_page(chrome) == chrome
-
-
 PAGE = """<div id="top" class="a b"><p class="x">one &amp; two</p><div><p>three</p><img src="data:,x" data-src="/i/1.jpg"><img src="/i/2.png" width="50" height="40">
 <img srcset="/i/3.jpg 1x, /i/4.jpg 2x" src="/blank.gif"></div></div><form><input name="maxq" value="0"><button disabled>구매</button></form>"""
 

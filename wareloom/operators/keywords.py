@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wareloom import constants as K
 from wareloom.functions import text as tx
 from wareloom.functions.rows import explode_built
+from wareloom.functions.skew import join_per_key, salted
 from wareloom.functions.text import clean_text
 
 
@@ -62,18 +63,21 @@ def read_dictionary(rows: DataFrame) -> DataFrame:
 def first_paths_containing(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """For each distinct ``term`` the first dictionary path that contains it, as ``term, path, category_id``.
 
-    Every path is indexed by the first three characters of each of its suffixes, so this is an equi-join on short keys
-    followed by a prefix test, not a comparison of every term with every path.
+    Every path is cut into its pieces of the lengths that occur among the terms; the first path of each piece is found by a minimum that combines
+    before the shuffle, and the terms are joined to the pieces as a whole.
     """
-    size = lambda c: F.least(F.char_length(c), F.lit(3))
-    suffixes = F.transform(F.sequence(F.lit(1), F.char_length("path")), lambda i: F.substr(F.col("path"), i))
-    indexed = dictionary.filter(F.col("path") != "").select("path", "category_id", "ord", F.explode(suffixes).alias("suffix"))
-    keys = F.transform(F.sequence(F.lit(1), size(F.col("suffix"))), lambda n: F.substr(F.col("suffix"), F.lit(1), n))
-    indexed = indexed.select("path", "category_id", "ord", "suffix", F.explode(keys).alias("key"))
-    wanted = terms.select("term").distinct().filter(F.col("term") != "").withColumn("key", F.substr(F.col("term"), F.lit(1), size(F.col("term"))))
-    hits = wanted.join(indexed, "key").filter(F.col("suffix").startswith(F.col("term")))
-    first = hits.groupBy("term").agg(F.min(F.struct("ord", "path", "category_id")).alias("m"))
-    return first.select("term", "m.path", "m.category_id")
+    wanted = terms.select("term").distinct().filter(F.col("term") != "")
+    # One row: the lengths of terms, at most as many as the longest path has characters.
+    lengths = wanted.agg(F.collect_set(F.char_length("term")).alias("lengths"))
+    paths = dictionary.filter(F.col("path") != "").select("path", "category_id", "ord", lengths.scalar().alias("lengths"))
+
+    def pieces(n):
+        return F.when(n <= F.char_length("path"), F.transform(F.sequence(F.lit(1), F.char_length("path") - n + 1), lambda i: F.substr(F.col("path"), i, n)))
+
+    cut = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.coalesce(pieces(n), F.array().cast("array<string>")))))
+    indexed = explode_built(paths, cut, "path", "category_id", "ord", name="term")
+    first = indexed.groupBy("term").agg(F.min(F.struct("ord", "path", "category_id")).alias("m"))
+    return wanted.join(first, "term").select("term", "m.path", "m.category_id")
 
 
 def match_categories(searches: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -86,14 +90,16 @@ def match_categories(searches: DataFrame, dictionary: DataFrame) -> DataFrame:
     last = F.coalesce(tx.null_if_empty(F.col("level4")), tx.null_if_empty(F.col("level3")))
     rows = searches.withColumns({"path": path, "term": tx.normalize_category_path(last)})
     exact = dictionary.select("path", F.col("category_id").alias("exact_id"))
-    rows = rows.join(exact, "path", "left")
+    # A popular category may hold a large share of the rows, so these are spread by salt.
+    rows = join_per_key(salted(rows, ["product_id", "path"]), exact, ["path"], "left").drop("_salt")
     open_terms = rows.filter((F.col("outcome") == "hit") & F.col("exact_id").isNull())
     partial = first_paths_containing(open_terms, dictionary).select(
         F.col("term").alias("_key"), F.col("path").alias("near_path"), F.col("category_id").alias("near_id"))
     # Rows that need no partial match get a key of their own, so that they do not meet in one partition.
     needs = (F.col("outcome") == "hit") & F.col("exact_id").isNull() & (F.col("term") != "")
     apart = F.concat(F.lit("\x00"), F.col("product_id").cast("string"))
-    rows = rows.withColumn("_key", F.when(needs, F.col("term")).otherwise(apart)).join(partial, "_key", "left")
+    rows = rows.withColumn("_key", F.when(needs, F.col("term")).otherwise(apart))
+    rows = join_per_key(salted(rows, ["product_id", "path"]), partial, ["_key"], "left").drop("_salt")
     by = F.col("outcome")
     shown = F.when(by == "failed", F.lit("Error")).when(by == "empty", F.lit("")).when(F.col("exact_id").isNotNull(), F.col("path")).otherwise(
         F.coalesce("near_path", "path"))
@@ -112,7 +118,7 @@ def _specs(specs: DataFrame, schema: DataFrame) -> DataFrame:
     """Product specs next to the attribute definitions of the product's category."""
     rows = specs.select("product_id", "category_id", F.posexplode(F.map_entries("specs")).alias("ord", "e"))
     rows = rows.select("product_id", "category_id", "ord", F.col("e.key").alias("attribute"), F.col("e.value").alias("value"))
-    return rows.join(schema, ["category_id", "attribute"])
+    return join_per_key(salted(rows, ["product_id", "ord"]), schema, ["category_id", "attribute"]).drop("_salt")
 
 
 def map_attributes_a(specs: DataFrame, schema: DataFrame) -> DataFrame:

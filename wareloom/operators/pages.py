@@ -42,15 +42,6 @@ def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("nodes", page_nodes(F.col(html)))
 
 
-def reduce_pages(pages: DataFrame, max_text: int = 80, max_repeated: int = 2, drop_chrome: bool = False) -> DataFrame:
-    """``page_id, reduced`` for a table of pages; partitions stream through as Arrow batches."""
-    def run(batches):
-        for pdf in batches:
-            reduced = pdf["html"].map(lambda h: markup.reduce_page(h, max_text, max_repeated, drop_chrome))
-            yield pd.DataFrame({"page_id": pdf["page_id"], "reduced": reduced})
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, reduced string")
-
-
 _TAG = r'''(?:[^>"']|"[^"]*"|'[^']*')*'''
 _VALUE = r'''(?:"([^"]*)"|'([^']*)'|([^\s>"']+))'''
 
@@ -191,6 +182,7 @@ def extract_field(field: str, extractor: dict, nodes: Column, html: Column, url:
     """
     transform = extractor.get("transform", "strip")
     selector = (extractor.get("selector") or "").strip()
+    selector = selector if supported(selector) else ""
     ready = lambda v: num.transformed(v, transform)
     keep = lambda items: F.filter(items, lambda v: F.coalesce(v, F.lit("")) != "")
     steps = []
@@ -224,10 +216,19 @@ def extract_field(field: str, extractor: dict, nodes: Column, html: Column, url:
 
 
 def extract_fields(pages: DataFrame, extractors: dict[str, dict]) -> DataFrame:
-    """Rows ``page_id, field, values`` for all declared fields of every page; pages need ``page_id, url, html``."""
+    """Rows ``page_id, field, values, problem`` for all declared fields of every page; pages need ``page_id, url, html``.
+
+    A field whose selector is not supported is read by its fallbacks only, and ``problem`` says so.
+    """
     df = with_nodes(pages)
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), extract_field(f, x, F.col("nodes"), F.col("html"), F.col("url")).alias("values")) for f, x in extractors.items()])
-    return explode_built(df, entries, "page_id", name="e").select("page_id", "e.field", "e.values")
+
+    def problem(extractor):
+        selector = (extractor.get("selector") or "").strip()
+        return F.lit(f"unsupported selector: {selector}" if selector and not supported(selector) else None).cast("string")
+
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), extract_field(f, x, F.col("nodes"), F.col("html"), F.col("url")).alias("values"), problem(x).alias("problem"))
+                        for f, x in extractors.items()])
+    return explode_built(df, entries, "page_id", name="e").select("page_id", "e.field", "e.values", "e.problem")
 
 
 def product_links(pages: DataFrame, selector: str, attribute: str = "href", base: Column | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ def k6(t):
 
 SEARCH_SQL = """SELECT c_custkey AS product_id, CASE c_custkey % 5 WHEN 0 THEN r_name WHEN 1 THEN 'X' ELSE concat(' ', r_name, ' ') END AS level1,
   CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'Y' WHEN 2 THEN concat(n_name, ' ') ELSE '' END AS level2,
-  CASE c_custkey % 5 WHEN 1 THEN n_name WHEN 3 THEN substr(r_name, 2, 3) WHEN 4 THEN 'nowhere' ELSE '' END AS level3,
+  CASE c_custkey % 5 WHEN 1 THEN n_name WHEN 3 THEN substr(r_name, 2, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END) WHEN 4 THEN 'nowhere' ELSE '' END AS level3,
   CASE WHEN c_custkey % 15 = 3 THEN 'IC' ELSE NULL END AS level4,
   CASE c_custkey % 11 WHEN 0 THEN 'failed' WHEN 1 THEN 'empty' ELSE 'hit' END AS outcome
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""

@@ -8,6 +8,7 @@ from wareloom import constants as K
 from wareloom.functions.text import quoted
 from wareloom.operators import mapping as mp
 from wareloom.plans.registry import query
+from wareloom.session import stored_once
 from wareloom.plans.scalars import INT_PRICE_SQL, case_map
 
 # Header of each cell column per layout; None where the sheet lacks the column.
@@ -70,7 +71,7 @@ def sheets(t):
     rows = t.sheet_rows
     raw = {n: F.create_map(*[x for h, c in zip(heads, CELLS) if h for x in (F.lit(h), F.col(c))]) for n, heads in LAYOUTS.items()}
     ledger = rows.select("site", "row_no", by_layout(raw).alias("raw"))
-    sites = rows.select("site", "layout").distinct()
+    sites = stored_once(rows.select("site", "layout").distinct().coalesce(1))  # one row per supplier; read for rules and headers
     heads = {n: F.array(*[F.lit(h) for h in hs if h]) for n, hs in LAYOUTS.items()}
     rules = {n: F.expr(f"array({', '.join(_rule(r) for r in rs)})") for n, rs in RULES.items()}
     headers = sites.select("site", F.explode(by_layout(heads)).alias("header"))

@@ -24,11 +24,6 @@ def h2(t):
     return t.product_pages.select("page_id", pg.structured_data(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
-@query("H3")
-def h3(t):
-    return pg.reduce_pages(t.pages)
-
-
 @query("H4", "SELECT page_id, p_size % 6 <> 0 AND p_size % 2 = 1 AS options, p_size % 2 = 0 OR p_size % 3 = 0 AS images FROM product_pages")
 def h4(t):
     df = pg.with_nodes(t.product_pages)
@@ -51,17 +46,19 @@ PAGE_FIELDS = {
     "supplier_product_code": {"selector": ".missing", "fallback_from": "url", "url_pattern": "/([0-9]+)"},
     "origin": {"selector": "", "fallback": " Korea "},
     "ad": {"selector": "div.ad", "html": True},
+    "brand": {"selector": "div > p:first-child", "fallback": "none"},
 }
 
 
 @query("H6", """
 WITH i AS (SELECT page_id, url, html, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hrefs FROM pages)
 SELECT page_id, 'raw_product_name' AS field, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g')) AS shown FROM i
+UNION ALL SELECT page_id, 'brand', 'none unsupported selector: div > p:first-child' FROM i
 UNION ALL SELECT page_id, 'links', array_to_string(hrefs[2:], '|') FROM i
 UNION ALL SELECT page_id, 'supplier_product_code', regexp_extract(url, '/([0-9]+)', 1) FROM i UNION ALL SELECT page_id, 'origin', 'Korea' FROM i
 UNION ALL SELECT page_id, 'ad', trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) FROM i""")
 def h6(t):
-    return pg.extract_fields(t.pages, PAGE_FIELDS).select("page_id", "field", F.array_join("values", "|").alias("shown"))
+    return pg.extract_fields(t.pages, PAGE_FIELDS).select("page_id", "field", F.concat_ws(" ", F.array_join("values", "|"), "problem").alias("shown"))
 
 
 @query("H7", """

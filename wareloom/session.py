@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,6 +57,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """A small table that several joins read, computed once and kept in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def data_folder(spark: SparkSession, name: str) -> str:
     """A named sub-folder of the shared checkpoint folder, for written intermediate tables."""
     return os.path.join(checkpoint_folder(spark), name)
