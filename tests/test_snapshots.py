@@ -110,3 +110,31 @@ def test_tree_of_any_depth_and_cycles(spark):
     circle = spark.createDataFrame([*chain, ("a", "b", "a"), ("b", "a", "b")], "id string, parent_id string, name string")
     with pytest.raises(sn.CategoryCycle):
         sn.flatten_tree(circle)
+
+
+STOCKED = SCHEMA + ", stock map<string,int>"
+
+
+def test_stock_unknown_products_late_rows_and_product_update(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    products = spark.createDataFrame([(1, "available", 5), (2, None, None), (3, "stopped", 9)], "product_id int, supplier_status string, supply_price int")
+    watch = StockWatch(spark, str(tmp_path), products, "stock", buckets=4)
+    batches = [
+        [(1, 1, at(0), "available", 10, {"a": 1}), (2, 9, at(0), "available", 1, None), (3, 2, at(1), "available", 3, None)],
+        [(4, 1, at(5), "sold_out", None, {"a": 2, "b": 1}), (5, 1, at(3), "available", 10, {"a": 1})],
+        [(6, 1, at(2), "stopped", 99, {"a": 7}), (7, 2, at(9), "available", 4, None)],
+        [(8, 1, at(9), "available", None, {"a": 2, "b": 1})]]
+    for n, rows in enumerate(batches):
+        watch.process(spark.createDataFrame(rows, STOCKED), n)
+    got = {(r.snapshot_id, r.change_type, r.previous_value, r.new_value, r.option_sku) for r in watch.changes().collect()}
+    assert got == {(4, "sold_out", "available", "sold_out", None), (4, "price_changed", "10", None, None), (4, "stock_changed", "1", "2", "a"),
+                   (4, "stock_changed", None, "1", "b"), (7, "price_changed", "3", "4", None), (8, "restocked", "sold_out", "available", None)}
+    assert [r.snapshot_id for r in watch.late().collect()] == [6]
+    after = {r.product_id: (r.supplier_status, r.supply_price) for r in watch.updated(products, 3).collect()}
+    assert after == {1: ("available", 10), 2: ("available", 4), 3: ("stopped", 9)}
+
+
+def test_a_lost_manifest_is_an_error(spark, tmp_path):
+    watch = StockWatch(spark, str(tmp_path))
+    with pytest.raises(Exception, match="manifest"):
+        watch.process(spark.createDataFrame(snapshots_of(5), SCHEMA), 3)

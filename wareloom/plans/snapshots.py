@@ -168,10 +168,28 @@ def t14(t):
     return sn.unique_category_ids(t.sql(ENTRIES_SQL)).select("site", "ord", "category_id")
 
 
-@query("T15", f"WITH {CHANGES_SQL} SELECT * FROM ch")
+STREAM_SQL = FIXTURES["snapshots"].replace("\nFROM events", """,
+  CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(floor(value) AS INT) % 5 END AS a, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 4 + event_id % 2 AS INT) END AS b
+FROM events""")
+KNOWN_SQL = "product_id IN (SELECT product_id FROM crawled_products WHERE supplier_status IS NOT NULL)"
+
+
+@query("T15", f"""
+WITH known AS (SELECT * FROM snapshots WHERE {KNOWN_SQL}), {CHANGES_SQL.replace('FROM snapshots', 'FROM known')},
+s AS (SELECT * FROM ({STOCK_SQL}) q WHERE {KNOWN_SQL}), q AS (SELECT *, lag(a) OVER w AS a0, lag(b) OVER w AS b0, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY product_id ORDER BY captured_at, snapshot_id))
+SELECT *, NULL AS option_sku FROM ch
+UNION ALL SELECT snapshot_id, product_id, 'stock_changed', CAST(a0 AS VARCHAR), CAST(a AS VARCHAR), 'A' FROM q WHERE rn > 1 AND a IS DISTINCT FROM a0
+UNION ALL SELECT snapshot_id, product_id, 'stock_changed', CAST(b0 AS VARCHAR), CAST(b AS VARCHAR), 'B' FROM q WHERE rn > 1 AND b IS DISTINCT FROM b0""")
 def t15(t):
-    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    snapshots = t.spark.sql(FIXTURES["snapshots"].replace("FROM events", "FROM {events}"), events=stream)
-    watch = StockWatch(t.spark, data_folder(t.spark, f"stock-watch-{uuid.uuid4().hex}"))
-    watch.start(snapshots).awaitTermination()
-    return watch.changes().select(*CHANGE_COLUMNS)
+    """Four weeks arrive one after the other; each is a run of the stream that takes up where the last one ended."""
+    folder = data_folder(t.spark, f"stock-watch-{uuid.uuid4().hex}")
+    products = t.crawled_products.filter("supplier_status is not null").select("product_id")
+    watch = StockWatch(t.spark, f"{folder}/watch", products, "stock")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{folder}/arrived/*")
+    stock = F.map_filter(F.create_map(F.lit("A"), F.col("a"), F.lit("B"), F.col("b")), lambda k, v: v.isNotNull())
+    snapshots = t.spark.sql(STREAM_SQL.replace("FROM events", "FROM {events}"), events=stream).withColumn("stock", stock)
+    for week in range(4):
+        arrived = t.events.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == week)
+        arrived.write.mode("overwrite").parquet(f"{folder}/arrived/week={week}")
+        watch.start(snapshots).awaitTermination()
+    return watch.changes().select(*CHANGE_COLUMNS, "option_sku")

@@ -63,6 +63,12 @@ def stored_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of written data that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def data_folder(spark: SparkSession, name: str) -> str:
     """A named sub-folder of the shared checkpoint folder, for written intermediate tables."""
     return os.path.join(checkpoint_folder(spark), name)
