@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import byte_bpe, html_extract, license_scan, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
+from wareloom.llm import byte_bpe, html_extract, license_scan, mixing, oracles, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
 from wareloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,14 +24,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op1_secret_scan")
+@query("op1_secret_scan", oracles.secret_spans())
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
-@query("op2_top_k")
+@query("op2_top_k", oracles.TOP_PRODUCTS)
 def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.sha2("raw", 256).alias("decoded_sha256"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.quality_rules_sql())
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -56,38 +56,19 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-def _mixing_oracle() -> str:
-    weights = mixing.WEIGHTS
-    total = sum(weights.values())
-    turns = ", ".join(f"('{name}', {k}, {slot}, {weights[name]})" for name, k, slot in mixing.period(weights))
-    named = ", ".join(f"'{w}'" for w in weights if w != mixing.OTHER)
-    return f"""
-WITH turns(class, turn, slot0, weight) AS (VALUES {turns}),
-numbered AS (
-  SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '{mixing.OTHER}' END AS class,
-         row_number() OVER (PARTITION BY CASE WHEN source IN ({named}) THEN source ELSE '{mixing.OTHER}' END
-                            ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))) - 1 AS ordinal
-  FROM documents),
-blocks AS (SELECT *, ordinal // {mixing.BLOCK} AS block, ordinal % {mixing.BLOCK} AS place FROM numbered)
-SELECT doc_id, source, b.class AS class, CAST(block AS BIGINT) AS block, CAST(place AS BIGINT) AS place,
-       CAST(block * {total} // weight AS BIGINT) AS release, CAST(((block + 1) * {total} + weight - 1) // weight AS BIGINT) AS deadline,
-       CAST((block // weight) * {total} + slot0 AS BIGINT) AS slot
-FROM blocks b JOIN turns t ON b.class = t.class AND b.block % t.weight = t.turn"""
-
-
-@query("op6_source_mixing", _mixing_oracle())
+@query("op6_source_mixing", oracles.mixture())
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return timed.select(F.col("doc")["doc_id"].alias("doc_id"), F.col("doc")["source"].alias("source"), "class", "block", "place", "release", "deadline", "slot")
 
 
-@query("op7_sharding")
+@query("op7_sharding", oracles.shards())
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op8_license_scan")
+@query("op8_license_scan", oracles.licenses())
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
