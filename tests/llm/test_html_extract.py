@@ -17,6 +17,14 @@ def test_siblings_of_the_best_container_are_kept_and_link_lists_not():
     assert html_extract.main_text(page) == "\n\n".join([prose] * 4)
 
 
+def test_names_that_describe_the_layout_and_uneven_sections():
+    prose = "Some prose with commas, many of them, and enough words to count."
+    page = f"<body class=x><div class='wrap sidebar-right has-sidebar'><main><h1>Title</h1><section><p>{prose}<p>{prose}<p>{prose}</section><section><p>{prose}</section></main></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["Title", *[prose] * 4])
+    page = f"<div class='sidebar'><p>{prose}</div><div class='content no-footer'><p>{prose}</div><section class=related><article><p>{prose}</article></section>"
+    assert html_extract.main_text(page) == prose
+
+
 def test_odd_pages():
     assert [html_extract.main_text(h) for h in ("", None, "plain <b>text", "<p>a</p>" * 3, "<nav>x</nav>", "a &lt; b < c")] == ["", "", "plain text", "a\n\na\n\na", "", "a < b < c"]
     assert html_extract.main_text("<div>" * 20000 + "x") == "x"

@@ -37,17 +37,20 @@ CONTAINERS = frozenset("html body main article section div td blockquote ul ol d
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARIES = frozenset("html body table td th ul ol dl div section article main blockquote".split())
 BOILERPLATE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|sidebar|side-?bar|breadcrumbs?|header|masthead|footer|"
+    r"(?:^|[^a-z])(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|sidebar|side-?bar|breadcrumbs?|header|masthead|footer|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|"
     r"commentlist|disqus|respond|replies|widget|pagination|pager|login|signup|signin|search|toolbar|copyright|complementary|contentinfo)(?:$|[^a-z])")
 NAMED = frozenset({"body", "html", "main", "article"})  # not dropped for their names
+LAYOUT = re.compile(r"(?:has|no|with|without)-(?:right-|left-)?[a-z]+")  # says what stands beside an element, not what it is
+FRAME_WORDS = frozenset("sidebar side-bar nav navbar menu header footer toolbar".split())  # also found in names of a page's outer frame
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "links", "score", "dropped")
+    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "links", "score", "dropped", "by_name")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: "Node | None", dropped: bool, by_name: str = ""):
+        self.tag, self.parent, self.dropped, self.by_name = tag, parent, dropped, by_name
         self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.length = self.commas = self.linked = self.links = 0
@@ -60,6 +63,7 @@ class Tree(HTMLParser):
         self.root = Node("html", None, False)
         self.open = self.root
         self.order = [self.root]
+        self.seen_main = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body") and self.root.children and tag == "html":
@@ -71,8 +75,11 @@ class Tree(HTMLParser):
         if tag in VOID:
             self.open.children.append("\n" if tag == "br" else Node(tag, self.open, True))
             return
-        dropped = self.open.dropped or tag in DROPPED or (tag not in NAMED and self._named_boilerplate(attrs))
-        node = Node(tag, self.open, dropped)
+        if tag in ("main", "article") and not self.seen_main:
+            self.seen_main = True
+            self._keep_around()
+        by_name = self._boilerplate_word(attrs) if tag not in NAMED and tag not in DROPPED else ""
+        node = Node(tag, self.open, self.open.dropped or tag in DROPPED or by_name != "", by_name or (self.open.by_name if tag not in DROPPED else ""))
         self.open.children.append(node)
         self.order.append(node)
         self.open = node
@@ -92,6 +99,16 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open.children.append(data)
 
+    def _keep_around(self) -> None:
+        """A frame around the page's first main element or article is no boilerplate, even if its name speaks of a sidebar or header."""
+        chain, at = [], self.open
+        while at is not None and at.dropped and at.by_name in FRAME_WORDS:
+            chain.append(at)
+            at = at.parent
+        if at is None or not at.dropped:
+            for node in chain:
+                node.dropped = False
+
     def _end_paragraph(self) -> None:
         at = self.open
         while at is not None and at.tag not in BOUNDARIES and at.tag != "p":
@@ -109,13 +126,13 @@ class Tree(HTMLParser):
             self.open = at.parent
 
     @staticmethod
-    def _named_boilerplate(attrs: list) -> bool:
+    def _boilerplate_word(attrs: list) -> str:
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and BOILERPLATE.search(value.lower().replace("_", "-")):
-                return True
+            if name in ("class", "id", "role") and value and (found := BOILERPLATE.search(LAYOUT.sub("", value.lower().replace("_", "-")))):
+                return found[1]
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                return "hidden"
+        return ""
 
 
 def own_text(node: Node) -> str:
@@ -180,13 +197,13 @@ def main_nodes(tree: Tree) -> list[Node]:
     best = max(candidates, key=lambda n: (value(n), -n.depth))
     if best.parent is None:
         return [best]
-    bar = max(10.0, 0.2 * value(best))
+    bar = 0.1 * value(best)
     kept = []
     for sibling in best.parent.children:
         if isinstance(sibling, str) or sibling.dropped:
             continue
         long_prose = sibling.tag == "p" and sibling.length > 80 and density(sibling) < 0.25
-        if sibling is best or long_prose or sibling.tag in CONTAINERS and value(sibling) >= bar and density(sibling) < 0.3:
+        if sibling is best or long_prose or sibling.tag in HEADINGS or sibling.tag in CONTAINERS and 0 < bar <= value(sibling) and density(sibling) < 0.3:
             kept.append(sibling)
     return kept
 
