@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.session import checkpoint_folder
+from wareloom.session import checkpoint_folder, remove_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,16 @@ def whole_text(name: str = "text") -> Column:
 
 
 class Scratch:
-    """Tables written as Parquet below ``spark.checkpoint.dir``: every executor sees them, and a lost executor costs no recomputation."""
+    """Tables written as Parquet below ``spark.checkpoint.dir``: every executor sees them, and a lost executor costs no recomputation.
+
+    They are removed when the driver process ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        atexit.register(_forget, spark, self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._count += 1
@@ -37,10 +42,8 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop_all_but(self, last: int = 1) -> None:
-        """Remove the tables kept so far, except the last few."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for number in range(1, self._count - last + 1):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number:04d}")
-            path.getFileSystem(conf).delete(path, True)
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Results may read the tables as long as the session lives, so they go when the driver ends."""
+    if spark.sparkContext._jsc is not None:
+        remove_folder(spark, folder)
