@@ -136,6 +136,14 @@ def test_tokens_are_compatibility_normalised(evaluate):
     assert unicodedata.normalize("NFKC", "ＡＣＭＥ") == "ACME"
 
 
+def test_json_merge_keeps_digits_and_reports_bad_documents(evaluate):
+    rows = [('{"a":1.10,"b":{"c":12345678901234567890.123456789}}', '{"b":{"d":[1e3]}}'), ("{bad", "{}"), ("{}", "nope"), ("[1]", "{}"), (None, '{"x":null}'), ("[" * 100000, "{}")]
+    got = evaluate(rows, "a string, b string", docs.json_merge_checked(F.col("a"), F.col("b")))
+    assert got[0].document == '{"a":1.10,"b":{"c":12345678901234567890.123456789,"d":[1e3]}}' and got[0].error is None
+    assert [g.document for g in got[1:]] == [None, None, None, '{"x":null}', None]
+    assert [bool(g.error) for g in got[1:]] == [True, True, True, False, True]
+
+
 def test_json_merge(evaluate):
     base, patch = {"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"b": None, "e": 3}, "d": {"x": 1}}
     got = evaluate([(json.dumps(base), json.dumps(patch)), (json.dumps(base), None)], "a string, b string", docs.json_merge(F.col("a"), F.col("b")))

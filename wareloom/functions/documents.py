@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,14 +64,36 @@ def _merged(base, patch):
     return out
 
 
-@F.pandas_udf(T.StringType())
-def json_merge(base: pd.Series, patch: pd.Series) -> pd.Series:
-    """Lay a patch over a JSON object: objects merge, anything else (null too) replaces.
+_NUMBER = "\ue000number\ue001"  # private-use characters: marks a number's own digits while a document is taken apart
+_NUMBER_TEXT = re.compile(f'"{_NUMBER}([^"]*)"')
+_MERGED = T.StructType([T.StructField("document", T.StringType()), T.StructField("error", T.StringType())])
 
+
+def _parse(text):
+    keep = lambda digits: _NUMBER + digits
+    return json.loads(text, parse_float=keep, parse_int=keep)
+
+
+@F.pandas_udf(_MERGED)
+def json_merge_checked(base: pd.Series, patch: pd.Series) -> pd.DataFrame:
+    """``struct<document, error>``: a patch laid over a JSON object; objects merge, anything else (null too) replaces.
+
+    Numbers keep their digits. A text that is no JSON, or a base that is no object, gives no document but an error.
     Free-form documents have no fixed schema, so this is an Arrow batch function.
     """
     def one(doc, over):
-        doc = json.loads(doc) if doc else {}
-        over = json.loads(over) if over else None
-        return json.dumps(_merged(doc, over) if isinstance(over, dict) else doc, ensure_ascii=False, separators=(",", ":"))
-    return pd.Series([one(b, p) for b, p in zip(base, patch)])
+        try:
+            doc = _parse(doc) if doc else {}
+            over = _parse(over) if over else None
+            if not isinstance(doc, dict):
+                return None, "document is not an object"
+            merged = _merged(doc, over) if isinstance(over, dict) else doc
+            return _NUMBER_TEXT.sub(r"\1", json.dumps(merged, ensure_ascii=False, separators=(",", ":"))), None
+        except (ValueError, RecursionError) as problem:
+            return None, f"unreadable JSON: {problem}"
+    return pd.DataFrame([one(b, p) for b, p in zip(base, patch)], columns=["document", "error"])
+
+
+def json_merge(base: Column, patch: Column) -> Column:
+    """The merged document; null where base or patch cannot be read, see :func:`json_merge_checked`."""
+    return json_merge_checked(base, patch)["document"]

@@ -113,6 +113,11 @@ def draft_list(drafts: DataFrame, accounts: DataFrame, user_id=None, market_code
     return drafts.join(accounts, "account_id").orderBy(F.desc("updated_at"), "draft_id")
 
 
+def owned_list(rows: DataFrame, user_id, key: str, at: str = "created_at") -> DataFrame:
+    """One owner's rows (accounts, sites, submission jobs), newest first."""
+    return rows.filter(F.col("user_id") == user_id).orderBy(F.desc(at), key)
+
+
 def not_owned(requested: DataFrame, owned: DataFrame, key: str) -> DataFrame:
     """Distinct requested ids that the owner does not have; must be empty for a request to go through."""
     return requested.select(key).distinct().join(owned.select(key), key, "left_anti")

@@ -31,7 +31,7 @@ def src1(t):
     rows = t.sheet_rows.withColumn("c_name", F.concat("c_name", F.lit(', "x"\ny')))
     cells = rows.select(F.col("row_no").alias("번호"), *[F.col(c).alias(h) for h, c in LEDGER_COLUMNS.items()])
     cells.write.options(header="true", quote='"', escape='"').csv(path)
-    read = rd.read_ledger(t.spark, path)
+    read = rd.read_ledger(t.spark, path, multi_line=True)
     return read.select(F.col("번호").alias("row_no"), F.col("상품코드").alias("code"), F.col("상품명").alias("name"), F.col("옵션값").alias("options"),
                        F.col("가격").alias("price"), F.col("상세이미지").alias("detail"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wareloom.operators import reads as rd
@@ -88,6 +89,25 @@ def r8(t):
     return rd.draft_list(t.stored_drafts, t.accounts, market_code="smartstore", status="ready").select("draft_id", "account_id", "user_id", "market_code", "status", "updated_at")
 
 
+OWNED_SQL = {
+    "accounts": "SELECT account_id AS id, user_id, CAST('2024-01-01' AS DATE) + CAST(account_id % 90 AS INT) AS created_at FROM accounts",
+    "sites": "SELECT site_id AS id, site_id % 7 AS user_id, CAST('2024-01-01' AS DATE) + CAST(site_id % 5 AS INT) AS created_at FROM sites",
+    "submissions": "SELECT draft_id AS id, account_id % 7 AS user_id, updated_at AS created_at FROM stored_drafts WHERE status = 'submitting'"}
+
+
+@query("R8_lists", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, CAST(id AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INT) AS position FROM ({sql}) {kind} WHERE user_id = 3" for kind, sql in OWNED_SQL.items()))
+def r8_lists(t):
+    """An owner's accounts, sites and submission jobs with their places in the lists."""
+    place = Window.orderBy(F.desc("created_at"), "id")
+    out = None
+    for kind, sql in OWNED_SQL.items():
+        listed = rd.owned_list(t.sql(sql), 3, "id").withColumn("position", F.row_number().over(place))
+        listed = listed.select(F.lit(kind).alias("kind"), F.col("id").cast("bigint").alias("id"), "position")
+        out = listed if out is None else out.unionByName(listed)
+    return out
+
+
 @query("R9", "SELECT DISTINCT l_partkey AS product_id FROM lineitem WHERE l_partkey NOT IN (SELECT product_id FROM catalogue WHERE user_id < 5)")
 def r9(t):
     return rd.not_owned(t.lineitem.select(F.col("l_partkey").alias("product_id")), t.catalogue.filter("user_id < 5"), "product_id")

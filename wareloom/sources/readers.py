@@ -9,14 +9,15 @@ from wareloom.operators import keywords as kw
 from wareloom.operators import mapping as mp
 
 
-def read_ledger(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """A supplier ledger with its headers verbatim and every cell as text.
 
-    No schema inference pass: CSV cells are text as read, other formats are cast.
+    No schema inference pass: CSV cells are text as read, other formats are cast. A CSV file whose cells hold line breaks needs
+    ``multi_line``; such a file cannot be split, so it is one task's work whatever its size.
     """
     reader = spark.read
     if fmt == "csv":
-        options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        options = {"header": "true", "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
         return reader.options(**options).csv(path)
     df = reader.option("primitivesAsString", "true").json(path) if fmt == "json" else reader.format(fmt).load(path)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
