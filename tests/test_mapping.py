@@ -68,7 +68,7 @@ def test_unsafe_rules_are_dropped(spark):
            "wholesale_status": {"source": "a", "default": "y" * 3000}}
     got = {r.field: r for r in mp.sanitize_rules(rules_of(spark, bad), headers_of(spark, ["a"])).collect()}
     assert [f for f, r in got.items() if r.kept] == ["wholesale_status"]
-    assert len(got["wholesale_status"].default) == 2000
+    assert len(got["wholesale_status"].default) == 3000  # whole values, never cut
     assert got["price_min_selling"].warnings == ["Ignored missing source header for price_min_selling: zz"]
 
 
@@ -96,8 +96,8 @@ def test_export_and_reimport_keep_alignment(spark):
     assert (r.names, r.prices, r.images) == ("블랙,화이트", "12000,13000", "b.jpg,")
 
 
-def test_pattern_input_is_bounded_for_ledger_cells(spark):
+def test_patterns_see_the_whole_cell(spark):
     rule = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("default"), F.lit("end$").alias("pattern"), F.lit(0).alias("regex_group"),
                     F.lit(False).alias("regex_all"), F.lit(",").alias("join_with"), F.lit(None).cast("map<string,string>").alias("value_map"))
     df = spark.createDataFrame([("x" * 6000 + "end",)], "s string")
-    assert df.select(mp.apply_rule(F.col("s"), rule), mp.apply_rule(F.col("s"), rule, input_limit=None)).first()[:] == (None, "end")
+    assert df.select(mp.apply_rule(F.col("s"), rule)).first()[0] == "end"
