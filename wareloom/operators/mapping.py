@@ -22,7 +22,6 @@ from wareloom.functions import text as tx
 from wareloom.functions.skew import join_per_key, salted
 from wareloom.functions.text import clean_text, is_blank, let
 from wareloom.operators import options as op
-from wareloom.session import stored_once
 
 RULE_TYPE = ("struct<source:string,default:string,pattern:string,regex_group:int,regex_all:boolean,"
              "join_with:string,value_map:map<string,string>>")
@@ -170,9 +169,8 @@ def site_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
 
 def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame) -> DataFrame:
     """All target fields of every ledger row as text columns; keeps ``site, row_no, raw``."""
-    # Resolved once, then joined; a supplier may own a large share of the rows, so these are spread by salt.
-    resolved = stored_once(site_rules(rules, headers))
-    joined = join_per_key(salted(ledger, ["row_no"]), resolved, ["site"], "left").drop("_salt")
+    # One row per supplier, which may own a large share of the ledger rows, so these are spread by salt.
+    joined = join_per_key(salted(ledger, ["row_no"]), site_rules(rules, headers), ["site"], "left").drop("_salt")
     empty = F.lit(None).cast(RULE_TYPE)
 
     def field(name):
