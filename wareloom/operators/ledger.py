@@ -115,8 +115,10 @@ def diff(upload: DataFrame, state: DataFrame, site_given: bool = True, runs: Dat
 
     def keyed(rows: DataFrame, row: Column) -> DataFrame:
         """Rows with their scope and its run, if it has one; an owner with very many rows is spread by salt."""
-        keys = rows.select(*SCOPE, F.when(~blank, F.col("product_code")).alias("code"), row, scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"))
-        return join_per_key(salted(keys, ["code"]), runs, ["_scope"], "left").drop("_salt")
+        code = F.when(~blank, F.col("product_code"))
+        own = [F.col(c).cast("string") for c in ("row_no", "product_id") if c in rows.columns]  # spreads rows without a code
+        keys = rows.select(*SCOPE, code.alias("code"), row, scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"), F.coalesce(code, *own).alias("_spread"))
+        return join_per_key(salted(keys, ["_spread"]), runs, ["_scope"], "left").drop("_salt", "_spread")
 
     fresh, stored = keyed(upload, new_row), keyed(state, old_row)
     left = fresh.filter("code IS NOT NULL").select(*[F.col(c).alias(f"n_{c}") for c in ("_scope", "code", *SCOPE, "_run", "_in_run")], "new")

@@ -101,13 +101,19 @@ def snk2(t):
 
 @query("SNK3", f"""
 WITH {lp.DIFF_SQL}, g AS (SELECT kind FROM x WHERE kind IN ('new', 'updated', 'removed'))
-SELECT r.import_id, kind AS change_type, count(*) AS n FROM g CROSS JOIN (VALUES ('run-1'), ('run-2')) r(import_id) GROUP BY 1, 2""")
+SELECT r.import_id, kind AS change_type, count(*) AS n FROM g CROSS JOIN (VALUES ('run-1'), ('run-2')) r(import_id) GROUP BY 1, 2
+UNION ALL SELECT 'stock', change_type, count(*) FROM stock_changes GROUP BY 2""")
 def snk3(t):
+    """A change log partitioned by run, of which the second run is written twice, and a plain history in two parts."""
     path = fresh_folder(t, "change-log")
-    changes = lp.changes(t)
-    for run in ("run-1", "run-2"):
-        wr.append(lg.change_log(changes, run), path, partition="import_id")
-    return t.spark.read.parquet(path).groupBy("import_id", "change_type").agg(F.count(F.lit(1)).alias("n"))
+    changes = t.spark.read.parquet(wr.write_version(lp.changes(t), f"{path}/changes", "1"))
+    for run in ("run-1", "run-2", "run-2"):
+        wr.append(lg.change_log(changes, run), f"{path}/log", partition="import_id")
+    for part in (0, 1):
+        wr.append(t.stock_changes.filter(F.col("change_id") % 2 == part), f"{path}/stock")
+    counted = lambda df, *first: df.groupBy(*first, "change_type").agg(F.count(F.lit(1)).alias("n"))
+    stock = counted(t.spark.read.parquet(f"{path}/stock")).select(F.lit("stock").alias("import_id"), "change_type", "n")
+    return counted(t.spark.read.parquet(f"{path}/log"), "import_id").unionByName(stock)
 
 
 @query("SNK4", f"""
