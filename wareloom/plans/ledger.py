@@ -13,6 +13,8 @@ from wareloom.operators.runs import apply_uploads
 from wareloom.plans.mapping import PROJECTED_SQL, STATUS_SQL, sheets
 from wareloom.plans.registry import query
 from wareloom.session import data_folder
+from wareloom.sources.readers import as_raw_rows, read_ledger
+from wareloom.sources.writers import write_version
 
 # Product fields and the fixture columns they come from, in reporting order; the nested ones are built from one text each.
 COLUMNS = {f: {"option_variants": "variant_1", "standard_options": "standard_1", "images_list": "image_1"}.get(f, f) for f in K.IMPORT_FIELDS}
@@ -204,6 +206,45 @@ def l9_second(t):
     return log.select("import_id", *lg.SCOPE, "product_id", "product_code", "original_name", "change_type", F.array_join("changed_fields", "|").alias("changed_fields"))
 
 
+# Headers of a supplier's file, recognised without rules.
+FILE_HEADERS = {"번호": "row_no", "상태": "wholesale_status", "제품번호": "wholesale_product_id", "상품코드": "product_code", "상품명": "original_name", "가격": "price_wholesale",
+                "소비자가": "price_retail", "판매준수가": "price_min_selling", "원산지": "origin", "대표이미지": "image_1", "상세이미지": "image_detail", "등록일": "wholesale_registered_at"}
+FILE_FIELDS = [c for c in FILE_HEADERS.values() if c not in ("row_no", "product_code")]
+
+
+def from_file(t, rows, path):
+    """Write rows as a supplier's CSV file, read it back, map its headers and parse it."""
+    rows.select(*[F.col(c).cast("string").alias(h) for h, c in FILE_HEADERS.items()]).write.options(header="true", quote='"', escape='"').csv(path)
+    raw = as_raw_rows(read_ledger(t.spark, path), 10, "번호")
+    headers = t.spark.createDataFrame([(10, h) for h in FILE_HEADERS if h != "번호"], "site int, header string")
+    rules = t.spark.createDataFrame([], "site int, field string, source string, default string, pattern string, regex_group string, regex_all boolean, join_with string, value_map map<string,string>, plain boolean")
+    parsed = mp.parse_rows(mp.project_fields(raw, rules, headers)).withColumns({"user_id": F.lit(1), "site_id": F.col("site")})
+    return t.spark.read.parquet(write_version(parsed, f"{path}-parsed", "1"))  # gates and comparison both read it
+
+
+@query("L16", f"""
+WITH o AS (SELECT * FROM ledger_v1 WHERE user_id = 1 AND site_id = 10), n AS (SELECT * FROM ledger_v2 WHERE user_id = 1 AND site_id = 10),
+d AS (SELECT coalesce(n.product_code, o.product_code) AS product_code, CASE WHEN o.product_id IS NULL THEN 'new' WHEN n.row_no IS NULL THEN 'removed'
+    WHEN {" OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in FILE_FIELDS)} THEN 'updated' ELSE 'unchanged' END AS kind, n.original_name AS n_name, o.original_name AS o_name,
+    n.price_wholesale AS n_price, o.price_wholesale AS o_price, n.wholesale_status AS n_status, o.wholesale_status AS o_status
+  FROM n FULL JOIN o ON n.product_code = o.product_code)
+SELECT product_code, CASE WHEN kind IN ('new', 'updated') THEN n_name ELSE o_name END AS original_name, CAST(CASE WHEN kind IN ('new', 'updated') THEN n_price ELSE o_price END AS BIGINT) AS price_wholesale,
+  CASE kind WHEN 'removed' THEN '단종' WHEN 'unchanged' THEN o_status ELSE n_status END AS wholesale_status, 'pending' AS status,
+  CASE WHEN kind = 'unchanged' THEN 'new' ELSE kind END AS change_type, CASE WHEN kind IN ('new', 'updated') THEN 'run-2' ELSE 'run-1' END AS import_id FROM d""")
+def l16(t):
+    """Two supplier files, one after the other, from CSV to the catalogue: the first meets an empty one."""
+    root = data_folder(t.spark, f"files-{uuid.uuid4().hex}")
+    one_scope = "user_id = 1 AND site_id = 10"
+    first = from_file(t, t.ledger_v1.filter(one_scope).withColumn("row_no", F.col("product_id")), f"{root}/first")
+    second = from_file(t, t.ledger_v2.filter(one_scope), f"{root}/second")
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = first.limit(0).drop("row_no").withColumns({"product_id": none("bigint"), "status": none("string"), "change_type": none("string"), "processed_image_path": none("string"), "image_status": none("string")})
+    run = lambda name: t.spark.createDataFrame([(name, 1, 10)], "import_id string, user_id int, site_id int")
+    stored = apply_uploads(first, empty, t.platform_mappings, run("run-1"), root, "1")
+    applied = apply_uploads(second, stored.state, stored.mappings, run("run-2"), root, "2")
+    return applied.state.select("product_code", "original_name", "price_wholesale", "wholesale_status", "status", "change_type", "import_id")
+
+
 CRAWL_SQL = """
 SELECT event_id AS seq, user_id % 60 AS supplier_id,
   concat(CASE WHEN event_type = 'signup' THEN 'D-' ELSE 'C-' END, CAST(user_id AS VARCHAR(20))) AS supplier_product_code,
