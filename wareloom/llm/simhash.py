@@ -34,6 +34,7 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 256
 LEVELS = 3
+BATCH = 1000  # documents in Python at once
 BLOCK = 1 << 16  # shingle hashes whose bits are in memory at once
 
 
@@ -145,7 +146,7 @@ def clusters(rows: DataFrame, scratch: Scratch, first: Column) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(docs.select(field("doc_id").cast("bigint").alias("doc_id"), fingerprints(whole_text()).alias("fp")))
+    rows = scratch.keep(docs.select(field("doc_id").cast("bigint").alias("doc_id"), fingerprints(whole_text()).alias("fp")), BATCH)
     named = clusters(rows, scratch, F.col("doc_id"))
     return rows.join(named, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest id (null ids last), of repeated ids the first read."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    rows = scratch.keep(docs.select(F.struct("*").alias("doc"), fingerprints(whole_text()).alias("fp"), F.monotonically_increasing_id().alias("row")))
+    rows = scratch.keep(docs.select(F.struct("*").alias("doc"), fingerprints(whole_text()).alias("fp"), F.monotonically_increasing_id().alias("row")), BATCH)
     doc_id = F.col("doc")["doc_id"].cast("bigint")
     keys = rows.select("fp", F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), "row").alias("first"))
     winners = clusters(keys, scratch, F.col("first")).select(F.col("first")["row"].alias("row")).distinct()

@@ -36,10 +36,17 @@ class Scratch:
         self._count = 0
         atexit.register(_forget, spark, self.folder)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """Write and reread; ``batch_rows`` is the size of the batches that go to Python while this table is written."""
         self._count += 1
         path = f"{self.folder}/{self._count:04d}"
-        df.write.parquet(path)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        try:
+            self.spark.conf.set(setting, batch_rows or before)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
