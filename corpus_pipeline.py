@@ -31,10 +31,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and the digests of the ids and of the bytes they decode to."""
+    """Token ids of each document and the digests of the ids and of the bytes they decode to, in the order of the stored mixture."""
     ranks = byte_bpe.read_ranks()
-    ids = byte_bpe.encode(docs, ranks)
-    return byte_bpe.decode(ids, ranks).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+    # Encoded once: ordering by ranges reads its input twice.
+    ids = Scratch(spark, "tokens").keep(byte_bpe.encode(mixing.placed(docs), ranks, carried=("position",)))
+    return byte_bpe.decode(ids.orderBy("position"), ranks).select("position", "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                                               F.sha2("raw", 256).alias("decoded_sha256"))
 
 

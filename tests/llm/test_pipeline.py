@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from wareloom.llm import byte_bpe, mixing, quality_classifier, secret_scan, simhash
 from wareloom.llm.queries import ORACLES, QUERIES
-from wareloom.llm.tables import table
+from wareloom.llm.tables import Scratch, table
 
 FOLDER = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -51,3 +51,31 @@ def test_query_matches_its_oracle(spark, name):
 
     status, _, note = compare(spark, FOLDER, name, QUERIES, ORACLES)
     assert status == "ok", note
+
+
+@here
+def test_rows_come_in_the_order_of_the_mixture(spark):
+    docs = table(spark, FOLDER, "documents")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = Scratch(spark, "stages").keep(stage(spark, docs, FOLDER))
+    timed = mixing.schedule(docs).select("doc.doc_id", "slot", "place").collect()
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in sorted(timed, key=lambda r: (r.slot, r.place))]
+    assert [r.position for r in rows] == sorted({r.position for r in rows})
+
+
+def test_prefixes_of_the_tokens_keep_the_weights(spark):
+    total = sum(mixing.WEIGHTS.values())
+    size = {c: 2 * w * mixing.BLOCK for c, w in mixing.WEIGHTS.items()}  # all sources last for two periods
+    long = "word " * 9000
+    rows = [(i, long if i % 400 == 0 else f"text {i}", c) for i, c in enumerate(c for c, n in size.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    stored = Scratch(spark, "mixed").keep(mixing.mixed(docs))
+    out = corpus_pipeline.tokens(spark, stored, FOLDER).collect()
+    source = {i: c for i, _, c in rows}
+    seen = dict.fromkeys(size, 0)
+    assert len(out) == len(rows) and len({r.doc_id for r in out}) == len(rows)
+    for n, r in enumerate(out, 1):
+        seen[source[r.doc_id]] += 1
+        if n % mixing.BLOCK == 0:
+            assert all(abs(seen[c] - n * w / total) < mixing.BLOCK for c, w in mixing.WEIGHTS.items())

@@ -130,12 +130,13 @@ def cuts(chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return found.select("row", at.cast("bigint").alias("at")).filter("at is not null")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids) of each row."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], chunk: int = CHUNK, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of each row, and before ``ids`` the columns of ``docs`` that are to be carried along."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(ranks))  # the vocabulary, of fixed size
-    rows = docs.select(field("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    short = encoded(rows.filter(F.length("text") <= chunk).select(F.col("doc_id").alias("key"), "text"), shared)
+    rows = docs.select(field("doc_id").cast("bigint").alias("doc_id"), *map(field, carried), whole_text().alias("text"))
+    key = F.struct("doc_id", *map(field, carried)) if carried else F.col("doc_id")
+    short = encoded(rows.filter(F.length("text") <= chunk).select(key.alias("key"), "text"), shared)
     scratch = Scratch(spark, "bpe")
     long = scratch.keep(rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
     start = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)).cast("array<bigint>")).alias("start")
@@ -143,11 +144,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk: int = CHUNK) -> Data
         "row", "start", (F.col("start") + chunk + OVERLAP >= F.length("text")).alias("last"), F.expr(f"substring(text, int(start) + 1, {chunk + OVERLAP})").alias("text"))
     begins = cuts(pieces_of.repartition("row", "start"), chunk).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     spans = F.posexplode(F.arrays_zip(F.col("ats").alias("a"), F.expr("array_append(slice(ats, 2, size(ats)), bigint(length(text)))").alias("b"))).alias("no", "z")
-    pieces = long.join(begins, "row").select("row", "doc_id", "text", spans).select(
-        F.struct("row", "doc_id", "no").alias("key"), F.expr("substring(text, int(z.a) + 1, int(z.b - z.a))").alias("text"))
-    whole = (encoded(pieces.repartition("key"), shared).groupBy(F.col("key")["row"].alias("row"), F.col("key")["doc_id"].alias("doc_id"))
+    pieces = long.join(begins, "row").select("row", key.alias("key"), "text", spans).select(
+        F.struct("row", "key", "no").alias("key"), F.expr("substring(text, int(z.a) + 1, int(z.b - z.a))").alias("text"))
+    whole = (encoded(pieces.repartition("key"), shared).groupBy(F.col("key")["row"].alias("row"), F.col("key")["key"].alias("key"))
              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("key")["no"].alias("no"), "ids"))), lambda p: p["ids"])).alias("ids")))
-    return short.select(F.col("key").alias("doc_id"), "ids").unionByName(whole.select("doc_id", "ids"))
+    names = F.col("key.*") if carried else F.col("key").alias("doc_id")
+    return short.select(names, "ids").unionByName(whole.select(names, "ids"))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +75,18 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, block: int = BLOCK
     """The input rows in the order of the schedule: ranges of slots follow each other from partition to partition."""
     timed = schedule(docs, weights, block)
     return timed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("doc.*")
+
+
+def placed(stored: DataFrame, name: str = "position") -> DataFrame:
+    """``stored``, a table that was written from :func:`mixed`, with each row's place in the order it was written in: increasing, not gapless.
+
+    Files are packed by size when they are read, so the place comes from the number of the file (of the task, then of the task's file) and
+    the row's number in it. Rows that come from no files are placed as they stand.
+    """
+    file, row = field("_metadata")["file_name"], field("_metadata")["row_index"]
+    number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("bigint"), F.lit(0))
+    try:
+        at = stored.withColumn(name, F.struct(number("^part-(\\d+)").alias("task"), number("-c(\\d+)[.]").alias("file"), row.alias("row")))
+    except AnalysisException:
+        at = stored.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("task"), F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row")))
+    return at
