@@ -37,3 +37,14 @@ def test_one_row_per_page(spark):
     got = [tuple(r) for r in html_extract.extracted(pages).collect()]
     assert sorted(got, key=str) == sorted([(1, "u", "a"), (1, "u", "a"), (None, None, ""), (2, "v", "")], key=str)
     assert html_extract.extracted(pages.limit(0)).collect() == []
+
+
+def test_nothing_beside_the_best_container_is_cut_by_its_size():
+    prose = "Some prose with commas, many of them, and enough words to count as a paragraph of the article, it goes on, and on."
+    page = f"<body><article><section>{f'<p>{prose}' * 40}</section><section><p>In short, done.</section><p>Short.</p><pre>x = 1</pre><figure><figcaption>A figure</figcaption></figure>bare"
+    page += "<details>More</details><address>By me</address></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join([prose] * 40 + ["In short, done.", "Short.", "x = 1", "A figure", "bare", "More", "By me"])
+    page = f"<main><div><div><p>{prose}<p>{prose}<p>{prose}</div></div><div><div><p>End.</div></div></main>"
+    assert html_extract.main_text(page) == "\n\n".join([prose] * 3 + ["End."])
+    page = f"<body><div><div><p>{prose}<p>{prose}<p>{prose}</div>bare<pre>x = 1</pre><p>Short.</p><div><p>Too.</div></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join([prose] * 3 + ["bare", "x = 1", "Short.", "Too."])

@@ -2,8 +2,8 @@
 
 Boilerplate elements (by tag, or by a word of their class, id or role) are left out. Every paragraph-like element with text of its own earns
 points for its length and its commas, which count in full for its parent, half for its grandparent and less further up. A
-container's points are discounted by the share of its text that stands in links. The best container is kept, and of its siblings those
-that score well themselves; lists of links within them are left out. Text is given block by block, in page order.
+container's points are discounted by the share of its text that stands in links. The best container is kept, or the outermost article or main
+element around it, with all that stands beside it; only lists of links among that are left out. Text is given block by block, in page order.
 
 Blocks are joined by two line breaks; white space within a block becomes one space; character references are decoded; a line-break element is
 white space. Unclosed elements end where HTML ends them: a new paragraph closes an open one with whatever inline elements it left open.
@@ -43,7 +43,6 @@ BOILERPLATE = re.compile(
 NAMED = frozenset({"body", "html", "main", "article"})  # not dropped for their names
 LAYOUT = re.compile(r"(?:has|no|with|without)-(?:right-|left-)?[a-z]+")  # says what stands beside an element, not what it is
 FRAME_WORDS = frozenset("sidebar side-bar nav navbar menu header footer toolbar".split())  # also found in names of a page's outer frame
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
@@ -189,26 +188,23 @@ def is_link_list(node: Node) -> bool:
     return node.tag in CONTAINERS and node.links >= 3 and density(node) > 0.6
 
 
-def main_nodes(tree: Tree) -> list[Node]:
+def main_node(tree: Tree) -> tuple[Node, set[Node]]:
+    """The node whose text is wanted, and the nodes from there to the best container, which are no link lists whatever their density."""
     candidates = [n for n in tree.order if not n.dropped and n.tag in CONTAINERS and n.score > 0]
     if not candidates:
-        return [tree.root]
+        return tree.root, set()
     value = lambda n: n.score * (1 - density(n)) * (1.5 if n.tag in ("article", "main") else 1)
     best = max(candidates, key=lambda n: (value(n), -n.depth))
-    if best.parent is None:
-        return [best]
-    bar = 0.1 * value(best)
-    kept = []
-    for sibling in best.parent.children:
-        if isinstance(sibling, str) or sibling.dropped:
-            continue
-        long_prose = sibling.tag == "p" and sibling.length > 80 and density(sibling) < 0.25
-        if sibling is best or long_prose or sibling.tag in HEADINGS or sibling.tag in CONTAINERS and 0 < bar <= value(sibling) and density(sibling) < 0.3:
-            kept.append(sibling)
-    return kept
-
-
-def blocks(nodes: list[Node]) -> list[str]:
+    path, outer, at = [], best, best
+    while at is not None:
+        path.append(at)
+        if at.tag in ("article", "main"):
+            outer = at
+        at = at.parent
+    return outer.parent or outer, set(path)
+
+
+def blocks(node: Node, path: set[Node]) -> list[str]:
     """Runs of inline text between block borders."""
     out: list[str] = []
     run: list[str] = []
@@ -219,25 +215,24 @@ def blocks(nodes: list[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    for node in nodes:
-        todo = [(node, iter(node.children))]
-        while todo:
-            at, children = todo[-1]
-            child = next(children, None)
-            if child is None:
-                todo.pop()
-                if at.tag in BLOCKS:
-                    flush()
-            elif isinstance(child, str):
-                run.append(child)
-            elif child.dropped or is_link_list(child):
-                if child.tag in BLOCKS or child.tag in DROPPED:
-                    flush()
-            else:
-                if child.tag in BLOCKS:
-                    flush()
-                todo.append((child, iter(child.children)))
-        flush()
+    todo = [(node, iter(node.children))]
+    while todo:
+        at, children = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+            if at.tag in BLOCKS:
+                flush()
+        elif isinstance(child, str):
+            run.append(child)
+        elif child.dropped or child not in path and is_link_list(child):
+            if child.tag in BLOCKS or child.tag in DROPPED:
+                flush()
+        else:
+            if child.tag in BLOCKS:
+                flush()
+            todo.append((child, iter(child.children)))
+    flush()
     return out
 
 
@@ -248,7 +243,7 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     measure(tree.order)
-    return "\n\n".join(blocks(main_nodes(tree)))
+    return "\n\n".join(blocks(*main_node(tree)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
