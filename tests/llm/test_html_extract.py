@@ -48,3 +48,15 @@ def test_nothing_beside_the_best_container_is_cut_by_its_size():
     assert html_extract.main_text(page) == "\n\n".join([prose] * 3 + ["End."])
     page = f"<body><div><div><p>{prose}<p>{prose}<p>{prose}</div>bare<pre>x = 1</pre><p>Short.</p><div><p>Too.</div></div></body>"
     assert html_extract.main_text(page) == "\n\n".join([prose] * 3 + ["bare", "x = 1", "Short.", "Too."])
+
+
+def test_form_around_the_page_is_a_container_and_others_are_not():
+    prose = "Some prose with commas, many of them, and enough words to count as a paragraph of the article, it goes on, and on."
+    controls = "<input type=hidden name=__VIEWSTATE value=x><input name=q><select><option>All</option></select><label>Find</label><button>Go</button>"
+    article = f"<article><h1>Title</h1><p>{prose}</p><p>End.</p></article>"
+    want = "\n\n".join(["Title", prose, "End."])
+    assert html_extract.main_text(f"<body><form id=aspnetForm>{controls}{article}</form></body>") == want
+    assert html_extract.main_text(f"<body><form id=aspnetForm>{controls}<div><h1>Title</h1><p>{prose}</p><p>End.</p></div></form></body>") == want
+    assert html_extract.main_text(f"<body><form class=sidebar><div>{article}</div></form><form><p>Stay in touch</p>{controls}</form></body>") == want
+    assert html_extract.main_text(f"<body>{article}<form><textarea>x</textarea><p>Leave a reply</p><input name=a><button>Send</button></form></body>") == want
+    assert html_extract.main_text(f"<body><div><p>{prose}<p>{prose}</div><form><input type=hidden><p>Without controls.</form></body>") == "\n\n".join([prose, prose, "Without controls."])

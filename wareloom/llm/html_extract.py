@@ -5,6 +5,9 @@ points for its length and its commas, which count in full for its parent, half f
 container's points are discounted by the share of its text that stands in links. The best container is kept, or the outermost article or main
 element around it, with all that stands beside it; only lists of links among that are left out. Text is given block by block, in page order.
 
+Form controls are left out. A form itself is a container like others if it holds the best container or an article or main element, has no
+control that shows, or earns more points than it has such controls; any other form is boilerplate with all that it holds.
+
 Blocks are joined by two line breaks; white space within a block becomes one space; character references are decoded; a line-break element is
 white space. Unclosed elements end where HTML ends them: a new paragraph closes an open one with whatever inline elements it left open.
 
@@ -26,13 +29,14 @@ from wareloom.llm.tables import field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video nav header footer aside form button select "
+    "script style noscript template head title svg math iframe object canvas audio video nav header footer aside button select "
     "option textarea input label fieldset dialog menu".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure "
-    "figcaption address details summary center hr".split())
-PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body h1 h2 h3 h4 h5 h6 figcaption".split())
-CONTAINERS = frozenset("html body main article section div td blockquote ul ol dl table tbody".split())
+    "figcaption address details summary center hr form".split())
+PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body h1 h2 h3 h4 h5 h6 figcaption form".split())
+CONTAINERS = frozenset("html body main article section div td blockquote ul ol dl table tbody form".split())
+CONTROLS = frozenset("input select textarea button".split())
 #: An opening tag of the key ends an open element of the value, up to the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARIES = frozenset("html body table td th ul ol dl div section article main blockquote".split())
@@ -46,7 +50,7 @@ FRAME_WORDS = frozenset("sidebar side-bar nav navbar menu header footer toolbar"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "links", "score", "dropped", "by_name")
+    __slots__ = ("tag", "parent", "depth", "children", "length", "commas", "linked", "links", "score", "dropped", "by_name", "controls", "holds_main")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool, by_name: str = ""):
         self.tag, self.parent, self.dropped, self.by_name = tag, parent, dropped, by_name
@@ -54,6 +58,7 @@ class Node:
         self.children: list[Node | str] = []
         self.length = self.commas = self.linked = self.links = 0
         self.score = 0.0
+        self.controls, self.holds_main = 0, False
 
 
 class Tree(HTMLParser):
@@ -71,6 +76,8 @@ class Tree(HTMLParser):
             self._end_paragraph()
         if tag in CLOSES:
             self._end_open(CLOSES[tag])
+        if tag in CONTROLS and not (tag == "input" and any(k == "type" and (v or "").lower() == "hidden" for k, v in attrs)):
+            self.open.controls += 1
         if tag in VOID:
             self.open.children.append("\n" if tag == "br" else Node(tag, self.open, True))
             return
@@ -151,6 +158,8 @@ def own_text(node: Node) -> str:
 def measure(order: list[Node]) -> None:
     """Lengths and link lengths of whole subtrees, then the points that paragraphs pass to their ancestors."""
     for node in order:
+        node.length = node.commas = node.linked = node.links = 0
+        node.score = 0.0
         if not node.dropped and node.tag in PARAGRAPHS:
             text = " ".join(own_text(node).split())
             node.length, node.commas = len(text), text.count(",")
@@ -188,6 +197,24 @@ def is_link_list(node: Node) -> bool:
     return node.tag in CONTAINERS and node.links >= 3 and density(node) > 0.6
 
 
+def drop_forms(tree: Tree) -> bool:
+    """Drop the forms that are no containers; true if there were any."""
+    if not any(n.tag == "form" and not n.dropped for n in tree.order):
+        return False
+    path = main_node(tree)[1]
+    for node in reversed(tree.order):
+        if node.parent is not None:
+            node.parent.controls += node.controls
+            node.parent.holds_main |= not node.dropped and (node.holds_main or node.tag in ("article", "main"))
+    found = False
+    for node in tree.order:  # parents come before their children
+        if node.parent is not None and node.parent.dropped and not node.dropped:
+            node.dropped = True
+        elif node.tag == "form" and not node.dropped and node not in path and not node.holds_main and 0 < node.controls >= node.score:
+            node.dropped = found = True
+    return found
+
+
 def main_node(tree: Tree) -> tuple[Node, set[Node]]:
     """The node whose text is wanted, and the nodes from there to the best container, which are no link lists whatever their density."""
     candidates = [n for n in tree.order if not n.dropped and n.tag in CONTAINERS and n.score > 0]
@@ -243,6 +270,8 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     measure(tree.order)
+    if drop_forms(tree):
+        measure(tree.order)
     return "\n\n".join(blocks(*main_node(tree)))
 
 
