@@ -49,3 +49,20 @@ def test_rows_are_kept_apart(spark, odd_docs, no_docs):
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError):
         license_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {"x": ("too short",)})
+
+
+def test_bank_names_other_wordings_bodies_and_versions(spark):
+    from wareloom.llm import license_bank
+
+    texts = license_bank.bank()
+    family = {n.split("|")[0]: license_bank.family(n.split("|")[0]) for n in texts}
+    with open(license_bank._FOLDER + "/GPL-2.txt") as lines:
+        body = lines.read()
+    notices = ["This work is licensed under the GNU General Public License, version 2", "Licensed under the MIT License", "Licensed under the ISC License.",
+               "This work is licensed under the GNU General Public License, version 3.", license_bank._TEXTS["BSD-3-Clause"][0].replace("the copyright holder nor", "Example Inc nor"), body]
+    docs = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    got = {}
+    for r in license_scan.named(docs, texts, family).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [got.get(i, set()) - {"BSD", "GPL header"} for i in range(5)] == [{"GPL-2.0"}, {"MIT"}, {"ISC"}, {"GPL-3.0"}, {"BSD-3-Clause"}]
+    assert "GPL-2.0" in got[5] and "GPL-3.0" not in got[5]

@@ -15,8 +15,6 @@ window (the first of equals); repeated rows have rows of their own; an empty tab
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +62,7 @@ def shingle_at(words: Column, i: Column) -> Column:
 
 
 def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
-    """license, shingles (distinct), s, stride and band values; one row per notice text."""
+    """license, variant, shingles (distinct), s, stride and band values; one row per notice text."""
     rows = []
     for name, variants in texts.items():
         for text in variants:
@@ -72,8 +70,8 @@ def templates(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFra
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             shingles = list(dict.fromkeys(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
-            rows.append((name, shingles, len(shingles), -(-len(shingles) // 4)))
-    base = spark.createDataFrame(rows, "license string, shingles array<string>, s int, stride int")
+            rows.append((name, len(rows), shingles, len(shingles), -(-len(shingles) // 4)))
+    base = spark.createDataFrame(rows, "license string, variant int, shingles array<string>, s int, stride int")
     hashes = F.transform("shingles", lambda x: F.xxhash64(x))
     return base.withColumn("bands", signature(hashes))
 
@@ -86,13 +84,15 @@ def signature(hashes: Column) -> Column:
     return F.array(*[winner(s) for s in SALTS])
 
 
-def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, license, containment, first_word and n_words of the best window, and the number of verified windows."""
+def verified_windows(docs: DataFrame, texts: dict[str, tuple[str, ...]], least: float) -> DataFrame:
+    """row, doc_id, license, first_word, n_words, containment and the number of shared shingles of each verified window."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     known = scratch.keep(templates(spark, texts).coalesce(1))
-    shapes = sorted({(r.s, r.stride) for r in known.select("s", "stride").collect()})  # the templates are parameters
-    values = sorted({v for r in known.select("bands").collect() for v in r.bands})
+    of_shape: dict[tuple[int, int], set[int]] = {}
+    for r in known.select("s", "stride", "bands").collect():  # the templates are parameters
+        of_shape.setdefault((r.s, r.stride), set()).update(r.bands)
+    values = sorted(set().union(*of_shape.values()))
 
     def hits_in(words: Column) -> Column:
         count = F.size(words) - (SHINGLE - 1)
@@ -103,23 +103,47 @@ def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = TEMPLATES, least:
     hit = rows.withColumn("hits", let(words_of(F.col("text")), hits_in)).filter(F.size("hits") > 0)
     suspects = scratch.keep(hit.select("doc_id", "hits", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row")))
 
-    # Windows of each shape that hold a hit.
-    def windows(s: int, stride: int) -> DataFrame:
-        around = F.transform("hits", lambda i: F.sequence(F.greatest(F.lit(0), F.floor((i - (s + stride) + stride) / stride)).cast("int"), F.floor(i / stride).cast("int")))
-        begin = F.explode(F.array_distinct(F.flatten(around))).alias("k")
-        return suspects.select("row", "doc_id", "words", begin).select(
-            "row", "doc_id", F.lit(s).alias("s"), (F.col("k") * stride).alias("first_word"), F.expr(f"slice(words, k * {stride} + 1, {s + stride + SHINGLE - 1})").alias("window"))
+    # Windows of each shape that hold a hit of a template of that shape.
+    def windows(s: int, stride: int) -> Column:
+        own = F.filter("hits", lambda i: F.xxhash64(shingle_at(F.col("words"), i)).isin(sorted(of_shape[s, stride])))
+        around = F.transform(own, lambda i: F.sequence(F.greatest(F.lit(0), F.floor((i - (s + stride) + stride) / stride)).cast("int"), F.floor(i / stride).cast("int")))
+        return F.transform(F.array_distinct(F.flatten(around)), lambda k: F.struct(F.lit(s).alias("s"), F.lit(stride).alias("stride"), (k * stride).alias("first_word")))
 
-    all_windows = reduce(DataFrame.unionByName, [windows(s, d) for s, d in shapes])
+    begin = F.explode(F.concat(*[windows(s, d) for s, d in sorted(of_shape)])).alias("z")
+    all_windows = suspects.select("row", "doc_id", "words", begin).select(
+        "row", "doc_id", "z.s", "z.first_word", F.expr(f"slice(words, z.first_word + 1, z.s + z.stride + {SHINGLE - 1})").alias("window"))
     window_starts = F.sequence(F.lit(0), F.greatest(F.size("window") - SHINGLE, F.lit(0)))
     cut = all_windows.filter(F.size("window") >= SHINGLE).withColumn("found", F.transform(window_starts, lambda i: shingle_at(F.col("window"), i)))
     signed = scratch.keep(cut.withColumn("bands", signature(F.transform("found", lambda x: F.xxhash64(x)))))
-    side = known.select("license", "shingles", F.col("s").alias("ts"), F.posexplode("bands").alias("band", "value"))
+    side = known.select("license", "variant", F.col("s").alias("ts"), F.posexplode("bands").alias("band", "value"))
     banded = signed.select("row", "doc_id", "s", "first_word", "found", F.posexplode("bands").alias("band", "value"))
-    # The template side is a parameter of at most some hundred rows.
+    # The template side is a parameter of bounded size.
     candidates = banded.join(F.broadcast(side), (F.col("s") == F.col("ts")) & (banded["band"] == side["band"]) & (banded["value"] == side["value"]))
-    share = F.size(F.array_intersect("shingles", "found")) / F.size("shingles")
-    verified = candidates.select("row", "doc_id", "license", "first_word", (F.size("found") + SHINGLE - 1).alias("n_words"), share.alias("containment")).filter(F.col("containment") >= least).distinct()
+    shared = F.size(F.array_intersect("shingles", "found"))
+    counted = candidates.join(F.broadcast(known.select("variant", "shingles")), "variant").select(
+        "row", "doc_id", "license", "first_word", (F.size("found") + SHINGLE - 1).alias("n_words"), shared.alias("shared"), (shared / F.size("shingles")).alias("containment"))
+    return counted.filter(F.col("containment") >= least).distinct().withColumn("n_windows", F.count("*").over(Window.partitionBy("row", "license")))
+
+
+def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """doc_id, license, containment, first_word and n_words of the best window, and the number of verified windows."""
     best = Window.partitionBy("row", "license").orderBy(F.col("containment").desc(), "first_word", "n_words")
-    return (verified.withColumn("n_windows", F.count("*").over(Window.partitionBy("row", "license"))).withColumn("_rank", F.row_number().over(best))
+    return (verified_windows(docs, texts, least).withColumn("_rank", F.row_number().over(best))
+            .filter("_rank = 1").select("doc_id", "license", "containment", "first_word", "n_words", "n_windows"))
+
+
+def named(docs: DataFrame, texts: dict[str, tuple[str, ...]], family: dict[str, str], least: float = LEAST) -> DataFrame:
+    """As :func:`scan`, for wordings named ``license|number``: one row per text and license, with its best wording.
+
+    Where windows of one family run into each other, an incomplete match gives way to one that shares more shingles: a notice of one
+    version is no notice of another that differs in a word.
+    """
+    of = F.create_map(*[F.lit(x) for pair in family.items() for x in pair])
+    seen = verified_windows(docs, texts, least).withColumnRenamed("license", "wording").withColumn("license", F.substring_index("wording", "|", 1)).withColumn("family", of[F.col("license")])
+    in_order = Window.partitionBy("row", "family").orderBy("first_word", "n_words")
+    reached = F.max(F.col("first_word") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = seen.withColumn("_new", (F.coalesce(reached, F.lit(0)) <= F.col("first_word")).cast("int"))
+    runs = begins.withColumn("_run", F.sum("_new").over(in_order)).withColumn("_most", F.max("shared").over(Window.partitionBy("row", "family", "_run")))
+    best = Window.partitionBy("row", "license").orderBy(F.col("containment").desc(), F.col("shared").desc(), "first_word", "n_words", "wording")
+    return (runs.filter("containment = 1 OR shared = _most").withColumn("_rank", F.row_number().over(best))
             .filter("_rank = 1").select("doc_id", "license", "containment", "first_word", "n_words", "n_windows"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import byte_bpe, html_extract, license_scan, mixing, oracles, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
+from wareloom.llm import byte_bpe, html_extract, license_bank, license_scan, mixing, oracles, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
 from wareloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,8 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_license_scan", oracles.licenses())
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    texts = license_bank.bank()
+    return license_scan.named(table(spark, sf_dir, "documents"), texts, {n.split("|")[0]: license_bank.family(n.split("|")[0]) for n in texts})
 
 
 @query("op9_quality_classifier")
