@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareloom.llm import license_scan, mixing, quality_rules, secret_scan
+from wareloom.llm import license_scan, mixing, quality_rules, secret_scan, url_rules
 
 
 def quoted(text: str) -> str:
@@ -138,3 +138,103 @@ o AS (SELECT grp, CAST(len(list_filter(cuts, lambda x: x <= stop - size)) AS INT
 SELECT doc_id, size, xor(list_reduce(bytes, lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
 FROM d JOIN o USING (grp) CROSS JOIN crc"""
+
+
+CRC_TABLE = """bit AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) AS v FROM range(256) r(i)),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bit)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text, with the table ``crc`` in the FROM clause."""
+    numbers = f"list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT)))"
+    return f"xor(list_reduce({numbers}, lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+def repairs() -> str:
+    """A forward programme over all rows: the best of each state is its cost, audit and repaired text in one string, and the least string wins."""
+    grown = lambda s, cost, letter, line: (
+        f"lpad(CAST(CAST(substr({s}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({s}, 10, strpos({s}, chr(1)) - 10) || '{letter}' || substr({s}, strpos({s}, chr(1))) || {line}")
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    to_user = lambda s: f"least(s2, {grown('s0', 2, 'I', user)}, {grown('s1', 2, 'I', user)}, {grown(s, 2, 'I', user)})"
+    inserts = f"SELECT * REPLACE ({to_user('s3')} AS s2) FROM (SELECT * REPLACE (least(s3, {grown('s2', 2, 'I', assistant)}) AS s3) FROM (SELECT * REPLACE ({to_user('s3')} AS s2) FROM %s))"
+    own, cut = "role || ':' || text || chr(10)", "extra"
+    delete = lambda s: grown(s, 3, "D", "''")
+    on = lambda condition, s: f"CASE WHEN {condition} THEN {s} END"
+    fine = "fault NOT IN ('blank', 'duplicate')"
+    rerole = lambda name, s: on(fine, grown(s, f"2 + {cut}", "R", f"'{name}:' || text || chr(10)"))
+    keep = lambda initial, s: on(f"{fine} AND initial = '{initial}'", grown(s, cut, "K", own))
+    blank = "'[^ \\x09-\\x0D]'"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE hit <> 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS initial FROM
+  (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, {blank}) THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ \x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+r AS (SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra, count(*) OVER (PARTITION BY conv_id) AS rows FROM f),
+best AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(lpad('0', 9, '0') || chr(1) AS VARCHAR) AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+  SELECT conv_id, i, {delete('s0')}, least({delete('s1')}, {keep('s', 's0')}),
+    least({delete('s2')}, {', '.join(keep('u', s) + ', ' + rerole('user', s) for s in ('s0', 's1', 's3'))}), least({delete('s3')}, {keep('a', 's2')}, {rerole('assistant', 's2')})
+  FROM (SELECT b.conv_id, r.i, s0, s1, s2, s3, role, text, fault, extra, initial FROM ({inserts % 'best'}) b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1)),
+e AS (SELECT b.conv_id, least(s0, s3) AS s FROM ({inserts % 'best'}) b JOIN (SELECT conv_id, max(i) AS i FROM r GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(CAST(substr(s, 1, 9) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(s, 10, strpos(s, chr(1)) - 10), '') AS audit,
+  sha256(coalesce(left(substr(s, strpos(s, chr(1)) + 1), -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+def url_verdicts() -> str:
+    """All combinations of up to three tokens of every labelled url, counted one by one."""
+    listed = "NULL"
+    for verdict, rule in sorted(url_rules.LISTED, key=lambda r: len(r[1])):
+        domain, _, path = rule.partition("/")
+        listed = f"CASE WHEN (host = '{domain}' OR host LIKE '%.{domain}') AND starts_with(path, '/{path}') THEN {{'rule': '{rule}', 'verdict': '{verdict}'}} ELSE {listed} END"
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    lower = f"translate(%s, '{url_rules.UPPER}', '{url_rules.LOWER}')"
+    labels = "list_filter(string_split(host, '.'), lambda x: x <> '')"
+    domains = f"list_transform(range(1, len({labels}) + 1), lambda i: 'host:' || array_to_string({labels}[i:], '.'))"
+    words = f"flatten(list_transform(list_filter({labels}, lambda x: contains(x, '-')), lambda x: list_transform(string_split(x, '-'), lambda w: 'word:' || w)))"
+    segments = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'segment:' || regexp_replace(x, '[0-9]+', '#', 'g'))"
+    extension = "regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)".replace("\\\\", "\\")
+    extensions = f"CASE WHEN {extension} <> '' THEN ['extension:' || {lower % extension}] ELSE [] END"
+    keys = "list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'key:' || regexp_extract(x, '^([^=]*)', 1))"
+    tokens = f"list_sort(list_distinct(list_concat({domains}, {words}, {segments}, {extensions}, {keys})))"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+u AS (SELECT url, {lower % f"regexp_extract({rest}, '^([^/?#]*)', 1)"} AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1) AS query FROM (SELECT DISTINCT url FROM p)),
+t AS (SELECT *, {listed} AS listed, {tokens} AS tokens FROM u),
+one AS (SELECT url, listed.verdict AS verdict, unnest(tokens) AS token FROM t),
+sets AS (SELECT url, verdict, token AS a, '' AS b, '' AS c, 1 AS size FROM one
+  UNION ALL SELECT x.url, x.verdict, x.token, y.token, '', 2 FROM one x JOIN one y ON x.url = y.url AND x.token < y.token
+  UNION ALL SELECT x.url, x.verdict, x.token, y.token, z.token, 3 FROM one x JOIN one y ON x.url = y.url AND x.token < y.token JOIN one z ON y.url = z.url AND y.token < z.token),
+least AS (SELECT greatest({url_rules.LEAST_URLS}, (count(*) + {url_rules.ONE_IN - 1}) // {url_rules.ONE_IN}) AS n FROM t WHERE listed IS NOT NULL),
+counted AS (SELECT a, b, c, size, sum(count(*)) OVER (PARTITION BY a, b, c) AS n_urls, verdict, count(*) AS n_labelled FROM sets WHERE verdict IS NOT NULL GROUP BY a, b, c, size, verdict),
+rules AS (SELECT *, rtrim(concat_ws(' ', a, b, c)) AS rule, n_labelled / n_urls AS confidence FROM counted, least WHERE n_labelled >= n AND n_labelled / n_urls >= {url_rules.LEAST_CONFIDENCE}),
+kept AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules s WHERE s.size < r.size AND s.verdict = r.verdict AND s.confidence >= r.confidence
+  AND s.a IN (r.a, r.b, r.c) AND (s.b = '' OR s.b IN (r.a, r.b, r.c)))),
+met AS (SELECT s.url, k.rule, k.verdict, row_number() OVER (PARTITION BY s.url ORDER BY k.confidence DESC, k.n_labelled DESC, k.size, k.rule, k.verdict) AS nth FROM sets s JOIN kept k ON k.a = s.a AND k.b = s.b AND k.c = s.c WHERE s.verdict IS NULL)
+SELECT page_id, host, path, listed.rule AS rule, coalesce(listed.verdict, met.verdict, 'allow') AS verdict, met.rule AS mined_rule
+FROM p JOIN t USING (url) LEFT JOIN met ON met.url = p.url AND met.nth = 1"""
+
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{url_rules.UPPER}', '{url_rules.LOWER}') AS run FROM documents),
+distinct_runs AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+hit AS (SELECT run, n, {crc32("id || ':' || run")} AS h FROM distinct_runs, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hit GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS rest, i FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT DISTINCT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, words.word, words.n FROM cut c JOIN words ON words.word = c.rest
+  UNION SELECT words.word, c.word, c.n FROM cut c JOIN words ON words.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM pairs GROUP BY 1),
+named AS (SELECT b.word, n_near, b.near_n, min(p.near) AS near FROM best b JOIN pairs p ON p.word = b.word AND p.near_n = b.near_n GROUP BY 1, 2, 3),
+judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN named ON named.word = w.word),
+chain AS (SELECT word, word AS at FROM judged UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.at WHERE j.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN judged j ON j.word = c.at WHERE j.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)"""

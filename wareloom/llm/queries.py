@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.llm import byte_bpe, html_extract, license_bank, license_scan, mixing, oracles, quality_classifier, quality_rules, secret_scan, sharding, simhash, top_k
+from wareloom.llm import (byte_bpe, conversation_repair, html_extract, license_bank, license_scan, mixing, oracles, quality_classifier, quality_rules, secret_scan,
+                          sharding, simhash, spelling_groups, top_k, url_rules)
 from wareloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,18 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", oracles.repairs())
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_url_filter", oracles.url_verdicts())
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op13_spelling_groups", oracles.SPELLING)
+def spelling_groups_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.grouped(table(spark, sf_dir, "documents"))
