@@ -164,6 +164,8 @@ SECRET_PATTERNS = (
 )
 
 # Sold-out wording, with "not sold out" excepted.
+CART_BUTTON_PATTERN = "장바구니|구매|주문|Buy|Cart"
+SOLD_OUT_HINT = r"(?i)품절|매진|완판|sold\s*out|재고\s*없"  # without the exception of the pattern below
 SOLD_OUT_PATTERN = r"(?i)품절(?!\s*아님)|매진|완판|sold\s*out|재고\s*없"
 # Price marks at the end of an option text: bracketed, or plain.
 OPTION_PRICE_BRACKETED = r"\s*[\(\[]\s*([+-])\s*([0-9,]+)\s*원?\s*[\)\]]\s*$"

@@ -14,24 +14,6 @@ class Element:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.start = self.end = start
 
-    def walk(self):
-        """This element and all below it, in document order."""
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            elif isinstance(node, Element) and node.tag not in ("script", "style"):
-                stack.extend(reversed(node.children))
-        return "".join(out)
-
 
 class Comment(Element):
     """A comment or declaration; ``attrs`` holds its source text."""
@@ -89,14 +71,29 @@ def read(source: str) -> Element:
     return _Reader(source or "").root
 
 
-def elements(source: str) -> list[dict]:
-    """All elements of a page in document order: ``ord, last`` (its last descendant), tag, id, classes, attrs, text, inner span."""
-    nodes = [n for n in read(source).walk() if n.tag and not isinstance(n, Comment)]
-    order = {id(n): i for i, n in enumerate(nodes)}
-    last = list(range(len(nodes)))
-    for i in range(len(nodes) - 1, -1, -1):
-        parent = order.get(id(nodes[i].parent))
-        if parent is not None:
-            last[parent] = max(last[parent], last[i])
-    return [{"ord": i, "last": last[i], "tag": n.tag, "id": n.attrs.get("id", ""), "classes": n.attrs.get("class", "").split(),
-             "attrs": n.attrs, "text": n.text(), "start": n.start, "end": n.end} for i, n in enumerate(nodes)]
+def nodes(source: str) -> list[tuple]:
+    """Elements and texts of a page in document order: (ord, last, parent, tag, id, classes, attrs, text, start, end).
+
+    Texts have the tag "#text"; one below a script or style has no text, as it is not shown. An element's own row holds none.
+    """
+    root = read(source)
+    out: list[list] = []
+    order = {id(root): -1}
+    stack: list[Element | str] = list(reversed(root.children))
+    above: list[Element] = list(reversed([root] * len(root.children)))
+    hidden = {id(root): False}
+    while stack:
+        node, parent = stack.pop(), above.pop()
+        at = order[id(parent)]
+        if isinstance(node, str):
+            out.append([len(out), len(out), at, "#text", None, None, None, None if hidden[id(parent)] else node, None, None])
+        elif not isinstance(node, Comment):
+            order[id(node)] = len(out)
+            hidden[id(node)] = hidden[id(parent)] or node.tag in ("script", "style")
+            out.append([len(out), len(out), at, node.tag, node.attrs.get("id", ""), node.attrs.get("class", "").split(), list(node.attrs.items()), None, node.start, node.end])
+            stack.extend(reversed(node.children))
+            above.extend([node] * len(node.children))
+    for row in reversed(out):
+        if row[2] >= 0:
+            out[row[2]][1] = max(out[row[2]][1], row[1])
+    return [tuple(row) for row in out]

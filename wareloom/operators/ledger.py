@@ -256,6 +256,16 @@ def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")
 
 
+def one_per_key(rows: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
+    """Keys and a struct of the values of the last row by ``seq``, ties and tables without it by the values themselves (nulls first).
+
+    Arrays of structs order by their elements, so every row type here compares; the aggregate combines before its shuffle.
+    """
+    order = ["seq"] if "seq" in rows.columns else []
+    value = F.struct(*values)
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order, *values)).alias(name))
+
+
 def upsert_crawled(crawled: DataFrame, products: DataFrame, keys=("supplier_id", "supplier_product_code"), order: str = "seq") -> DataFrame:
     """Crawled rows over stored products, the last write of a run winning; stored rows that were not seen stay."""
     keys = list(keys)
@@ -279,10 +289,12 @@ def apply_outcomes(products: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Enrichment results: success fills fields and clears the change marks, failure keeps them; products without a result stay as they are.
 
     ``outcomes``: ``product_id, success, refined_name, keywords, stages array<struct<stage, ms>>`` and, optionally, ``warnings array<string>``
-    of the enrichment, which are laid beside the supplier's.
+    of the enrichment, which are laid beside the supplier's, and ``seq``. Of several outcomes of a product the last by ``seq`` counts, or without it
+    a success before a failure and then the largest values.
     """
     optional = [c for c in ("warnings",) if c in outcomes.columns]
-    o = outcomes.select("product_id", F.struct("success", "refined_name", "keywords", "stages", *optional).alias("o"))
+    values = ["success", "refined_name", "keywords", "stages", *optional]
+    o = one_per_key(outcomes.filter(F.col("product_id").isNotNull()), ["product_id"], values, "o")
     won, lost = F.coalesce("o.success", F.lit(False)), ~F.coalesce("o.success", F.lit(True))
     spent = F.aggregate("o.stages", F.lit(0).cast("bigint"), lambda acc, s: acc + F.coalesce(s["ms"], F.lit(0)))
     stored = lambda c, kind: F.col(c) if c in products.columns else F.lit(None).cast(kind)
@@ -311,9 +323,12 @@ def outcome_counters(outcomes: DataFrame) -> DataFrame:
 
 
 def ensure_mappings(mappings: DataFrame, results: DataFrame) -> DataFrame:
-    """Get or create the (product, platform) mapping of every result and write the category found, and its attributes, into it."""
+    """Get or create the (product, platform) mapping of every result and write the category found, and its attributes, into it.
+
+    A pair has one mapping: of several results for it the last by ``seq`` counts, or without that column the one of largest values.
+    """
     values = [c for c in ("category_id", "category_path", "mapped_attributes") if c in results.columns]
-    r = results.select("product_id", "platform_name", F.struct(*values).alias("r"))
+    r = one_per_key(results, ["product_id", "platform_name"], values, "r")
     joined = mappings.withColumn("_stored", F.lit(True)).join(r, ["product_id", "platform_name"], "full_outer")
 
     def pick(c):

@@ -135,7 +135,11 @@ def image_jobs(products: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report, remaining products, remaining mappings). Without ``force`` nothing is deleted while any target has a synced mapping."""
+    """(report, remaining products, remaining mappings). Without ``force`` nothing is deleted while any target has a synced mapping.
+
+    ``products`` are those of the caller; targets that are not among them are ignored. ``mappings`` may hold those of other owners or of no
+    product at all: only mappings of deleted products go.
+    """
     hit = products.join(targets.select("product_id").distinct().withColumn("_target", F.lit(True)), "product_id", "left")
     hit = hit.withColumn("_target", F.coalesce("_target", F.lit(False)))
     synced = mappings.filter(F.col("sync_status") == "synced").join(hit.filter("_target").select("product_id"), "product_id", "left_semi")
@@ -143,9 +147,9 @@ def guarded_delete(products: DataFrame, mappings: DataFrame, targets: DataFrame,
     allowed = F.lit(force) | (F.col("synced") == 0)
     report = facts.select(allowed.alias("success"), F.when(allowed, F.col("targets")).otherwise(F.lit(0)).alias("deleted_count"),
                           F.when(allowed, F.lit(0)).otherwise(F.col("synced")).alias("warning_synced_count"))
-    remaining = hit.filter(~F.col("_target") | ~facts.select(allowed).scalar()).drop("_target")
-    left = mappings.join(remaining.select("product_id"), "product_id", "left_semi")
-    return report, remaining, left
+    goes = F.col("_target") & facts.select(allowed).scalar()
+    left = mappings.join(hit.filter(goes).select("product_id"), "product_id", "left_anti")
+    return report, hit.filter(~goes).drop("_target"), left
 
 
 def delete_supplier(tables: dict[str, DataFrame], supplier_id) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from wareloom.operators import ledger as lg
 from wareloom.sources.writers import append, write_version
@@ -32,6 +33,14 @@ def check_gates(upload: DataFrame) -> None:
     lg.refuse_if_any(lg.duplicate_codes(upload), "Duplicate product codes")
 
 
+def check_runs(upload: DataFrame, runs: DataFrame) -> None:
+    """Refuse uploads of an owner and site that no run names (their rows would be logged under no run), and scopes named twice."""
+    key = lambda df: lg.scoped(df).select(lg.scope_key(*map(F.col, lg.SCOPE)).alias("scope"))
+    named = key(runs)
+    lg.refuse_if_any(key(upload).distinct().join(named, "scope", "left_anti"), "Uploads without a run")
+    lg.refuse_if_any(named.groupBy("scope").count().filter("count > 1"), "Several runs of one owner and site")
+
+
 def apply_uploads(upload: DataFrame, state: DataFrame, mappings: DataFrame, runs: DataFrame, root: str, batch: str,
                   at: Column | None = None) -> Applied:
     """Check, compare with the catalogue, and write changes, next state, next mappings and log below ``root``.
@@ -40,6 +49,7 @@ def apply_uploads(upload: DataFrame, state: DataFrame, mappings: DataFrame, runs
     """
     spark = upload.sparkSession
     check_gates(upload)
+    check_runs(upload, runs)
     changes = spark.read.parquet(write_version(lg.diff(upload, state, runs=runs), f"{root}/changes", batch))
     next_state = spark.read.parquet(write_version(lg.next_state(changes), f"{root}/state", batch))
     next_mappings = spark.read.parquet(write_version(lg.propagate(mappings, changes, at), f"{root}/mappings", batch))

@@ -96,6 +96,11 @@ SELECT p_partkey, 'smartstore', concat('9000', CAST(p_size AS VARCHAR(20))), con
        'draft', false, true
 FROM part WHERE p_type = 'ECONOMY'"""
 
+# Mappings of both owners' products and of products that are gone.
+FIXTURES["owner_mappings"] = """
+SELECT product_id, CASE user_id WHEN 1 THEN 'first owner' ELSE 'second owner' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'synced' ELSE 'draft' END AS sync_status FROM owned_parts
+UNION ALL SELECT p_partkey + 2000000000, 'no product', 'synced' FROM part"""
+
 # Snapshots of product status and price over time.
 FIXTURES["snapshots"] = """
 SELECT event_id AS snapshot_id, user_id AS product_id, ts AS captured_at,

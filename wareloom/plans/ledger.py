@@ -288,6 +288,19 @@ def l13(t):
     return out.select("product_id", "status", "refined_name", *flat, "change_type", "processing_time_ms")
 
 
+@query("L13_twice", f"""
+WITH o AS ({OUTCOMES_SQL})
+SELECT product_id, CASE WHEN success THEN 'completed' WHEN NOT success AND p_size % 2 = 0 THEN 'completed' WHEN NOT success THEN 'failed' ELSE s.status END AS status,
+  CASE WHEN success THEN o.refined_name WHEN NOT success AND p_size % 2 = 0 THEN 'second try' ELSE s.product_code END AS refined_name
+FROM state_flags s LEFT JOIN o USING (product_id)""")
+def l13_twice(t):
+    """Failed products of even size are tried again and succeed: each product stays one row, with its last outcome."""
+    first = outcomes(t).withColumn("seq", F.lit(1))
+    again = first.filter("NOT success AND p_size % 2 = 0").withColumns({"success": F.lit(True), "refined_name": F.lit("second try"), "seq": F.lit(2)})
+    out = lg.apply_outcomes(t.state_flags.withColumn("refined_name", F.col("product_code")), first.unionByName(again))
+    return out.select("product_id", "status", "refined_name")
+
+
 @query("L13_run", f"""
 WITH o AS ({OUTCOMES_SQL})
 SELECT count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failed_count,
@@ -308,6 +321,20 @@ def l14(t):
     return lg.ensure_mappings(t.platform_mappings, t.sql(RESULTS_SQL)).select("product_id", "platform_name", "category_id", "category_path", "mapped_attributes", "sync_status")
 
 
+TWICE_SQL = f"""SELECT *, 1 AS seq FROM ({RESULTS_SQL}) a UNION ALL SELECT product_id, platform_name, concat('LATER', substr(category_id, 4)), category_path, 'corrected', 2 FROM ({RESULTS_SQL}) b WHERE product_id % 3 = 0"""
+
+
+@query("L14_twice", f"""
+WITH r AS ({RESULTS_SQL})
+SELECT product_id, platform_name, CASE WHEN r.category_id IS NULL THEN m.category_id WHEN product_id % 3 = 0 THEN concat('LATER', substr(r.category_id, 4)) ELSE r.category_id END AS category_id,
+  CASE WHEN r.category_id IS NULL THEN NULL WHEN product_id % 3 = 0 THEN 'corrected' ELSE r.mapped_attributes END AS mapped_attributes, coalesce(m.sync_status, 'draft') AS sync_status
+FROM platform_mappings m FULL JOIN r USING (product_id, platform_name)""")
+def l14_twice(t):
+    """A third of the pairs have a second, later result: each pair keeps one mapping."""
+    out = lg.ensure_mappings(t.platform_mappings, t.sql(TWICE_SQL))
+    return out.select("product_id", "platform_name", "category_id", "mapped_attributes", "sync_status")
+
+
 @query("L15", """
 SELECT product_id, status, 'ids' AS source FROM state_flags WHERE product_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
 UNION ALL SELECT product_id, status, 'run' FROM state_flags WHERE site_id = 2 AND status <> 'completed'""")

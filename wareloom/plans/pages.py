@@ -26,8 +26,7 @@ def h2(t):
 
 @query("H4", "SELECT page_id, p_size % 6 <> 0 AND p_size % 2 = 1 AS options, p_size % 2 = 0 OR p_size % 3 = 0 AS images FROM product_pages")
 def h4(t):
-    df = pg.with_nodes(t.product_pages)
-    return df.select("page_id", pg.evidence(F.col("nodes")).alias("e")).select("page_id", "e.options", "e.images")
+    return pg.evidence(t.nodes("product_pages"), t.product_pages)
 
 
 LINKS_SQL = """WITH n AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hrefs FROM pages),
@@ -37,7 +36,7 @@ e AS (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1)
 @query("H5", f"""
 {LINKS_SQL} SELECT page_id, CAST(ord AS INT) AS ord, concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), href) AS url FROM e""")
 def h5(t):
-    return pg.product_links(t.pages, "nav a")
+    return pg.product_links(t.nodes("pages"), t.pages, "nav a")
 
 
 PAGE_FIELDS = {
@@ -58,14 +57,14 @@ UNION ALL SELECT page_id, 'links', array_to_string(hrefs[2:], '|') FROM i
 UNION ALL SELECT page_id, 'supplier_product_code', regexp_extract(url, '/([0-9]+)', 1) FROM i UNION ALL SELECT page_id, 'origin', 'Korea' FROM i
 UNION ALL SELECT page_id, 'ad', trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) FROM i""")
 def h6(t):
-    return pg.extract_fields(t.pages, PAGE_FIELDS).select("page_id", "field", F.concat_ws(" ", F.array_join("values", "|"), "problem").alias("shown"))
+    return pg.extract_fields(t.nodes("pages"), t.pages, PAGE_FIELDS).select("page_id", "field", F.concat_ws(" ", F.array_join("values", "|"), "problem").alias("shown"))
 
 
 @query("H7", """
 SELECT page_id, concat('/img/', k, '_1.jpg', CASE WHEN p_size % 3 = 0 THEN concat('|/img/', k, '_3.jpg') ELSE '' END) AS images FROM (SELECT *, CAST(page_id AS VARCHAR) AS k FROM product_pages) p""")
 def h7(t):
-    df = pg.with_nodes(t.product_pages)
-    return df.select("page_id", F.array_join(pg.collect_images(F.col("nodes"), "#main .gallery"), "|").alias("images"))
+    found = pg.collect_images(t.nodes("product_pages"), t.product_pages, "#main .gallery")
+    return found.select("page_id", F.array_join("images", "|").alias("images"))
 
 
 SHOP_FIELDS = {
@@ -80,4 +79,4 @@ SELECT 'raw_product_name' AS field, count(*) AS pages, count(*) AS ok_pages FROM
 UNION ALL SELECT 'option_values', count(*), count(*) FILTER (p_size % 6 <> 0 AND p_size % 2 = 1) FROM product_pages UNION ALL SELECT 'detail_content', count(*), 0 FROM product_pages
 UNION ALL SELECT 'main_image_url', count(*), count(*) FROM product_pages UNION ALL SELECT 'product_link', count(*), count(*) FILTER (p_size % 3 = 0) FROM product_pages""")
 def h8(t):
-    return pg.audit_extractors(t.product_pages, SHOP_FIELDS, link_selector=".gallery a[href]")
+    return pg.audit_extractors(t.nodes("product_pages"), t.product_pages, SHOP_FIELDS, link_selector=".gallery a[href]")

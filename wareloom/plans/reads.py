@@ -141,6 +141,23 @@ def r11(t):
     return out
 
 
+@query("R11_owners", """
+WITH g AS (SELECT 'refused' AS call, product_id FROM owned_parts WHERE user_id = 1 AND site_id = 10 UNION ALL SELECT 'forced', product_id FROM owned_parts WHERE user_id = 1 AND site_id = 10)
+SELECT call, kind, count(*) FILTER (WHERE NOT gone) AS n FROM (
+  SELECT c.call, m.kind, c.call = 'forced' AND EXISTS (SELECT 1 FROM g WHERE g.call = c.call AND g.product_id = m.product_id) AS gone
+  FROM (SELECT DISTINCT call FROM g) c CROSS JOIN owner_mappings m) x GROUP BY 1, 2""")
+def r11_owners(t):
+    """One owner deletes a site's products out of a mapping table that also holds another owner's mappings and those of no product."""
+    own = t.owned_parts.filter("user_id = 1")
+    out = None
+    for call, force in (("refused", False), ("forced", True)):
+        _, _, left = rd.guarded_delete(own, t.owner_mappings, own.filter("site_id = 10"), force)
+        kept = t.owner_mappings.select("kind").distinct().join(left.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind", "left")
+        row = kept.select(F.lit(call).alias("call"), "kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 R12_TABLES = {"suppliers": ("monitor_suppliers", "supplier_id"), "runs": ("crawl_runs", "run_id"), "products": ("crawled_products", "product_id"),
               "options": ("crawled_options", "product_id"), "snapshots": ("snapshots", "snapshot_id"), "changes": ("stock_changes", "change_id")}
 

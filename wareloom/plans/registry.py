@@ -8,10 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wareloom.operators.nodes import store
 from wareloom.plans.fixtures import FIXTURES, TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NODE_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 FAMILIES = ("scalars", "mapping", "options", "ledger", "snapshots", "quality", "pricing", "reads", "keywords", "drafts", "pages", "io",)
 
@@ -30,6 +32,13 @@ class Tables:
             return self.sql(FIXTURES[name])
         raise AttributeError(name)
 
+    def nodes(self, name: str) -> DataFrame:
+        """The node table of a table of pages: parsed and written by the first query of a session that reads it, read by the others."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in NODE_TABLES:
+            NODE_TABLES[key] = store(getattr(self, name))
+        return NODE_TABLES[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose table names are driver tables or derived inputs."""
         used = {name: getattr(self, name) for name in referenced(text)}
