@@ -57,6 +57,19 @@ def refuse_if_any(gate: DataFrame, reason: str, show: int = 10) -> None:
         raise RunRefused(f"{reason}: {', '.join(sample[:show])}{' ...' if len(sample) > show else ''}")
 
 
+def refuse_first(gates: dict[str, DataFrame], show: int = 10) -> None:
+    """``refuse_if_any`` for several gates in one job; the first reason that has rows is told."""
+    parts = [df.select(F.lit(reason).alias("reason"), F.col(df.columns[0]).cast("string").alias("value")).limit(show + 1) for reason, df in gates.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    found = rows.collect()
+    for reason in gates:
+        sample = [r.value for r in found if r.reason == reason]
+        if sample:
+            raise RunRefused(f"{reason}: {', '.join(map(str, sample[:show]))}{' ...' if len(sample) > show else ''}")
+
+
 def compared_fields(*frames: DataFrame, fields: tuple[str, ...] | None = None) -> list[str]:
     """The fields to compare: all product fields, or those named. A frame that lacks one is refused."""
     wanted = [f for f in K.IMPORT_FIELDS if fields is None or f in fields]

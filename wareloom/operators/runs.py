@@ -26,19 +26,14 @@ class Applied:
     counters: DataFrame
 
 
-def check_gates(upload: DataFrame) -> None:
-    """Refuse the whole batch for unknown status spellings and codes given twice."""
-    if "warnings" in upload.columns:
-        lg.refuse_if_any(lg.invalid_status_rows(upload).select("raw_value"), "Invalid wholesale status")
-    lg.refuse_if_any(lg.duplicate_codes(upload), "Duplicate product codes")
-
-
-def check_runs(upload: DataFrame, runs: DataFrame) -> None:
-    """Refuse uploads of an owner and site that no run names (their rows would be logged under no run), and scopes named twice."""
+def check(upload: DataFrame, runs: DataFrame) -> None:
+    """Refuse the whole batch for unknown status spellings, codes given twice, rows of an owner and site that no run names (they would be
+    logged under no run), and scopes with several runs."""
     key = lambda df: lg.scoped(df).select(lg.scope_key(*map(F.col, lg.SCOPE)).alias("scope"))
     named = key(runs)
-    lg.refuse_if_any(key(upload).distinct().join(named, "scope", "left_anti"), "Uploads without a run")
-    lg.refuse_if_any(named.groupBy("scope").count().filter("count > 1"), "Several runs of one owner and site")
+    gates = {"Invalid wholesale status": lg.invalid_status_rows(upload).select("raw_value")} if "warnings" in upload.columns else {}
+    lg.refuse_first({**gates, "Duplicate product codes": lg.duplicate_codes(upload), "Uploads without a run": key(upload).distinct().join(named, "scope", "left_anti"),
+                     "Several runs of one owner and site": named.groupBy("scope").count().filter("count > 1")})
 
 
 def apply_uploads(upload: DataFrame, state: DataFrame, mappings: DataFrame, runs: DataFrame, root: str, batch: str,
@@ -48,8 +43,7 @@ def apply_uploads(upload: DataFrame, state: DataFrame, mappings: DataFrame, runs
     A refused batch writes nothing. A batch that is applied again under its name overwrites its own output.
     """
     spark = upload.sparkSession
-    check_gates(upload)
-    check_runs(upload, runs)
+    check(upload, runs)
     changes = spark.read.parquet(write_version(lg.diff(upload, state, runs=runs), f"{root}/changes", batch))
     next_state = spark.read.parquet(write_version(lg.next_state(changes), f"{root}/state", batch))
     next_mappings = spark.read.parquet(write_version(lg.propagate(mappings, changes, at), f"{root}/mappings", batch))

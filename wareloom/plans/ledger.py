@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wareloom import constants as K
 from wareloom.operators import ledger as lg
 from wareloom.operators import mapping as mp
+from wareloom.operators.catalogue import Catalogue
 from wareloom.operators.runs import apply_uploads
 from wareloom.plans.mapping import PROJECTED_SQL, STATUS_SQL, sheets
 from wareloom.plans.registry import query
@@ -180,20 +181,21 @@ def l11(t):
 @query("L11_second", f"WITH {SECOND_SQL}, s AS ({state_sql('x2')}) SELECT {', '.join(SHOWN)}, image_1, variant_1 FROM s")
 def l11_second(t):
     """The state after a second batch of uploads over the state of the first."""
-    return two_batches(t).state.select(*SHOWN, F.col("images_list")[0].alias("image_1"), F.col("option_variants")[0].alias("variant_1"))
+    return two_batches(t)[0].state().select(*SHOWN, F.col("images_list")[0].alias("image_1"), F.col("option_variants")[0].alias("variant_1"))
 
 
 def two_batches(t):
-    root = data_folder(t.spark, f"runs-{uuid.uuid4().hex}")
+    """A stored catalogue of 32 buckets and two batches of uploads; the catalogue and what the last batch did."""
     at = F.lit("2024-05-05 12:00:00").cast("timestamp_ntz")
     stamped = t.platform_mappings.withColumn("last_changed_at", F.lit(None).cast("timestamp_ntz"))
-    first = apply_uploads(upload(t), state(t), stamped, t.runs_v2, root, "1", at)
-    return apply_uploads(nested(t.ledger_v3), first.state, first.mappings, t.runs_v3, root, "2", at)
+    stored = Catalogue.create(state(t), stamped, data_folder(t.spark, f"catalogue-{uuid.uuid4().hex}"), scopes=8, parts=4)
+    stored.apply(upload(t), t.runs_v2, "1", at)
+    return stored, stored.apply(nested(t.ledger_v3), t.runs_v3, "2", at)
 
 
 @query("L10_second", f"WITH {SECOND_SQL} SELECT run AS import_id, user_id, site_id, {COUNTS_SQL} FROM x2 WHERE run IS NOT NULL GROUP BY 1, 2, 3")
 def l10_second(t):
-    return two_batches(t).counters
+    return two_batches(t)[1].counters
 
 
 @query("L9_second", f"""
@@ -202,10 +204,40 @@ SELECT run AS import_id, user_id, site_id, product_id, code AS product_code, coa
 FROM logged WHERE kind IN ('new', 'updated', 'removed')""")
 def l9_second(t):
     """The log of both batches, read back from the table they were appended to."""
-    log = two_batches(t).log
+    log = two_batches(t)[0].log()
     return log.select("import_id", *lg.SCOPE, "product_id", "product_code", "original_name", "change_type", F.array_join("changed_fields", "|").alias("changed_fields"))
 
 
+def _marked_sql(x):
+    return f"SELECT product_id, string_split(changed, '|') AS f FROM {x} WHERE kind IN ('updated', 'removed')"
+
+
+@query("L8_second", f"""
+WITH {SECOND_SQL}, m AS (SELECT product_id, flatten(list(f)) AS f FROM ({_marked_sql('x')} UNION ALL {_marked_sql('x2')}) b GROUP BY 1)
+SELECT p.product_id, platform_name, CASE WHEN m.product_id IS NOT NULL THEN 'pending_update' ELSE sync_status END AS sync_status,
+  price_changed OR coalesce(list_has_any(f, ['price_wholesale', 'price_wholesale_raw', 'option_variants', 'standard_options']), false) AS price_changed,
+  stock_changed OR coalesce(list_contains(f, 'wholesale_status'), false) AS stock_changed, CASE WHEN m.product_id IS NOT NULL THEN TIMESTAMP '2024-05-05 12:00:00' END AS last_changed_at
+FROM platform_mappings p LEFT JOIN m ON m.product_id = p.product_id""")
+def l8_second(t):
+    """The mappings of the stored catalogue after both batches."""
+    return two_batches(t)[0].mappings().select("product_id", "platform_name", "sync_status", "price_changed", "stock_changed", "last_changed_at")
+
+
+@query("L10_again", """
+SELECT 'again' AS import_id, 1 AS user_id, 10 AS site_id, CAST(0 AS BIGINT) AS new_count, CAST(0 AS BIGINT) AS updated_count, CAST(0 AS BIGINT) AS removed_count, count(*) AS unchanged_count,
+  CAST(0 AS BIGINT) AS reprocess_count, 'completed' AS status, 0 AS compared, 0 AS rewritten FROM ledger_v2 WHERE user_id = 1 AND site_id = 10 AND product_code IS NOT NULL""")
+def l10_again(t):
+    """A ledger is uploaded twice: the second time its digests are those of the catalogue, so no row is compared and no bucket written."""
+    at = F.lit("2024-05-05 12:00:00").cast("timestamp_ntz")
+    stamped = t.platform_mappings.withColumn("last_changed_at", F.lit(None).cast("timestamp_ntz"))
+    one = upload(t).filter("user_id = 1 AND site_id = 10 AND product_code IS NOT NULL")
+    stored = Catalogue.create(state(t), stamped, data_folder(t.spark, f"catalogue-{uuid.uuid4().hex}"), scopes=8, parts=4)
+    run = lambda name: t.spark.createDataFrame([(name, 1, 10)], "import_id string, user_id int, site_id int")
+    stored.apply(one, run("first"), "1", at)
+    again = stored.apply(one, run("again"), "2", at)
+    return again.counters.withColumns({"compared": F.lit(len(again.compared)), "rewritten": F.lit(len(again.rewritten))})
+
+
 # Headers of a supplier's file, recognised without rules.
 FILE_HEADERS = {"번호": "row_no", "상태": "wholesale_status", "제품번호": "wholesale_product_id", "상품코드": "product_code", "상품명": "original_name", "가격": "price_wholesale",
                 "소비자가": "price_retail", "판매준수가": "price_min_selling", "원산지": "origin", "대표이미지": "image_1", "상세이미지": "image_detail", "등록일": "wholesale_registered_at"}
