@@ -2,8 +2,14 @@
 
 Boilerplate elements (by tag, or by a word of their class, id or role) are left out. Every paragraph-like element with text of its own earns
 points for its length and its commas, which count in full for its parent, half for its grandparent and less further up. A
-container's points are discounted by the share of its text that stands in links. The best container is kept, or the outermost article or main
-element around it, with all that stands beside it; only lists of links among that are left out. Text is given block by block, in page order.
+container's points are discounted by the share of its text that stands in links. The best container is kept whole, or the outermost article or
+main element around it. Lists of links stay in an article or main element; in another container only as list elements in its text, and not where
+it is the page itself or a frame such as a table.
+
+What stands beside it, and beside each element around it, is judged. A container is kept if it has a fifth of the best one's points or holds
+sentences; one that is mostly links, or bare words without a sentence, is not: adverts and teasers need no name to go. Within the same inner element as the
+best container, short paragraphs, code, figures and bare text always stay; farther off, and beside an article element, a paragraph has to be a
+sentence or long, and single links go. Headings stay. Text is given block by block, in page order.
 
 Form controls are left out. A form itself is a container like others if it holds the best container or an article or main element, has no
 control that shows, or earns more points than it has such controls; any other form is boilerplate with all that it holds.
@@ -29,13 +35,21 @@ from wareloom.llm.tables import field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video nav header footer aside button select "
+    "script style noscript template head title svg iframe object canvas audio video nav header footer aside button select "
     "option textarea input label fieldset dialog menu".split())
+NOTES = frozenset(("annotation", "annotation-xml"))  # a formula's source beside the formula
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure "
     "figcaption address details summary center hr form".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body h1 h2 h3 h4 h5 h6 figcaption form".split())
 CONTAINERS = frozenset("html body main article section div td blockquote ul ol dl table tbody form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+EXPLICIT = frozenset("p pre blockquote li dd figcaption".split())  # elements that are made for text
+LISTS = frozenset("ul ol dl".split())
+FRAMES = frozenset("html body form table tbody td".split())  # may be the whole page
+SENTENCE = re.compile(r"[^.\u2026\s][.!?\u3002][\"'\u201d\u2019)]*\s*$")  # three dots do not end one
+LONG = 80  # characters of a paragraph that needs no full stop
+SHARE = 0.2  # of the best container's points, which keep a container beside it
 CONTROLS = frozenset("input select textarea button".split())
 #: An opening tag of the key ends an open element of the value, up to the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -85,7 +99,7 @@ class Tree(HTMLParser):
             self.seen_main = True
             self._keep_around()
         by_name = self._boilerplate_word(attrs) if tag not in NAMED and tag not in DROPPED else ""
-        node = Node(tag, self.open, self.open.dropped or tag in DROPPED or by_name != "", by_name or (self.open.by_name if tag not in DROPPED else ""))
+        node = Node(tag, self.open, self.open.dropped or tag in DROPPED or tag in NOTES or by_name != "", by_name or (self.open.by_name if tag not in DROPPED else ""))
         self.open.children.append(node)
         self.order.append(node)
         self.open = node
@@ -215,12 +229,15 @@ def drop_forms(tree: Tree) -> bool:
     return found
 
 
-def main_node(tree: Tree) -> tuple[Node, set[Node]]:
-    """The node whose text is wanted, and the nodes from there to the best container, which are no link lists whatever their density."""
+def value(node: Node) -> float:
+    return node.score * (1 - density(node)) * (1.5 if node.tag in ("article", "main") else 1)
+
+
+def main_node(tree: Tree) -> tuple[Node | None, set[Node]]:
+    """The best container, or the article around it, and the nodes around the best container."""
     candidates = [n for n in tree.order if not n.dropped and n.tag in CONTAINERS and n.score > 0]
     if not candidates:
-        return tree.root, set()
-    value = lambda n: n.score * (1 - density(n)) * (1.5 if n.tag in ("article", "main") else 1)
+        return None, set()
     best = max(candidates, key=lambda n: (value(n), -n.depth))
     path, outer, at = [], best, best
     while at is not None:
@@ -228,11 +245,64 @@ def main_node(tree: Tree) -> tuple[Node, set[Node]]:
         if at.tag in ("article", "main"):
             outer = at
         at = at.parent
-    return outer.parent or outer, set(path)
+    return outer, set(path)
+
 
+def is_sentence(text: str) -> bool:
+    return bool(SENTENCE.search(text))
 
-def blocks(node: Node, path: set[Node]) -> list[str]:
-    """Runs of inline text between block borders."""
+
+def has_prose(node: Node, close: bool) -> bool:
+    """Whether a container holds a paragraph that reads like text of the article."""
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        if at.dropped or is_link_list(at):
+            continue
+        if at.tag == "h1":
+            return True
+        text = " ".join(own_text(at).split())
+        share = at.linked / at.length if at.length else 0.0
+        if at.tag in EXPLICIT and text and (close or share == 0 and is_sentence(text)):
+            return True
+        if len(text) >= LONG and share < 0.25 or close and at.tag in BLOCKS and text and share == 0 and is_sentence(text):
+            return True
+        todo.extend(c for c in at.children if isinstance(c, Node))
+    return False
+
+
+def belongs(node: Node | str, best: float, close: bool) -> bool:
+    """Whether what stands beside the kept container, or beside an element around it, is part of the text."""
+    if isinstance(node, str):
+        text = node.strip()
+        return close or len(text) >= LONG or is_sentence(text)
+    if node.dropped:
+        return False
+    if node.tag not in BLOCKS:
+        return close or node.tag != "a"
+    if is_link_list(node) or not close and density(node) > 0.5:
+        return False
+    if node.tag in HEADINGS or close and node.tag not in CONTAINERS:
+        return True
+    return value(node) >= SHARE * best or has_prose(node, close)
+
+
+def left_out(outer: Node, best: float) -> tuple[set[Node], set[tuple[Node, int]]]:
+    """The nodes beside the kept container and beside those around it that are no part of the text, and the bare texts (by their place)."""
+    nodes, texts = set(), set()
+    at = outer
+    while at.parent is not None:
+        around = at.parent
+        close = at is outer and outer.tag not in ("article", "main") and around.tag not in ("body", "html")
+        for i, child in enumerate(around.children):
+            if child is not at and not belongs(child, best, close):
+                texts.add((around, i)) if isinstance(child, str) else nodes.add(child)
+        at = around
+    return nodes, texts
+
+
+def blocks(top: Node, path: set[Node], out_nodes: set[Node], out_texts: set[tuple[Node, int]], links_stay: frozenset[str] | None = frozenset()) -> list[str]:
+    """Runs of inline text between block borders; lists of links go unless their tags are among ``links_stay`` (None: all stay)."""
     out: list[str] = []
     run: list[str] = []
 
@@ -242,23 +312,24 @@ def blocks(node: Node, path: set[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    todo = [(node, iter(node.children))]
+    todo = [(top, iter(enumerate(top.children)))]
     while todo:
         at, children = todo[-1]
-        child = next(children, None)
+        i, child = next(children, (0, None))
         if child is None:
             todo.pop()
             if at.tag in BLOCKS:
                 flush()
         elif isinstance(child, str):
-            run.append(child)
-        elif child.dropped or child not in path and is_link_list(child):
+            if (at, i) not in out_texts:
+                run.append(child)
+        elif child.dropped or child in out_nodes or links_stay is not None and child.tag not in links_stay and child not in path and is_link_list(child):
             if child.tag in BLOCKS or child.tag in DROPPED:
                 flush()
         else:
             if child.tag in BLOCKS:
                 flush()
-            todo.append((child, iter(child.children)))
+            todo.append((child, iter(enumerate(child.children))))
     flush()
     return out
 
@@ -272,7 +343,11 @@ def main_text(html: str | None) -> str:
     measure(tree.order)
     if drop_forms(tree):
         measure(tree.order)
-    return "\n\n".join(blocks(*main_node(tree)))
+    outer, path = main_node(tree)
+    if outer is None:
+        return "\n\n".join(blocks(tree.root, path, set(), set()))
+    best = max(value(n) for n in path)
+    return "\n\n".join(blocks(tree.root, path, *left_out(outer, best), None if outer.tag in ("article", "main") else frozenset() if outer.tag in FRAMES else LISTS))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
