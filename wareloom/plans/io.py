@@ -13,6 +13,7 @@ from wareloom.plans.mapping import sheets
 from wareloom.plans.reads import catalogue
 from wareloom.plans.registry import query
 from wareloom.session import data_folder
+from wareloom.sources import ledger_files as rd_files
 from wareloom.sources import readers as rd
 from wareloom.sources import writers as wr
 
@@ -36,6 +37,46 @@ def src1(t):
                        F.col("가격").alias("price"), F.col("상세이미지").alias("detail"))
 
 
+#: headers of three suppliers' files, in their own order and spelling
+SHUFFLED = {0: {"상품코드": "c_code", "상품명": "c_name", "가격": "c_price"}, 1: {"Price": "c_price", "Name, full": "c_name", "Code": "c_code", "Options": "c_opts"},
+            2: {"품명": "c_name", "코드": "c_code", "상세": "c_detail", "금액": "c_price", "품명.1": "c_origin"}}
+
+
+def ledger_folder(t):
+    """One folder with the files of three suppliers, one without content, one without rows and one with a row that is too long."""
+    folder = fresh_folder(t, "ledgers")
+    for n, cells in SHUFFLED.items():
+        rows = t.sheet_rows.filter(f"layout = {n}").repartition(4, "row_no")
+        shown = rows.select(*[F.col(c).alias(h) for h, c in cells.items()])
+        shown.toDF(*[h.removesuffix(".1") for h in cells]).write.options(header="true", quote='"', escape='"').csv(f"{folder}/supplier-{n}")
+    for name, lines in (("empty", []), ("bare", ["a,b"]), ("long", ["a,b", "1,2,3", "4,5"])):
+        t.spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    return folder
+
+
+@query("SRC1_many", """
+SELECT layout, c_code AS code, c_name AS name, c_price AS price, CASE WHEN layout = 2 THEN c_origin END AS twice, CASE WHEN layout = 1 THEN c_opts END AS options FROM sheet_rows
+UNION ALL SELECT 9, '1', '2', NULL, NULL, NULL UNION ALL SELECT 9, '4', '5', NULL, NULL, NULL""")
+def src1_many(t):
+    """Every file of the folder by its own header, in one job."""
+    files = rd_files.read_ledgers(t.spark, ledger_folder(t))
+    layout = F.coalesce(F.regexp_extract("file", "/supplier-([0-9])/", 1).try_cast("int"), F.lit(9))
+    cell = lambda *names: F.coalesce(*[F.try_element_at("raw", F.lit(n)) for n in names])
+    return files.rows.select(layout.alias("layout"), cell("상품코드", "Code", "코드", "a").alias("code"), cell("상품명", "Name, full", "품명", "b").alias("name"),
+                             cell("가격", "Price", "금액").alias("price"), cell("품명.1").alias("twice"), cell("Options").alias("options"))
+
+
+@query("SRC1_files", """
+SELECT concat('supplier-', CAST(layout AS VARCHAR)) AS part, CASE layout WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS n_columns, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS long_rows, NULL AS problem FROM sheet_rows GROUP BY layout
+UNION ALL SELECT 'bare', 2, 0, 0, 'no rows' UNION ALL SELECT 'empty', 0, 0, 0, 'no header' UNION ALL SELECT 'long', 2, 2, 1, 'cells beyond the header'""")
+def src1_files(t):
+    """What the files of the folder held, and what is wrong with some of them."""
+    report = rd_files.read_ledgers(t.spark, ledger_folder(t)).report
+    part = F.regexp_extract("file", "/(supplier-[0-9]|bare|long|empty)/", 1).alias("part")
+    by = report.groupBy(part, "n_columns", "problem").agg(F.sum("n_rows").alias("n_rows"), F.sum("long_rows").alias("long_rows"))
+    return by.select("part", F.col("n_columns").cast("int").alias("n_columns"), "n_rows", "long_rows", "problem")
+
+
 @query("SRC2", """
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY row_no) AS n FROM sheet_rows)
 SELECT site, row_no, CAST(n AS INT) AS sample_no, CASE WHEN layout = 2 THEN '' ELSE c_detail END AS detail, coalesce(c_opts, '') AS options FROM k WHERE n <= 5""")
