@@ -39,7 +39,7 @@ def test_gradients_equal_differences():
     for name in ("table", "bias", "hidden", "hidden_bias", "out", "out_bias"):
         setattr(net, name, getattr(net, name).astype(np.float64))
     rng = np.random.default_rng(1)
-    docs = [qc.training_chunks(bytes(rng.integers(97, 110, n, dtype=np.uint8)), rng) for n in (300, 20, 900)]
+    docs = [qc.Lesson(bytes(rng.integers(97, 110, n, dtype=np.uint8)), rng).chunks(0) for n in (300, 20, 900)]
     truth = np.array([1, 0, 1.0])
 
     def loss():
@@ -87,9 +87,20 @@ def test_one_score_per_row(spark, odd_docs, odd_rows, no_docs):
     assert Counter(tuple(r.doc) for r in qc.scored(odd_docs, net).collect()) == Counter(odd_rows)
 
 
-def test_one_class_is_refused():
-    with pytest.raises(ValueError):
-        qc.train([b"a", b"b"], [1, 1])
+def test_all_chunks_are_dealt_out_over_the_epochs():
+    text = bytes(range(256)) * 500
+    lesson = qc.Lesson(text, np.random.default_rng(1))
+    seen = {bytes(row.astype(np.uint16)) for e in range(qc.EPOCHS) for row in lesson.chunks(e)}
+    cells = -(-len(text) // qc.CELL)
+    every = np.concatenate([qc.padded(text, cells), np.full(qc.CELL, 256, np.int16)])
+    assert seen == {bytes(every[c * qc.CELL : c * qc.CELL + 2 * qc.CELL + qc.WIDTH - 1].astype(np.uint16)) for c in range(cells - 1)}
+    assert len(qc.Lesson(b"", np.random.default_rng(1)).chunks(3)) == 1
+
+
+def test_without_both_classes_every_text_is_even(spark, no_docs, odd_docs):
+    assert set(qc.train([b"a", b"b"], [1, 1]).scores(["x", "", "y" * 999])) == {0.5}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in qc.score(odd_docs, qc.fit(no_docs, labels)).collect()} == {0.5}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")

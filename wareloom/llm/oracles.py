@@ -24,7 +24,7 @@ def secret_spans() -> str:
         for i, (k, p, _) in enumerate(kinds))
     good = " ".join(f"WHEN {i} THEN {conditions[k]}" for i, (k, _, _) in enumerate(kinds))
     names = "[" + ", ".join(quoted(k) for k in secret_scan.KINDS) + "]"
-    near = lambda kinds_: f"EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.scope = s.scope AND o.kind IN ({kinds_}) AND o.start - s.stop <= {secret_scan.REACH} AND s.start - o.stop <= {secret_scan.REACH} AND (o.start, o.kind) <> (s.start, s.kind))"
+    near = lambda kinds_: f"EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.scope = s.scope AND o.kind IN ({kinds_}) AND (o.start, o.kind) <> (s.start, s.kind))"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), h AS ({hits}),
 p AS (SELECT doc_id, kind, m, v, CAST(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM h),

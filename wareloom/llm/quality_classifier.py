@@ -4,12 +4,12 @@ A filter looks at ``WIDTH`` neighbouring bytes. The text's UTF-8 bytes are cut i
 cells, so chunks overlap by half and together cover the whole document. Each filter's responses are max-pooled within a chunk, a
 small hidden layer turns the pooled values into the chunk's logit, and the mean logit of the chunks gives the document's probability.
 
-Training takes at most ``SAMPLE`` labelled documents per class and ``TRAIN_CHUNKS`` chunks of each (documented bounds of the fit);
-scoring reads every byte of every document. Only the text is an input of a score.
+Training takes at most ``SAMPLE`` labelled documents per class (the documented bound of the fit) and all their chunks: each epoch sees a share of
+a document's chunks, ``TRAIN_CHUNKS`` at least, and all epochs together every one; scoring reads every byte of every document. Only the text is an input of a score.
 
 Defined results: a null text counts as empty; an empty text is one chunk of padding and gets that chunk's score; rows are scored one by
-one, so repeated rows get equal scores; an empty table gives no rows. Labels that are null are left out of the fit. Without labels of both
-classes the fit refuses.
+one, so repeated rows get equal scores; an empty table gives no rows. Labels that are null are left out of the fit. Without labelled documents of
+both classes, as with an empty table, every text gets 0.5.
 """
 
 from __future__ import annotations
@@ -106,25 +106,36 @@ def padded(text: bytes, cells: int) -> np.ndarray:
     return codes
 
 
-def training_chunks(text: bytes, rng: np.random.Generator) -> np.ndarray:
-    """Up to TRAIN_CHUNKS chunks at random cells of the document, as rows of byte codes."""
-    cells = max(1, -(-len(text) // CELL))
-    codes = np.concatenate([padded(text, cells), np.full(CELL, 256, np.int16)])
-    starts = np.arange(max(1, cells - 1))
-    if len(starts) > TRAIN_CHUNKS:
-        starts = rng.choice(starts, TRAIN_CHUNKS, replace=False)
-    return np.stack([codes[s * CELL : s * CELL + 2 * CELL + WIDTH - 1] for s in starts])
+class Lesson:
+    """The chunks of one document, dealt out over the epochs: at least TRAIN_CHUNKS in each, and every chunk in some epoch."""
+
+    def __init__(self, text: bytes, rng: np.random.Generator):
+        cells = max(1, -(-len(text) // CELL))
+        self.codes = np.concatenate([padded(text, cells), np.full(CELL, 256, np.int16)])
+        self.order = rng.permutation(max(1, cells - 1))
+
+    def chunks(self, epoch: int) -> np.ndarray:
+        """Rows of byte codes."""
+        n = len(self.order)
+        size = min(n, max(TRAIN_CHUNKS, -(-n // EPOCHS)))
+        starts = self.order[(np.arange(size) + epoch * size) % n]
+        return np.stack([self.codes[s * CELL : s * CELL + 2 * CELL + WIDTH - 1] for s in starts])
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 7) -> ByteConvNet:
-    """Mini-batch Adam on the mean chunk logit of each document; a pooled value passes its gradient to the window that won."""
+    """Mini-batch Adam on the mean chunk logit of each document; a pooled value passes its gradient to the window that won.
+
+    Without labelled documents of both classes nothing can be learned: the network then gives every text 0.5.
+    """
     if len(set(labels)) < 2:
-        raise ValueError("the quality classifier needs labelled documents of both classes")
+        blank = ByteConvNet.initial(seed)
+        blank.out[:] = 0
+        return blank
     rng = np.random.default_rng(seed)
     net = ByteConvNet.initial(seed)
     short = [t[a : a + n] for t, y in zip(texts, labels) if y == 1
              for a, n in [(rng.integers(0, max(1, len(t) - 8)), rng.integers(4, 60))]]  # very short good texts are rare in a sample
-    chunks = [training_chunks(t, rng) for t in [*texts, *short]]
+    lessons = [Lesson(t, rng) for t in [*texts, *short]]
     truth = np.array([*labels, *[1] * len(short)], np.float32)
     names = ("table", "bias", "hidden", "hidden_bias", "out", "out_bias")
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
@@ -132,10 +143,10 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> ByteConvNet:
     step = 0
     for epoch in range(EPOCHS):
         rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(lessons))
         for batch in np.array_split(order, max(1, len(order) // 64)):
             step += 1
-            for name, g in gradients(net, [chunks[i] for i in batch], truth[batch]).items():
+            for name, g in gradients(net, [lessons[i].chunks(epoch) for i in batch], truth[batch]).items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 update = rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)

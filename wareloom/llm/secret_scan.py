@@ -2,9 +2,9 @@
 
 Three base kinds are reported by themselves: assignments of a password-like name, access keys and long hexadecimal strings. Three weak kinds
 (account names, token-like strings, endpoints) are candidates only. A candidate is reported when a complementary part lies in the same
-scope, a paragraph, at most ``REACH`` code points away: an account name needs a secret, a token an account or access key, an endpoint both.
+scope, a paragraph, however far away: an account name needs a secret, a token an account or access key, an endpoint both.
 The interval join is a sweep: per text and scope the parts are ordered by start, and running maxima of ends before and minima of starts
-after give each candidate its nearest part of each role. No pair of parts is formed, and texts themselves are never shuffled.
+after tell each candidate whether its scope has a part of each role. No pair of parts is formed, and texts themselves are never shuffled.
 
 Positions are code points, ends exclusive. Matches of a kind are leftmost and do not overlap; those failing the kind's condition are dropped.
 Candidates that overlap a base span are dropped too.
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from wareloom.functions.text import let
 from wareloom.llm.tables import Scratch, field, whole_text
 
-REACH = 300
-
 
 def either_case(text: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
@@ -87,7 +85,7 @@ def spans(rows: DataFrame) -> DataFrame:
         of = F.col("kind").isin(*kinds)
         left = F.max(F.when(of, F.col("end"))).over(before)
         right = F.min(F.when(of, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - left <= REACH, F.lit(False)) | F.coalesce(right - F.col("end") <= REACH, F.lit(False))
+        return left.isNotNull() | right.isNotNull()
 
     own = F.col("kind") < len(BASE)
     overlaps = F.coalesce(F.max(F.when(own, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
