@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from wareloom import constants as K
+from wareloom.functions import numbers as num
 from wareloom.operators import mapping as mp
 from wareloom.operators import options as op
 
@@ -62,7 +64,8 @@ def test_rules_apply_pattern_default_and_value_map(spark):
     assert row.standard_options[0].option_usable is False
 
 
-def test_unsafe_rules_are_dropped(spark):
+def test_unsafe_rules_are_dropped(spark, monkeypatch):
+    monkeypatch.setitem(K.RULE_LIMITS, "regex", 300)
     bad = {"origin": {"source": "a", "pattern": r"(a+)+"}, "product_code": {"source": "a", "pattern": "(?<=x)y"}, "price_retail": {"source": "a", "pattern": "x" * 301},
            "original_name": {"source": "a", "pattern": "(", }, "image_detail": {"source": "a", "pattern": "(a)", "regex_group": "2"}, "unknown": "a", "price_min_selling": "zz",
            "wholesale_status": {"source": "a", "default": "y" * 3000}}
@@ -101,3 +104,18 @@ def test_patterns_see_the_whole_cell(spark):
                     F.lit(False).alias("regex_all"), F.lit(",").alias("join_with"), F.lit(None).cast("map<string,string>").alias("value_map"))
     df = spark.createDataFrame([("x" * 6000 + "end",)], "s string")
     assert df.select(mp.apply_rule(F.col("s"), rule)).first()[0] == "end"
+
+
+def test_large_rules_are_kept(spark):
+    values = {f"code {i}": f"value {i}" for i in range(500)}
+    pattern = "|".join(f"(?:prefix{i})" for i in range(60)) + "|code [0-9]{1,3}"
+    assert len(pattern) > 300
+    rules = spark.createDataFrame([("s", "origin", "a", None, pattern, "0", False, None, values, False)], RULE_SCHEMA)
+    headers = spark.createDataFrame([("s", "a")], "site string, header string")
+    kept = mp.sanitize_rules(rules, headers).first()
+    assert kept.kept and kept.warnings == [] and len(kept.value_map) == 500
+
+
+def test_prices_beyond_the_range_are_told(evaluate):
+    rows = [("3,000,000,000원",), ("2147483647",), ("3000000000 / 5",), ("x",), (None,)]
+    assert evaluate(rows, "s string", num.is_price_too_large(F.col("s"))) == [True, False, False, False, False]

@@ -52,8 +52,8 @@ HEADER_FALLBACKS = {
     "wholesale_registered_at": ["등록일", "상품등록일"],
 }
 
-# Bounds on user-supplied mapping rules; what exceeds them is refused with a warning, never shortened.
-RULE_LIMITS = {"value_map_entries": 100, "regex": 300}
+# Bounds on user-supplied mapping rules (None: any size); what exceeds one is refused with a warning, never shortened.
+RULE_LIMITS = {"value_map_entries": None, "regex": None}
 
 # Supplier status spellings and their canonical form.
 STATUS_SPELLINGS = {

@@ -10,7 +10,7 @@ from wareloom.functions.text import clean_text, let, strip
 
 
 def int_price(c: Column) -> Column:
-    """Whole-won price; null for "a / b" forms, unreadable numbers and values beyond 32 bits."""
+    """Whole-won price; null for "a / b" forms, unreadable numbers and values beyond 32 bits (:func:`is_price_too_large` tells those)."""
     def parsed(text):
         value = F.floor(F.regexp_replace(text, "[^0-9.]", "").try_cast("double"))
         several = text.rlike("[0-9][^/]*/[^/]*[0-9]")
@@ -19,6 +19,13 @@ def int_price(c: Column) -> Column:
     return let(strip(c.cast("string")), parsed)
 
 
+def is_price_too_large(c: Column) -> Column:
+    """Whether a cell reads as one price, but one that a stored price cannot hold."""
+    text = strip(c.cast("string"))
+    value = F.regexp_replace(text, "[^0-9.]", "").try_cast("double")
+    return F.coalesce(~text.rlike("[0-9][^/]*/[^/]*[0-9]") & (F.floor(value) > K.INT_MAX), F.lit(False))
+
+
 def signed_int(c: Column) -> Column:
     """First number with an optional sign; blanks and commas inside it are ignored."""
     found = F.regexp_extract(clean_text(c), r"[+-]?\s*[0-9,]+", 0)

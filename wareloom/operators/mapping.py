@@ -99,14 +99,14 @@ def _group_index(patterns: pd.Series, groups: pd.Series) -> pd.Series:
 
 
 def unsafe_pattern(c: Column) -> Column:
-    """Too long, back-references, look-behind or nested quantifiers."""
-    return ((F.char_length(c) > K.RULE_LIMITS["regex"]) | c.rlike(r"\\[1-9]") | c.contains("(?<=") | c.contains("(?<!")
+    """Back-references, look-behind or nested quantifiers, and patterns beyond the length limit, if there is one."""
+    limit = K.RULE_LIMITS["regex"]
+    return ((F.char_length(c) > limit if limit else F.lit(False)) | c.rlike(r"\\[1-9]") | c.contains("(?<=") | c.contains("(?<!")
             | c.rlike(r"\([^)]*[+*][^)]*\)[+*{]"))
 
 
 def sanitize_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
     """Readable rules with a verdict: ``warnings`` lists what was ignored, ``kept`` says if the rule stays. Values are never shortened."""
-    lim = K.RULE_LIMITS
     known = headers.select("site", F.col("header").alias("source"), F.lit(True).alias("present"))
     df = rules.join(known, ["site", "source"], "left").withColumns({
         "group_index": _group_index(F.when(~unsafe_pattern(F.col("pattern")), F.col("pattern")), F.col("regex_group")),
@@ -116,7 +116,8 @@ def sanitize_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
     unknown = ~field.isin(*K.TARGET_FIELDS, *K.LEGACY_KEYS.values())
     absent = (F.coalesce("source", F.lit("")) != "") & ~F.col("present")
     unsafe, broken, bad_group = unsafe_pattern(pattern), group == -1, group == -2
-    oversized = F.size("value_map") > lim["value_map_entries"]
+    limit = K.RULE_LIMITS["value_map_entries"]
+    oversized = F.size("value_map") > limit if limit else F.lit(False)
     stays = ~unknown & ~F.coalesce(unsafe | broken | bad_group, F.lit(False)) & (F.col("present") | F.col("default").isNotNull())
     said = F.when(unknown, F.array(F.concat(F.lit("Ignored unknown target field: "), field))).otherwise(F.array_compact(F.array(
         F.when(absent, F.concat(F.lit("Ignored missing source header for "), field, F.lit(": "), F.col("source"))),
@@ -201,7 +202,10 @@ def parse_rows(fields: DataFrame) -> DataFrame:
         images="option_image_urls_raw", skus="option_skus_raw", deltas="option_price_deltas_raw", suppress="suppressed")
     invalid = F.when(bad_status, warning("wholesale_status", "Unsupported wholesale status.", "invalid_wholesale_status", F.col("raw_status")))
     blanks = [F.when(is_blank(F.col(f)), warning(f, "Required value is blank.")) for f in K.REQUIRED_FIELDS]
-    warnings = F.concat(F.col("option_warnings"), F.array_compact(F.array(invalid, *blanks)))
+    too_large = {f: num.is_price_too_large(F.col(f)) for f in ("price_retail", "price_min_selling")}
+    too_large["price_wholesale_raw"] = F.col("price_wholesale").isNull() & num.is_price_too_large(F.col("price_wholesale_raw"))
+    prices = [F.when(test, warning(f, "Price is too large.", "price_out_of_range", F.col(f))) for f, test in too_large.items()]
+    warnings = F.concat(F.col("option_warnings"), F.array_compact(F.array(invalid, *blanks, *prices)))
     images = F.array_compact(F.array(*[clean_text(F.col(c)) for c in K.IMAGE_SLOTS]))
     text_columns = ("wholesale_product_id", "product_code", "option_values_raw", "price_wholesale_raw", "origin",
                     "image_detail", "wholesale_registered_at")
