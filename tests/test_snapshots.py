@@ -138,3 +138,24 @@ def test_a_lost_manifest_is_an_error(spark, tmp_path):
     watch = StockWatch(spark, str(tmp_path))
     with pytest.raises(Exception, match="manifest"):
         watch.process(spark.createDataFrame(snapshots_of(5), SCHEMA), 3)
+
+
+def test_deep_trees_take_few_rounds(spark):
+    n = 10000
+    chain = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id"), F.col("id").cast("string").alias("name"))
+    depths = sn.to_roots(chain, most_rounds=15)
+    assert depths.agg(F.max("depth"), F.count("*"), F.min("rooted")).first() == (n - 1, n, True)
+    with pytest.raises(sn.CategoryCycle):
+        sn.to_roots(chain, most_rounds=13)
+
+
+def test_paths_of_random_trees(spark):
+    rnd = random.Random(6)
+    nodes = [(f"n{i}", f"n{rnd.randint(max(0, i - 3), i - 1)}" if i % 40 else None, f"name {i}") for i in range(200)] + [("lost", "nowhere", "l"), ("below", "lost", "b")]
+    parent, name = {i: p for i, p, _ in nodes}, {i: n for i, _, n in nodes}
+
+    def chain(i):
+        return chain(parent[i]) + [i] if parent[i] else [i]
+
+    got = {r.id: (r.depth, r.path, r.ancestors) for r in sn.flatten_tree(spark.createDataFrame(nodes, "id string, parent_id string, name string")).collect()}
+    assert got == {i: (len(chain(i)) - 1, " > ".join(name[x] for x in chain(i)), chain(i)[:-1]) for i in parent if i not in ("lost", "below")}

@@ -169,26 +169,45 @@ class CategoryCycle(ValueError):
     """Some categories are their own ancestors."""
 
 
-def flatten_tree(nodes: DataFrame) -> DataFrame:
-    """``(id, parent_id, depth, path, ancestors)`` of a category tree of any depth, by one join per level.
+def to_roots(nodes: DataFrame, carried: dict[str, Column] | None = None, most_rounds: int | None = None) -> DataFrame:
+    """``(id, depth, rooted, ...)`` of every node by pointer doubling: each round every open node jumps to where its target points.
 
-    Each level is written to the shared folder, so that it is computed once. Nodes below a missing parent are left out; a cycle is refused.
+    A node's pointer covers twice as many levels after each round, so a tree of depth d takes about log2(d) + 1 of them, and only nodes that have not
+    arrived take part. ``carried`` are arrays of the way to a node, which are joined in the same jumps. ``rooted`` is false below a missing parent.
+    Nodes still on their way after ``most_rounds`` (by default as many as a chain of all nodes needs) are on or below a cycle, which is refused.
+    Every round is written to the shared folder.
     """
     checkpoint_folder(nodes.sparkSession)
-    parents = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
-    tops = nodes.join(parents, "parent_id", "left").filter("_known IS NULL")
-    level = tops.select("id", "parent_id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array().cast("array<string>").alias("ancestors"),
-                        F.col("parent_id").isNull().alias("_rooted")).checkpoint()
-    out, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        parents = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"), F.array_append("ancestors", F.col("id")).alias("ancestors"), "_rooted")
-        level = nodes.join(parents, "parent_id").select(
-            "id", "parent_id", F.lit(depth).alias("depth"), F.concat_ws(" > ", "_path", "name").alias("path"), "ancestors", "_rooted").checkpoint()
-        out = out.unionByName(level)
-    if circular := nodes.join(out.select("id"), "id", "left_anti").select("id").limit(5).collect():
+    carried = carried or {}
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known")).distinct()
+    placed = nodes.join(known, "parent_id", "left")
+    up = F.when(F.col("_known"), F.col("parent_id"))
+    rows = placed.select("id", up.alias("up"), up.isNotNull().cast("int").alias("depth"), F.when(F.col("parent_id").isNull(), F.lit(True)).when(up.isNull(), F.lit(False)).alias("rooted"),
+                         *[c.alias(name) for name, c in carried.items()]).checkpoint()
+    most_rounds = most_rounds or max(1, rows.count()).bit_length() + 1
+    for _ in range(most_rounds):
+        going = rows.filter("up IS NOT NULL")
+        if going.isEmpty():
+            return rows.drop("up")
+        targets = rows.select(F.col("id").alias("_id"), F.struct("up", "depth", "rooted", *carried).alias("t"))
+        jumped = going.join(targets, going["up"] == targets["_id"]).select(
+            "id", "t.up", (F.col("depth") + F.col("t.depth")).alias("depth"), "t.rooted", *[F.concat(F.col(f"t.{c}"), F.col(c)).alias(c) for c in carried])
+        rows = rows.filter("up IS NULL").unionByName(jumped).checkpoint()
+    if circular := rows.filter("up IS NOT NULL").select("id").limit(5).collect():
         raise CategoryCycle(f"categories in or below a cycle: {', '.join(str(r.id) for r in circular)}")
-    return out.filter("_rooted").drop("_rooted")
+    return rows.drop("up")
+
+
+def flatten_tree(nodes: DataFrame) -> DataFrame:
+    """``(id, parent_id, depth, path, ancestors)`` of a category tree of any depth.
+
+    Nodes below a missing parent are left out; a cycle is refused, before any paths are put together.
+    """
+    deepest = to_roots(nodes).agg(F.max("depth")).first()[0] or 0
+    above = F.when(F.col("_known"), F.array("parent_id")).otherwise(F.array().cast("array<string>")).cast(f"array<{nodes.schema['id'].dataType.simpleString()}>")
+    whole = to_roots(nodes, {"names": F.array("name"), "ancestors": above}, deepest.bit_length() + 1)
+    rows = whole.filter("rooted").select("id", "depth", F.array_join("names", " > ").alias("path"), "ancestors")
+    return nodes.select("id", "parent_id").join(rows, "id")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wareloom.operators import snapshots as sn
+from wareloom.operators.paging import SortedList
 from wareloom.plans.fixtures import FIXTURES
 from wareloom.plans.registry import query
 from wareloom.session import data_folder
@@ -98,6 +99,19 @@ def feed(t, **filters):
     return sn.event_feed(t.stock_changes, t.crawled_products, t.monitor_suppliers, **filters)
 
 
+@query("T8_page", """
+SELECT change_id, detected_at, supplier_id, change_type FROM (SELECT change_id, detected_at, m.supplier_id, change_type FROM stock_changes JOIN crawled_products USING (product_id) JOIN monitor_suppliers m USING (supplier_id)) f
+ORDER BY detected_at DESC, change_id LIMIT 40 OFFSET 120""")
+def t8_page(t):
+    """The fourth page of the feed, each page after the last row of the one before."""
+    listed = SortedList.store(feed(t).select("change_id", "detected_at", "supplier_id", "change_type"), data_folder(t.spark, f"feed-{uuid.uuid4().hex}"), {"detected_at": True, "change_id": False})
+    page = listed.page(40)
+    for _ in range(3):
+        seen = page.collect()
+        page = listed.page(40, seen[-1].asDict()) if seen else page
+    return page
+
+
 @query("T9", """
 SELECT count(*) FILTER (NOT acknowledged) AS unread, count(*) FILTER (change_type = 'sold_out') AS sold_out, count(*) FILTER (change_type = 'restocked') AS restocked,
   count(*) FILTER (change_type = 'price_changed') AS price_changed,
