@@ -11,8 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
 
-def test_ten_queries_and_five_stages():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_thirteen_queries_and_five_stages():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and set(ORACLES) <= set(QUERIES)
 
 
@@ -79,3 +79,15 @@ def test_prefixes_of_the_tokens_keep_the_weights(spark):
         seen[source[r.doc_id]] += 1
         if n % mixing.BLOCK == 0:
             assert all(abs(seen[c] - n * w / total) < mixing.BLOCK for c, w in mixing.WEIGHTS.items())
+
+
+def test_run_on_empty_tables_and_odd_rows(spark, tmp_path, odd_rows):
+    """Without labels nothing is rejected; null ids and texts, repeated rows and clashing columns pass through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([r[:5] for r in odd_rows], schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert 0 < len(rows) == len({r.doc_id for r in rows}) < len(odd_rows)
