@@ -47,8 +47,9 @@ def store(pages: DataFrame, html: str = "html") -> DataFrame:
     spark = pages.sparkSession
     name = f"nodes_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parse(pages, html).repartition(buckets, "page_id").sortWithinPartitions("page_id", "ord")
-    dealt.write.bucketBy(buckets, "page_id").sortBy("page_id", "ord").format("parquet").option("path", data_folder(spark, name)).saveAsTable(name)
+    # Pages are dealt before they are parsed: they are smaller than their nodes, and each task then writes one bucket.
+    dealt = pages.select(F.col("page_id").cast("bigint").alias("page_id"), html).repartition(buckets, "page_id")
+    parse(dealt, html).write.bucketBy(buckets, "page_id").sortBy("page_id", "ord").format("parquet").option("path", data_folder(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
