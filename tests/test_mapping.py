@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
@@ -119,3 +121,46 @@ def test_large_rules_are_kept(spark):
 def test_prices_beyond_the_range_are_told(evaluate):
     rows = [("3,000,000,000원",), ("2147483647",), ("3000000000 / 5",), ("x",), (None,)]
     assert evaluate(rows, "s string", num.is_price_too_large(F.col("s"))) == [True, False, False, False, False]
+
+
+def test_compiled_rule_sets_equal_rules_from_rows(spark):
+    """Thirty suppliers with eleven rule sets; all sets compiled, some of them, or none."""
+    rnd = random.Random(9)
+    cells = ["A", "B", "C", "상품명", "가격"]
+    choices = [
+        lambda: {"source": rnd.choice(cells)}, lambda: {"default": rnd.choice([" x ", "  ", "y"])},
+        lambda: {"source": "B", "pattern": rnd.choice([r"(\w)-(\w+)", r"\d+", r"z*"]), "regex_group": rnd.choice([None, "0"])},
+        lambda: {"source": "C", "default": "c-1 c-2", "pattern": r"(?P<k>\w+)-\d", "regex_group": "k", "regex_all": True, "join_with": rnd.choice([None, " ", "/"])},
+        lambda: {"source": "A", "value_map": rnd.choice([{"a": " b ", "": "empty"}, {"'q'\\": "quote"}, {}])},
+        lambda: {"source": "A", "pattern": r"(q|x)", "value_map": {"": "none found", "q": ""}}]
+    fields = [*K.TARGET_FIELDS[:9], *K.LEGACY_KEYS.values()]
+    sets = [{f: rnd.choice(choices)() for f in fields if rnd.random() < 0.6} for _ in range(11)]
+    rules, headers, ledger = [], [], []
+    for s in range(30):
+        for f, r in sets[s % 11 if s < 28 else 0].items():
+            rules.append((f"s{s}", f, r.get("source"), r.get("default"), r.get("pattern"), r.get("regex_group"), r.get("regex_all"), r.get("join_with"), r.get("value_map"), False))
+        headers += [(f"s{s}", c) for c in cells]
+    for n in range(600):
+        values = [rnd.choice([None, "", "  ", "a", "'q'\\", "x-yy 12", " k-1  l-2", "z" * 3000 + "q"]) for _ in cells]
+        ledger.append((f"s{rnd.randint(0, 9) if rnd.random() < 0.5 else rnd.randint(0, 31)}", n, None if n % 50 == 0 else dict(zip(cells, values))))
+    rules = spark.createDataFrame(rules, RULE_SCHEMA)
+    headers = spark.createDataFrame(headers, "site string, header string")
+    ledger = spark.createDataFrame(ledger, "site string, row_no bigint, raw map<string,string>")
+    got = []
+    for most in (0, 4, 64):
+        rows = mp.project_fields(ledger, rules, headers, most)
+        assert rows.columns == ["site", "row_no", "raw", *K.TARGET_FIELDS]
+        got.append({r.row_no: tuple(r)[3:] for r in rows.collect()})
+    assert len(got[0]) == 600 and got[0] == got[1] == got[2]
+    assert len({v for r in got[0].values() for v in r}) > 10
+    plan = mp.project_fields(ledger, rules, headers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rules" not in plan and "regexp_extract(" in plan
+
+
+def test_ledgers_without_rules_or_rows(spark):
+    rules, headers = rules_of(spark, {}), headers_of(spark, ["상품명"])
+    ledger = spark.createDataFrame([("s", 1, {"상품명": " n "}), ("other", 2, {"상품명": "m"})], "site string, row_no bigint, raw map<string,string>")
+    assert {r.site: r.original_name for r in mp.project_fields(ledger, rules, headers).collect()} == {"s": "n", "other": None}
+    assert mp.project_fields(ledger.limit(0), rules, headers).count() == 0
+    none = mp.project_fields(ledger, rules, headers.limit(0))
+    assert [r.original_name for r in none.collect()] == [None, None]

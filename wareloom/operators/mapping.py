@@ -22,6 +22,8 @@ from wareloom.functions import text as tx
 from wareloom.functions.skew import join_per_key, salted
 from wareloom.functions.text import clean_text, is_blank, let
 from wareloom.operators import options as op
+from wareloom.operators import programs
+from wareloom.session import stored_once
 
 RULE_TYPE = ("struct<source:string,default:string,pattern:string,regex_group:int,regex_all:boolean,"
              "join_with:string,value_map:map<string,string>>")
@@ -155,7 +157,7 @@ def apply_rule(value: Column, rule: Column) -> Column:
 
 def site_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
     """Per site, the resolved rule of every target field as ``map<field, rule>`` (at most one entry per field)."""
-    kept = sanitize_rules(rules, headers).filter("kept")
+    kept = stored_once(sanitize_rules(rules, headers).filter("kept"))  # a few rows per supplier; read for headers and for rules
     current = {old: new for new, old in K.LEGACY_KEYS.items()}
     target = tx.lookup(F.col("field"), current, F.col("field"))
     # A rule under an older key applies only where the current key has no rule.
@@ -168,10 +170,25 @@ def site_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
     return both.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", rule.alias("rule")))).alias("rules"))
 
 
-def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame) -> DataFrame:
-    """All target fields of every ledger row as text columns; keeps ``site, row_no, raw``."""
+def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame, most_sets: int = programs.MOST_SETS) -> DataFrame:
+    """All target fields of every ledger row as text columns; keeps ``site, row_no, raw``.
+
+    Rules are resolved once and the ``most_sets`` most used rule sets are compiled; sites with other sets get theirs from the rule table, with the same result.
+    """
+    by_site = stored_once(site_rules(rules, headers))
+    sets = programs.collect_sets(by_site, most_sets)
     # One row per supplier, which may own a large share of the ledger rows, so these are spread by salt.
-    joined = join_per_key(salted(ledger, ["row_no"]), site_rules(rules, headers), ["site"], "left").drop("_salt")
+    numbered = join_per_key(salted(ledger.select("site", "row_no", "raw"), ["row_no"]), sets.numbers, ["site"], "left")
+    if sets.complete:
+        return programs.apply_sets(numbered, sets.programs)
+    rest = F.coalesce(F.col("_set") == programs.UNCOMPILED, F.lit(False))
+    by_row = project_by_row(numbered.filter(rest), by_site)
+    return programs.apply_sets(numbered.filter(~rest), sets.programs).unionByName(by_row)
+
+
+def project_by_row(salted_rows: DataFrame, by_site: DataFrame) -> DataFrame:
+    """The same with rules that travel with the rows."""
+    joined = join_per_key(salted_rows, by_site, ["site"], "left")
     empty = F.lit(None).cast(RULE_TYPE)
 
     def field(name):
