@@ -20,7 +20,7 @@ from wareloom.functions import numbers as num
 from wareloom.functions import status as st
 from wareloom.functions import text as tx
 from wareloom.functions.skew import join_per_key, salted
-from wareloom.functions.text import clean_text, is_blank, let
+from wareloom.functions.text import clean_text, is_blank, let, strip
 from wareloom.operators import options as op
 from wareloom.operators import programs
 from wareloom.session import stored_once
@@ -156,18 +156,39 @@ def apply_rule(value: Column, rule: Column) -> Column:
 
 
 def site_rules(rules: DataFrame, headers: DataFrame) -> DataFrame:
-    """Per site, the resolved rule of every target field as ``map<field, rule>`` (at most one entry per field)."""
-    kept = stored_once(sanitize_rules(rules, headers).filter("kept"))  # a few rows per supplier; read for headers and for rules
-    current = {old: new for new, old in K.LEGACY_KEYS.items()}
-    target = tx.lookup(F.col("field"), current, F.col("field"))
-    # A rule under an older key applies only where the current key has no rule.
-    ranked = kept.withColumns({"target": target, "older": F.col("field") != target})
-    chosen = ranked.groupBy("site", F.col("target").alias("field")).agg(F.min_by(F.struct(
-        "default", "pattern", "regex_group", "regex_all", "join_with", "value_map"), "older").alias("r"))
-    both = resolve_headers(kept, headers).join(chosen, ["site", "field"], "full_outer").filter(F.col("field").isin(*K.TARGET_FIELDS))
-    rule = F.struct(F.col("header").alias("source"), *[F.col(f"r.{n}").alias(n) for n in (
-        "default", "pattern", "regex_group", "regex_all", "join_with", "value_map")]).cast(RULE_TYPE)
-    return both.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", rule.alias("rule")))).alias("rules"))
+    """Per site, the resolved rule of every target field as ``map<field, rule>`` (at most one entry per field).
+
+    The rules of a site meet its headers in one row: both are bounded by the columns of a sheet. The headers are those of ``resolve_headers``. A rule
+    under an older key applies only where the current key has no rule; of repeated rules of a field, the one with the smallest source.
+    """
+    parts = "default, pattern, regex_group, regex_all, join_with, value_map"
+    kept = sanitize_rules(rules, headers).filter("kept").withColumns({
+        "source": clean_source(), "_r": F.expr(f"struct(source, {parts})").cast(RULE_TYPE)})
+    single = kept.repartition("site").groupBy("site", "field").agg(F.min_by("_r", F.coalesce("source", F.lit(""))).alias("_r"))
+    grouped = single.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("field", "_r"))).alias("_rules"))
+    sheets = headers.groupBy("site").agg(F.collect_set("header").alias("_headers"))
+    named = [*K.TARGET_FIELDS, *K.LEGACY_KEYS.values()]
+    both = grouped.join(sheets, "site", "full_outer").selectExpr("site", "_headers", *[f"try_element_at(_rules, {tx.quoted(n)}) AS r_{n}" for n in named])
+
+    def header(field):
+        """Null where a default stands alone; then the source of the rule, of the older key's rule, the first recognised header."""
+        older = f"r_{K.LEGACY_KEYS[field]}.source" if field in K.LEGACY_KEYS else "NULL"
+        known = ", ".join(tx.quoted(h) for h in K.HEADER_FALLBACKS.get(field, ()))
+        recognised = f"get(array_intersect(array({known}), _headers), 0)" if known else "NULL"
+        return F.expr(f"CASE WHEN r_{field}.source IS NULL AND r_{field}.default IS NOT NULL THEN NULL ELSE coalesce(r_{field}.source, {older}, {recognised}) END")
+
+    def chosen(field):
+        return F.expr(f"coalesce(r_{field}, r_{K.LEGACY_KEYS[field]})" if field in K.LEGACY_KEYS else f"r_{field}")
+
+    resolved = both.select("site", *[header(f).alias(f"h_{f}") for f in K.TARGET_FIELDS], *[chosen(f).alias(f"c_{f}") for f in K.TARGET_FIELDS])
+    values = ", ".join(f"c_{{0}}.{p}" for p in parts.split(", "))
+    entry = f"CASE WHEN h_{{0}} IS NOT NULL OR c_{{0}} IS NOT NULL THEN struct('{{0}}', CAST(struct(h_{{0}}, {values}) AS {RULE_TYPE})) END"
+    return resolved.selectExpr("site", f"map_from_entries(array_compact(array({', '.join(entry.format(f) for f in K.TARGET_FIELDS)}))) AS rules")
+
+
+def clean_source() -> Column:
+    """The source header of a rule as written, null if blank."""
+    return F.when(strip(F.col("source")) != "", F.col("source"))
 
 
 def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame, most_sets: int = programs.MOST_SETS) -> DataFrame:
@@ -175,7 +196,7 @@ def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame, most
 
     Rules are resolved once and the ``most_sets`` most used rule sets are compiled; sites with other sets get theirs from the rule table, with the same result.
     """
-    by_site = stored_once(site_rules(rules, headers))
+    by_site = stored_once(programs.with_digest(site_rules(rules, headers)))
     sets = programs.collect_sets(by_site, most_sets)
     # One row per supplier, which may own a large share of the ledger rows, so these are spread by salt.
     numbered = join_per_key(salted(ledger.select("site", "row_no", "raw"), ["row_no"]), sets.numbers, ["site"], "left")
@@ -188,7 +209,7 @@ def project_fields(ledger: DataFrame, rules: DataFrame, headers: DataFrame, most
 
 def project_by_row(salted_rows: DataFrame, by_site: DataFrame) -> DataFrame:
     """The same with rules that travel with the rows."""
-    joined = join_per_key(salted_rows, by_site, ["site"], "left")
+    joined = join_per_key(salted_rows, by_site.select("site", "rules"), ["site"], "left")
     empty = F.lit(None).cast(RULE_TYPE)
 
     def field(name):

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from wareloom import constants as K
 from wareloom.functions.text import strip
-from wareloom.session import stored_once
 
 MOST_SETS = 64  # rule sets held by one plan; further ones are applied from rows
 UNCOMPILED = -1
@@ -33,10 +32,14 @@ class RuleSets(NamedTuple):
     complete: bool
 
 
-def collect_sets(site_rules: DataFrame, most: int = MOST_SETS) -> RuleSets:
-    """The ``most`` sets with the most sites, read to the driver; ``site_rules`` is ``(site, rules map<field, rule>)``."""
+def with_digest(site_rules: DataFrame) -> DataFrame:
+    """Add the rule set of a site as text and its digest; ``site_rules`` is ``(site, rules map<field, rule>)``."""
     printed = F.to_json(F.struct(*[F.try_element_at("rules", F.lit(f)).alias(f) for f in K.TARGET_FIELDS]))
-    sites = stored_once(site_rules.select("site", printed.alias("printed")).select("site", "printed", F.sha2("printed", 256).alias("digest")))
+    return site_rules.withColumn("printed", printed).withColumn("digest", F.sha2("printed", 256))
+
+
+def collect_sets(sites: DataFrame, most: int = MOST_SETS) -> RuleSets:
+    """The ``most`` sets with the most sites, read to the driver; ``sites`` is a stored table from ``with_digest``."""
     sizes = sites.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("printed").alias("printed"))
     found = sizes.orderBy(F.desc("n"), "digest").limit(most + 1).collect()
     kept = found[:most]

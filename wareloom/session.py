@@ -16,6 +16,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans hold thousands of expressions; noting the Python line of each costs as much as building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Pages travel to Python whole, so batches are kept short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
