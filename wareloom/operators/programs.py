@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from wareloom import constants as K
 from wareloom.functions.text import strip
 
-MOST_SETS = 64  # rule sets held by one plan; further ones are applied from rows
+# What one plan holds: rule sets, and characters of a set; sets beyond these are applied from rows.
+MOST_SETS = 64
+LONGEST_SET = 65536
 UNCOMPILED = -1
 
 Rule = dict
@@ -40,14 +42,15 @@ def with_digest(site_rules: DataFrame) -> DataFrame:
 
 def collect_sets(sites: DataFrame, most: int = MOST_SETS) -> RuleSets:
     """The ``most`` sets with the most sites, read to the driver; ``sites`` is a stored table from ``with_digest``."""
-    sizes = sites.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("printed").alias("printed"))
-    found = sizes.orderBy(F.desc("n"), "digest").limit(most + 1).collect()
-    kept = found[:most]
+    fits = F.char_length("printed") <= LONGEST_SET
+    sizes = sites.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(fits, F.col("printed"))).alias("printed"))
+    found = sizes.orderBy(F.col("printed").isNull(), F.desc("n"), "digest").limit(most + 1).collect()
+    kept = [r for r in found[:most] if r.printed is not None]
     number = F.lit(None).cast("int")
     if kept:
         number = F.try_element_at(F.create_map(*[F.lit(x) for n, r in enumerate(kept) for x in (r.digest, n)]), F.col("digest"))
     numbers = sites.select("site", F.coalesce(number, F.lit(UNCOMPILED)).alias("_set"))
-    return RuleSets(numbers, [json.loads(r.printed) for r in kept], len(found) <= most)
+    return RuleSets(numbers, [json.loads(r.printed) for r in kept], len(kept) == len(found))
 
 
 def _choice(programs: list[dict[str, Rule]], field: str, key: Case, build: Callable[[object], Column]) -> Column | None:
