@@ -71,3 +71,13 @@ def test_chain_equals_brute_force(spark):
     cases = [[" ".join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 6))] for _ in range(120)]
     got = run(spark, [([], ks, "zzz", None, None) for ks in cases])
     assert [n for n, _ in got] == [brute_chain(ks) or "zzz" for ks in cases]
+
+
+def test_rows_are_dealt_and_patterns_run_once(spark):
+    one_file = spark.range(50).coalesce(1).selectExpr(
+        "int(id) AS product_id", "array('zzz', 'work board') AS candidates", "array('work board') AS keywords", "'work board' AS refined_name", "'acme' AS brand_name", "'x' AS original_name")
+    chosen = nm.select_names(one_file)
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition 4, true") == 2  # before scoring, before generating
+    assert plan.count("regexp_replace") <= 10  # one per text: as often as they are written, not once per test on their result
+    assert {(r.product_name, r.from_candidate) for r in chosen.collect()} == {("work board", True)}

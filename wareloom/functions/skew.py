@@ -1,4 +1,4 @@
-"""Joining a fact table, one key of which may hold a large share of its rows, to a table with one row per key."""
+"""Spreading rows over tasks: those of a key that holds a large share of a fact table, and those that take long for their bytes."""
 
 from __future__ import annotations
 
@@ -20,3 +20,8 @@ def join_per_key(rows: DataFrame, dimension: DataFrame, keys: list[str], how: st
     """
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(repeated, [*keys, "_salt"], how)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as the session shuffles to, which adaptive execution does not join again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

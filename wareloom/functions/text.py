@@ -197,7 +197,7 @@ def tokens_of(c: Column, normalize: bool = True) -> Column:
     """Word tokens: compatibility-normalised, runs of non-word characters and underscores act as blanks."""
     text = nfkc(c) if normalize else c
     spaced = strip(F.regexp_replace(text, r"(?U)[_\W]+", " "))
-    return F.when(F.coalesce(spaced, F.lit("")) == "", no_texts()).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(F.coalesce(spaced, F.lit("")), " "), "")
 
 
 def folded(tokens: Column) -> Column:

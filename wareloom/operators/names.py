@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom import constants as K
+from wareloom.functions.rows import explode_built
+from wareloom.functions.skew import dealt
 from wareloom.functions.text import folded, let, nfkc, no_texts, squash, tokens_fit, tokens_of
 
 TOKENS = "array<string>"
@@ -96,11 +98,11 @@ def fitting_head(tokens: Column) -> Column:
         .otherwise(F.struct(s["kept"].alias("kept"), F.lit(False).alias("open")))))["kept"]
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    """Compatibility-normalise the texts once: adds ``_brand, _keywords, _refined, _original``."""
-
-    lists = F.split(nfkc(F.array_join(F.coalesce("keywords", no_texts()), "\x1f")), "\x1f")
-    df = df.withColumns({"_kw": lists, "_b": nfkc("brand_name"), "_r": nfkc("refined_name"), "_o": nfkc("original_name")})
+def with_tokens(df: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Compatibility-normalise the texts once: adds ``_brand, _keywords, _refined, _original``; empty ones where not ``wanted``."""
+    text = lambda c: F.col(c) if wanted is None else F.when(wanted, F.col(c))
+    lists = F.split(nfkc(F.array_join(F.coalesce(text("keywords"), no_texts()), "\x1f")), "\x1f")
+    df = df.withColumns({"_kw": lists, "_b": nfkc(text("brand_name")), "_r": nfkc(text("refined_name")), "_o": nfkc(text("original_name"))})
     plain = lambda c: tokens_of(F.col(c), normalize=False)
     return df.withColumns({"_brand": folded(plain("_b")), "_refined": plain("_r"), "_original": plain("_o")}).withColumn(
         "_keywords", keyword_tokens(F.col("_kw"), F.col("_brand"))).drop("_b", "_r", "_o")
@@ -108,8 +110,7 @@ def with_tokens(df: DataFrame) -> DataFrame:
 
 def generate_names(df: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Add ``generated_name`` to rows with ``keywords, refined_name, brand_name, original_name``; only where ``wanted``."""
-    wanted = F.lit(True) if wanted is None else wanted
-    df = with_tokens(df).withColumn("_chain", F.when(wanted, chain_keywords(F.col("_keywords"))))
+    df = with_tokens(df, wanted).withColumn("_chain", F.when(F.lit(True) if wanted is None else wanted, chain_keywords(F.col("_keywords"))))
     head = lambda c: fitting_head(without_brand(F.col(c), F.col("_brand")))
     name = F.when(F.size("_chain") > 0, F.col("_chain")).otherwise(
         let(head("_refined"), lambda r: F.when(F.size(r) > 0, r).otherwise(head("_original"))))
@@ -117,17 +118,22 @@ def generate_names(df: DataFrame, wanted: Column | None = None) -> DataFrame:
     return df.drop("_chain", "_keywords", "_refined", "_original", "_brand", "_kw")
 
 
-def _position(container: Column, run: Column) -> Column:
-    """Token index at which ``run`` starts in ``container``; null when it does not occur (both folded)."""
-    hay = F.concat(F.lit(" "), F.array_join(container, " "), F.lit(" "))
+def _position(hay: Column, run: Column) -> Column:
+    """Token index at which ``run`` starts in the padded folded tokens ``hay``; null when it does not occur."""
     needle = F.concat(F.lit(" "), F.array_join(run, " "), F.lit(" "))
-    at = F.call_function("instr", hay, needle)
-    before = F.call_function("substring", hay, F.lit(1), at)
-    return F.when(at > 0, F.char_length(before) - F.char_length(F.translate(before, " ", "")) - 1)
+
+    def index(at):
+        before = F.call_function("substring", hay, F.lit(1), at)
+        return F.when(at > 0, F.char_length(before) - F.char_length(F.translate(before, " ", "")) - 1)
+
+    return let(F.call_function("instr", hay, needle), index)
 
 
 def candidate_scores(df: DataFrame) -> DataFrame:
-    """One row per (product, candidate) that is clean, fits, uses only allowed tokens and covers a keyword."""
+    """One row per (product, candidate) that is clean, fits, uses only allowed tokens and covers a keyword.
+
+    Tokens and hits are built inside the exploded array: as columns above a filter, the optimizer would repeat their patterns in every test.
+    """
 
     joined = F.array_join(F.transform("candidates", lambda c: F.coalesce(c, F.lit(""))), "\x1f")
     df = df.withColumns({
@@ -138,26 +144,33 @@ def candidate_scores(df: DataFrame) -> DataFrame:
         "_kt": F.filter(F.transform("_k", lambda k: folded(plain(k))), lambda k: F.size(k) > 0),
         "_brand": folded(plain(F.col("_b"))), "_refined": folded(plain(F.col("_r")))})
     df = df.withColumn("_allowed", F.array_union(F.flatten("_kt"), F.col("_refined")))
-    rows = df.select("product_id", F.posexplode("_c").alias("index", "text"), "_kt", "_brand", "_allowed")
-    rows = rows.withColumn("tokens", plain(F.col("text"))).withColumn("low", folded(F.col("tokens")))
-    rows = rows.filter(
-        tokens_fit(F.col("tokens")) & (squash(F.col("text")) == F.array_join("tokens", " ")) & ~F.arrays_overlap("low", "_brand")
-        & F.forall("low", lambda t: F.array_contains("_allowed", t)))
-    hits = F.transform("_kt", lambda k, i: F.struct((F.size("_kt") - i).alias("weight"), F.size(k).alias("n"), _position(F.col("low"), k).alias("at")))
-    rows = rows.withColumn("_hits", F.filter(hits, lambda h: h["at"].isNotNull()))
-    add = lambda fn: F.aggregate("_hits", F.lit(0), lambda acc, h: (acc + fn(h)).cast("int"))
-    length = F.char_length(F.array_join("tokens", " "))
+
+    def tokenised(c, i):
+        return let(plain(c), lambda t: F.struct(
+            i.alias("index"), (squash(c) == F.array_join(t, " ")).alias("clean"), t.alias("tokens"), folded(t).alias("low"), _padded(t).alias("hay")))
+
+    def scored(c):
+        grounded = (c["clean"] & tokens_fit(c["tokens"]) & ~F.arrays_overlap(c["low"], F.col("_brand"))
+                    & F.forall(c["low"], lambda t: F.array_contains("_allowed", t)))
+        hits = F.transform("_kt", lambda k, i: F.struct((F.size("_kt") - i).alias("weight"), F.size(k).alias("n"), _position(c["hay"], k).alias("at")))
+        return F.struct(c["index"].alias("index"), F.array_join(c["tokens"], " ").alias("name"),
+                        F.when(grounded, F.filter(hits, lambda h: h["at"].isNotNull())).alias("hits"))
+
+    rows = explode_built(df, F.transform(F.transform("_c", tokenised), scored), "product_id", name="c").select("product_id", "c.*")
+    add = lambda fn: F.aggregate("hits", F.lit(0), lambda acc, h: (acc + fn(h)).cast("int"))
+    length = F.char_length("name")
     preference = F.when(length.between(25, 35), 0).otherwise(-F.least(F.abs(length - 25), F.abs(length - 35)))
-    return rows.select("product_id", "index", F.array_join("tokens", " ").alias("name"), add(lambda h: h["weight"] * h["n"]).alias("coverage"),
-                       add(lambda h: -h["weight"] * h["at"]).alias("front"), preference.alias("length_score")).filter("coverage > 0")
+    return rows.filter(F.size("hits") > 0).select("product_id", "index", "name", add(lambda h: h["weight"] * h["n"]).alias("coverage"),
+                                                  add(lambda h: -h["weight"] * h["at"]).alias("front"), preference.alias("length_score"))
 
 
 def select_names(df: DataFrame) -> DataFrame:
     """Add ``product_name`` and ``from_candidate``: the strongest grounded candidate, else the generated name.
 
-    Rows need ``product_id, candidates, keywords, refined_name, brand_name, original_name``.
+    Rows need ``product_id, candidates, keywords, refined_name, brand_name, original_name``. Each takes long for its few bytes, so rows are dealt
+    before both steps: the tasks that read a small file, or that adaptive execution joins by bytes, would be few.
     """
     score = F.struct("coverage", "front", "length_score", (-F.col("index")).alias("earlier"))
-    best = candidate_scores(df).groupBy("product_id").agg(F.max_by("name", score).alias("_best"))
-    joined = generate_names(df.join(best, "product_id", "left"), wanted=F.col("_best").isNull())
+    best = candidate_scores(dealt(df)).groupBy("product_id").agg(F.max_by("name", score).alias("_best"))
+    joined = generate_names(dealt(df.join(best, "product_id", "left")), wanted=F.col("_best").isNull())
     return joined.withColumns({"product_name": F.coalesce("_best", "generated_name"), "from_candidate": F.col("_best").isNotNull()}).drop("_best", "generated_name")
