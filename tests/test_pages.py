@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wareloom.functions import markup
 from wareloom.operators import nodes as nd
 from wareloom.operators import pages as pg
 
@@ -117,3 +118,21 @@ def test_stored_nodes_are_read_without_a_shuffle(nodes):
 def test_detail_images(evaluate):
     rows = [("https://x/a.jpg",), ('<p><img alt="a>b" src=\'1.jpg\'><img data-src="no.jpg"><IMG SRC=2.jpg><!-- <img src="c.jpg"> --></p>',), (None,), (" ",)]
     assert evaluate(rows, "s string", pg.detail_images(F.col("s"))) == [["https://x/a.jpg"], ["1.jpg", "2.jpg"], [], []]
+
+
+def test_image_sources_are_chosen_once(spark):
+    pages = spark.createDataFrame([(1, '<div class="g"><img src="blank.gif" data-src="/a.jpg"><img src="/icon-x.png"></div>')], "page_id long, html string")
+    found = pg.collect_images(nd.parse(pages), pages, ".g")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("spacer") == 2  # the pattern stands for attributes and for srcset, not again in each test on their result
+    assert [r.images for r in found.collect()] == [["/a.jpg"]]
+
+
+def test_plain_start_tags_read_like_others():
+    plain = '<div id="m" class="a b">x<IMG src="1" SRC="2"><br/><i/><p>y</div><script type="t">z</script>'
+    other = plain.replace('"m"', "'m'").replace('"1"', "'1'").replace("<p>", "<p >").replace('"t"', "'t'")
+    rows = markup.nodes(plain)
+    assert [r[:9] for r in rows][:3] == [[0, 6, -1, "div", "m", ["a", "b"], {"id": "m", "class": "a b"}, None, 24], [1, 1, 0, "#text", None, None, None, "x", None],
+                                         [2, 2, 0, "img", "", [], {"src": "1"}, None, 46]]
+    assert [r[:8] for r in rows] == [r[:8] for r in markup.nodes(other)]
+    assert [plain[r[8]:r[9]] for r in rows if r[3] == "script"] == ["z"] and rows[-1][7] is None

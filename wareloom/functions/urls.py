@@ -139,14 +139,12 @@ def without_image(images: Column, excluded: Column, base: Column | str = "") ->
 
 def lazy_source(attrs: Column) -> Column:
     """Real source of a lazily loaded image: first non-placeholder attribute, else first srcset entry, else src."""
-    picks = []
-    for name in K.LAZY_IMAGE_ATTRIBUTES:
-        value = strip(F.try_element_at(attrs, F.lit(name)))
-        picks.append(F.when(~is_placeholder_src(value), value))
+    names = F.array(*[F.lit(name) for name in K.LAZY_IMAGE_ATTRIBUTES])
+    values = F.filter(F.transform(names, lambda name: strip(F.try_element_at(attrs, name))), lambda value: ~is_placeholder_src(value))
     srcset = strip(F.try_element_at(attrs, F.lit("srcset")))
     first = F.substring_index(strip(before(srcset, ",")), " ", 1)
-    picks.append(F.when((first != "") & ~first.rlike(K.JUNK_IMAGE_PATTERN), first))
-    return F.coalesce(*picks, strip(F.try_element_at(attrs, F.lit("src"))), F.lit(""))
+    listed = F.when((first != "") & ~first.rlike(K.JUNK_IMAGE_PATTERN), first)
+    return F.coalesce(F.get(values, 0), listed, strip(F.try_element_at(attrs, F.lit("src"))), F.lit(""))
 
 
 def is_large_enough(attrs: Column, minimum: int = K.DETAIL_IMAGE_MIN_PX) -> Column:

@@ -15,6 +15,7 @@ from wareloom.functions import option_text as ot
 from wareloom.functions import status as st
 from wareloom.functions import text as tx
 from wareloom.functions import urls as ur
+from wareloom.functions.rows import explode_built
 from wareloom.functions.text import let, no_texts, null_if_empty, strip
 from wareloom.operators import nodes as nd
 
@@ -96,7 +97,8 @@ def _in_order(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def _real_images(chosen: DataFrame, minimum: int) -> DataFrame:
-    large = chosen.filter(ur.is_large_enough(F.col("attrs"), minimum)).withColumn("_source", ur.lazy_source(F.col("attrs")))
+    large = chosen.filter(ur.is_large_enough(F.col("attrs"), minimum))
+    large = explode_built(large, F.array(ur.lazy_source(F.col("attrs"))), "page_id", "name", "ord", name="_source")  # chosen once, not per test on it
     listed = _in_order(large.filter(~F.col("_source").rlike(K.SKIP_IMAGE_PATTERN)), F.col("_source"))
     return listed.withColumn("values", F.array_distinct("values"))
 
