@@ -159,3 +159,21 @@ def test_paths_of_random_trees(spark):
 
     got = {r.id: (r.depth, r.path, r.ancestors) for r in sn.flatten_tree(spark.createDataFrame(nodes, "id string, parent_id string, name string")).collect()}
     assert got == {i: (len(chain(i)) - 1, " > ".join(name[x] for x in chain(i)), chain(i)[:-1]) for i in parent if i not in ("lost", "below")}
+
+
+def test_shallow_trees_are_walked_by_level(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows, depth = [(None, None, "no id"), (-1, -2, "lost"), (-3, -1, "below")], {}
+    for i in range(300):
+        parent = rnd.choice([p for p, d in depth.items() if d < 5]) if i % 50 else None
+        depth[i] = depth[parent] + 1 if i % 50 else 0
+        rows.append((i, parent, rnd.choice([None, "", f"n{i}"])))
+    schema = "id bigint, parent_id bigint, name string"
+    show = lambda df: sorted(df.select("id", "parent_id", "depth", "path", "ancestors").collect())
+    by_doubling = show(sn.flatten_tree(spark.createDataFrame(rows, schema), levels=0))
+    assert len(by_doubling) == 300 and {r.id: r.depth for r in by_doubling} == depth
+    assert show(sn.flatten_tree(spark.createDataFrame(rows[:1] + rows[3:], schema))) == by_doubling
+    with pytest.raises(sn.CategoryCycle):
+        sn.flatten_tree(spark.createDataFrame([*rows, (900, 901, "a"), (901, 900, "b"), (902, 900, "c")], schema))
+    monkeypatch.setattr(sn, "to_roots", lambda waiting, carried=None, rounds=None: None if not carried and waiting.count() == 2 else pytest.fail("doubling"))
+    assert show(sn.flatten_tree(spark.createDataFrame(rows, schema))) == by_doubling
