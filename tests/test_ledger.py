@@ -122,6 +122,21 @@ def test_owner_and_site_are_part_of_the_key(spark):
     assert [(r.user_id, r.site_id, r.product_code, r.n) for r in lg.duplicate_codes(twice).collect()] == [(1, None, "A", 2)]
 
 
+def test_rows_without_a_code_come_out_once_and_each_side_is_read_once(spark, tmp_path, upload, state):
+    """Rows without a code on both sides, some of them alike to the last column, match nothing; their own ids spread them."""
+    blank = lambda n: spark.createDataFrame([(n, "\u3000\t", "no code", 1, "판매중", ["a"])] * 2, UPLOAD)
+    bare = state.filter("product_code IS NULL")
+    for name, rows in (("upload", upload.unionByName(blank(6)).unionByName(blank(None))), ("state", state.unionByName(bare).unionByName(bare.withColumn("product_id", F.lit(5))))):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    runs = spark.createDataFrame([("r", None, 0)], "import_id string, user_id bigint, site_id bigint")
+    done = diff(spark.read.parquet(f"{tmp_path}/upload"), spark.read.parquet(f"{tmp_path}/state"), runs=runs)
+    codeless = done.filter(F.col("product_code").isNull() | F.col("product_code").isin(" ", "\u3000\t")).collect()
+    assert sorted((r.change_type, r.old is None, r.new is None, r.product_id if r.old else 0) for r in codeless) == [("kept", False, True, 5), ("kept", False, True, 6), ("kept", False, True, 6)] + [("new", True, False, 0)] * 6
+    assert done.count() == 16
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
 def test_new_products_get_an_owner_and_a_lasting_id(spark, upload, state):
     after = lg.next_state(diff(upload, state, import_id="r1"))
     assert len(set(after.columns)) == len(after.columns)

@@ -4,7 +4,7 @@ A product belongs to an owner and a site (``user_id, site_id``; no site is a sco
 them. One batch may hold the uploads of many owners and sites: ``runs(import_id, user_id, site_id)`` has one row per upload, at most one per
 scope. Frames without these columns are taken as one scope.
 
-Rows without a product code never match stored rows and are kept out of the keyed join, so they cannot pile up in
+Rows without a product code never match stored rows; in the keyed join they are spread by their own ids, so they cannot pile up in
 one partition. Gates (``duplicate_codes``, ``invalid_status_rows``) are tables; a run with a non-empty gate is refused.
 """
 
@@ -126,21 +126,21 @@ def diff(upload: DataFrame, state: DataFrame, site_given: bool = True, runs: Dat
         scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"), F.col("import_id").alias("_run"), F.lit(True).alias("_in_run"))
     blank = is_blank(F.col("product_code"))
 
-    def keyed(rows: DataFrame, row: Column) -> DataFrame:
-        """Rows with their scope and its run, if it has one; an owner with very many rows is spread by salt."""
+    plain = [f for f in compared if f not in K.NESTED_FIELDS]
+
+    def keyed(rows: DataFrame, row: Column, side: str) -> DataFrame:
+        """Rows with their scope and its run, if it has one; an owner with very many rows is spread by salt, rows without a code by ``_own``."""
         code = F.when(~blank, F.col("product_code"))
-        own = [F.col(c).cast("string") for c in ("row_no", "product_id") if c in rows.columns]  # spreads rows without a code
-        keys = rows.select(*SCOPE, code.alias("code"), row, scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"), F.coalesce(code, *own).alias("_spread"))
-        return join_per_key(salted(keys, ["_spread"]), runs, ["_scope"], "left").drop("_salt", "_spread")
-
-    fresh, stored = keyed(upload, new_row), keyed(state, old_row)
-    left = fresh.filter("code IS NOT NULL").select(*[F.col(c).alias(f"n_{c}") for c in ("_scope", "code", *SCOPE, "_run", "_in_run")], "new")
-    right = stored.filter("code IS NOT NULL").select(*[F.col(c).alias(f"o_{c}") for c in ("_scope", "code", *SCOPE, "_run", "_in_run")], "old")
-    matched = left.join(right, (F.col("n__scope") == F.col("o__scope")) & (F.col("n_code") == F.col("o_code")), "full_outer")
+        own = F.coalesce(*[F.col(c).cast("string") for c in ("row_no", "product_id") if c in rows.columns], F.xxhash64(F.lit(0), *plain).cast("string"))
+        keys = rows.select(*SCOPE, code.alias("code"), row, scope_key(F.col("user_id"), F.col("site_id")).alias("_scope"), F.when(blank, own).otherwise(F.lit("")).alias("_own"))
+        found = join_per_key(salted(keys, ["code", "_own"]), runs, ["_scope"], "left")
+        return found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("_scope", "code", "_own", *SCOPE, "_run", "_in_run")], {"n": "new", "o": "old"}[side])
+
+    # A code that is null equals none, so rows without one come out alone; each side is read once.
+    same = [F.col(f"n_{c}") == F.col(f"o_{c}") for c in ("_scope", "code", "_own")]
+    matched = keyed(upload, new_row, "n").join(keyed(state, old_row, "o"), same, "full_outer")
     either = lambda c: F.when(F.col("new").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c)
-    matched = matched.select("old", "new", *[either(c) for c in (*SCOPE, "code", "_run", "_in_run")])
-    rest = lambda rows, kind: rows.filter("code IS NULL").select(kind, *SCOPE, "code", "_run", "_in_run")
-    rows = matched.unionByName(rest(fresh, "new"), allowMissingColumns=True).unionByName(rest(stored, "old"), allowMissingColumns=True)
+    rows = matched.select("old", "new", *[either(c) for c in (*SCOPE, "code", "_run", "_in_run")])
 
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
     rows = rows.withColumn("_diff", F.when(both, changed_fields(compared)))
